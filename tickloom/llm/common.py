@@ -79,3 +79,23 @@ def record_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
 def held_out(doc_id: str = "doc_id"):
     """True for rows that never teach a classifier: crc32 of the id as text, mod 5, is 0 (null id: held out)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, longest: int) -> DataFrame:
+    """doc_id, text, label of at most per_class documents of each label, chosen by the hash of their id.
+
+    Rows whose id falls into the held-out fifth never appear, nor do null labels and texts over `longest` characters.
+    The bound holds whatever the input's size: only chosen ids are joined to documents, and repeated ids count once.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(~held_out() & F.col("label").isin(0, 1))
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
+    chosen = None
+    for value in (0, 1):
+        some = known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class)
+        chosen = some if chosen is None else chosen.unionByName(some)
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") <= longest).join(F.broadcast(chosen), "doc_id")
+    out = None
+    for value in (0, 1):
+        some = found.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        out = some if out is None else out.unionByName(some)
+    return out
