@@ -57,7 +57,14 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_mpeg_audio, op2_packing, op3_secret_scan, op4_byte_bpe, op5_warc, op7_quality_fm, op9_toxicity)}
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk_search import search, whole
+
+    rows = whole(table(spark, sf_dir, "embeddings"))
+    return search(rows, rows.where("vec_id % 20 = 0"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mpeg_audio, op2_packing, op3_secret_scan, op4_byte_bpe, op5_warc, op7_quality_fm, op9_toxicity, op10_topk_search)}
 ORACLE_SQL: dict[str, str] = {
     "op5_warc": """
         WITH p AS (
@@ -70,4 +77,15 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
         FROM f
     """,
+    "op10_topk_search": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+        )
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+        FROM s QUALIFY rank <= 20
+    """,
 }
