@@ -50,6 +50,12 @@ def op7_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import classes
+
+    return classes(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score, train
 
@@ -64,7 +70,7 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(rows, rows.where("vec_id % 20 = 0"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mpeg_audio, op2_packing, op3_secret_scan, op4_byte_bpe, op5_warc, op7_quality_fm, op9_toxicity, op10_topk_search)}
+QUERIES = {f.__name__: f for f in (op1_mpeg_audio, op2_packing, op3_secret_scan, op4_byte_bpe, op5_warc, op7_quality_fm, op8_near_dedup, op9_toxicity, op10_topk_search)}
 ORACLE_SQL: dict[str, str] = {
     "op5_warc": """
         WITH p AS (
