@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -99,3 +100,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         some = found.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         out = some if out is None else out.unionByName(some)
     return out
+
+
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of frames that are gone: the cleaner works when the driver's JVM collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df marked for broadcast if it has at most `rows` rows, else as it is, for Spark to shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df

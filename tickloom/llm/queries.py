@@ -43,6 +43,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_fm import score, train
 
@@ -70,7 +76,7 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(rows, rows.where("vec_id % 20 = 0"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mpeg_audio, op2_packing, op3_secret_scan, op4_byte_bpe, op5_warc, op7_quality_fm, op8_near_dedup, op9_toxicity, op10_topk_search)}
+QUERIES = {f.__name__: f for f in (op1_mpeg_audio, op2_packing, op3_secret_scan, op4_byte_bpe, op5_warc, op6_line_dedup, op7_quality_fm, op8_near_dedup, op9_toxicity, op10_topk_search)}
 ORACLE_SQL: dict[str, str] = {
     "op5_warc": """
         WITH p AS (
@@ -94,4 +100,38 @@ ORACLE_SQL: dict[str, str] = {
         SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
         FROM s QUALIFY rank <= 20
     """,
+    "op6_line_dedup": """
+        WITH d AS (
+            SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents
+        ), l AS (
+            SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM d
+        ), t AS (
+            SELECT *, list_sort(list_distinct(list_filter(string_split(lower(translate(line, chr(9) || chr(13) || chr(12) || chr(11), '    ')), ' '), lambda x: x <> ''))) AS words FROM l
+        ), s AS (
+            SELECT words, len(words) AS n, min({'d': doc_id, 'l': line_no}) AS place, row_number() OVER (ORDER BY words) AS id FROM t WHERE doc_id IS NOT NULL AND len(words) > 0 GROUP BY words
+        ), u AS (
+            SELECT id, n, place, unnest(words) AS word FROM s
+        ), f AS (
+            SELECT word, count(*) AS df FROM u GROUP BY word
+        ), p AS (
+            SELECT id, n, place, word FROM u JOIN f USING (word)
+            QUALIFY row_number() OVER (PARTITION BY id ORDER BY df, word) <= n - (4 * n + 4) // 5 + 1
+        ), c AS (
+            SELECT DISTINCT a.id AS earlier, b.id AS later FROM p a JOIN p b USING (word)
+            WHERE a.place < b.place AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)
+        ), m AS (
+            SELECT DISTINCT later FROM c JOIN s a ON a.id = earlier JOIN s b ON b.id = later
+            WHERE 9 * len(list_intersect(a.words, b.words)) >= 4 * (a.n + b.n)
+        ), g AS (
+            SELECT t.doc_id, t.text, t.line, t.line_no,
+                   s.id IS NOT NULL AND (m.later IS NOT NULL OR s.place <> {'d': t.doc_id, 'l': t.line_no}) AS gone
+            FROM t LEFT JOIN s ON t.words = s.words AND t.doc_id IS NOT NULL LEFT JOIN m ON m.later = s.id
+        ), r AS (
+            SELECT doc_id, text, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+                   sha256(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT gone), '')) AS kept_sha256
+            FROM g GROUP BY doc_id, text
+        )
+        SELECT d.doc_id, r.n_lines, r.n_removed, r.kept_sha256
+        FROM documents d JOIN r ON d.doc_id IS NOT DISTINCT FROM r.doc_id AND coalesce(d.text, '') = r.text
+    """,
 }
