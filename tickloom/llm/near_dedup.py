@@ -25,12 +25,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import arrow_map, dropped, record_batch, with_text, written
+from .common import arrow_map, dropped, record_batch, small, with_text, written
 
 WORDS, BANDS, ROWS, NUMERATOR, DENOMINATOR = 5, 20, 4, 4, 5
 REGISTERS = BANDS * ROWS
 CACHE = 500_000
+#: Most ids that are broadcast.
+BROADCAST_ROWS = 1_000_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -219,3 +222,15 @@ def with_class(rows: DataFrame, found: DataFrame) -> DataFrame:
 def _repeats(rows: DataFrame) -> bool:
     counts = rows.where("doc_id is not null").agg(F.count("doc_id").alias("n"), F.countDistinct("doc_id").alias("ids")).first()
     return counts["n"] != counts["ids"]
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """docs with all their columns; of each class only the document with the smallest id, once. Rows without an id stay."""
+    found = written(classes(docs), "doc-classes")
+    others = found.where("doc_id <> class_id").select("doc_id").distinct()
+    kept = docs.join(small(others.withColumnRenamed("doc_id", "__gone_id"), BROADCAST_ROWS), F.col("doc_id").cast("long") == F.col("__gone_id"), "left_anti")
+    if not _repeats(found):
+        return kept
+    # of rows that repeat an id the one with the smallest text stays
+    same = kept.where("doc_id is not null").withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("__n = 1").drop("__n")
+    return kept.where("doc_id is null").unionByName(same)
