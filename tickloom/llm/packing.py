@@ -25,7 +25,7 @@ from .common import arrow_map, record_batch, with_text, written
 
 LENGTH, END_ID, GROUP = 4096, 2, 2048
 #: Words and longest word that a task keeps the ids of.
-CACHE, CACHE_KEY = 300_000, 40
+CACHE, CACHE_KEY = 800_000, 40
 #: Signs that stand after a word and are ids of their own there.
 SIGNS = tuple(".,;:!?")
 
@@ -50,7 +50,6 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.cache: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         #: Whether an id ends a word, by the vocabulary's mark; the ids of single signs.
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
@@ -67,14 +66,14 @@ class WordIds:
                 if low.isascii() or ("Σ" not in base and low.isalpha() and is_normalized("NFC", low)):
                     letters[w] = low
         found = {}
-        bases = [b for b in dict.fromkeys(letters.values()) if b not in self.cache and b not in self.before]
+        bases = [b for b in dict.fromkeys(letters.values()) if b not in self.cache]
         ids = np.array(self.tokenizer.encode(" ".join(bases), add_special_tokens=False).ids if bases else [], "<u4")
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) == len(bases):  # each base is one word to the tokenizer
             flat, cuts = ids.tobytes(), (ends * 4).tolist()
             found = {b: flat[i:j] for b, i, j in zip(bases, [0, *cuts], cuts)}
             for w, b in letters.items():
-                own = found[b] if b in found else self.cache[b] if b in self.cache else self.before[b]
+                own = found[b] if b in found else self.cache[b]
                 found[w] = own + self.sign[w[-1]] if w[-1] in SIGNS else own
         rest = [w for w in words if w not in found]
         found |= {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False))}
@@ -84,15 +83,16 @@ class WordIds:
         """Little-endian 32-bit ids of each text."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
         wanted: set[str] = set().union(*split)
-        known = {w: ids for w in wanted if (ids := self.cache.get(w) or self.before.get(w)) is not None}
-        found = self.learn([w for w in wanted if w not in known])
-        known |= found
-        # words of the last batches stay: a full cache becomes the one before, and what is met again moves on
-        if len(self.cache) > CACHE:
-            self.before, self.cache = self.cache, {}
-        self.cache.update((w, ids) for w, ids in known.items() if len(w) <= CACHE_KEY)
-        get = known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        found = self.learn(list(wanted.difference(self.cache)))
+        self.cache.update(found)
+        get = self.cache.__getitem__
+        out = [b"".join(map(get, words)) for words in split]
+        for w in found:
+            if len(w) > CACHE_KEY:
+                del self.cache[w]
+        if len(self.cache) > CACHE:  # only words of the last batch stay
+            self.cache = {w: self.cache[w] for w in wanted if w in self.cache}
+        return out
 
 
 def pieces_of(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
