@@ -255,7 +255,7 @@ def tags_text(tags: Column) -> Column:
 
 def text_tags(text: Column) -> Column:
     inner = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\[|\]$", "")
-    return F.when(F.trim(inner) == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(inner, ","), F.trim))
+    return F.when(F.trim(inner) == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(inner, ","), lambda x: F.trim(x)))
 
 
 def tag_added(text: Column, tag: str) -> Column:
