@@ -197,8 +197,9 @@ def read_stream(data: bytes) -> Stream:
     end, offsets, chained = len(data), [], False
     while pos < end:
         h = header(pos)
-        # a header counts if the chain leads to it, or else if its frame ends at another header or at the end
-        if h and pos + h.length <= end and (chained or pos + h.length == end or header(pos + h.length)):
+        # a header counts if its frame ends at another header or at the end, or if the chain leads to it and it is like the one before
+        like = chained and h and (h.version, h.layer, h.rate, h.channels) == (out.headers[-1].version, out.headers[-1].layer, out.headers[-1].rate, out.headers[-1].channels)
+        if h and pos + h.length <= end and (like or pos + h.length == end or header(pos + h.length)):
             offsets.append(pos)
             out.headers.append(h)
             pos += h.length
