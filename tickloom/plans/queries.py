@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
-from ..operators import asof, joins, kills
+from ..operators import asof, entities, joins, kills
 from ..operators import windows as win
 from . import catalog
 
@@ -518,3 +518,156 @@ def clutch_1vx(spark, sf):
     side = F.col("steamid") % 2
     df = df.withColumns({"dead0": F.sum((side == 0).cast("int")).over(alive), "dead1": F.sum((side == 1).cast("int")).over(alive)})
     return df.groupBy("day").agg(F.max("dead0").alias("dead0"), F.max("dead1").alias("dead1"), F.min(F.when((F.col("dead0") == 4) & (F.col("dead1") < 4), F.col("seq"))).alias("first_clutch"))
+
+
+# entities and derived rows
+@query(
+    """, r AS (SELECT * FROM lane QUALIFY row_number() OVER (PARTITION BY steamid, tick // 64000 ORDER BY seq DESC) = 1)
+    SELECT steamid, tick // 64000 AS t, CASE WHEN row_number() OVER w = 1 THEN 'spawn' ELSE 'update' END AS op FROM r WINDOW w AS (PARTITION BY steamid ORDER BY tick // 64000)
+    QUALIFY row_number() OVER w = 1 OR name IS DISTINCT FROM lag(name) OVER w -- lane"""
+)
+def entity_deltas(spark, sf):
+    df = lane(spark, sf).withColumn("t", F.floor(F.col("tick") / 64000).cast("long"))
+    return entities.deltas(df, ["name"], ["steamid"], "t", "seq").select("steamid", "t", "op")
+
+
+@query(
+    """SELECT steamid, min(tick) FILTER (name = 'signup') AS created, max(tick) AS last_tick, arg_max(CASE name WHEN 'purchase' THEN 'leave' WHEN 'error' THEN 'delete' END, tick) FILTER (name IN ('purchase', 'error')) AS ended_by,
+    count(*) FILTER (name = 'view') AS updates FROM lane GROUP BY steamid"""
+)
+def lifetimes(spark, sf):
+    n = F.col("name")
+    df = lane(spark, sf).withColumn("mark", F.when(n == "signup", "create").when(n == "view", "update").when(n == "purchase", "leave").when(n == "error", "delete"))
+    return entities.lifetimes(df.withColumn("mark", F.coalesce("mark", F.lit("none"))), ["steamid"])
+
+
+@query("SELECT e.seq, s.value AS owner_value FROM (SELECT * FROM lane WHERE name = 'click') e ASOF LEFT JOIN (SELECT steamid, tick, arg_max(value, seq) AS value FROM lane WHERE name = 'view' GROUP BY ALL) s ON e.k = s.steamid AND e.tick >= s.tick")
+def handle_deref(spark, sf):
+    df = lane(spark, sf)
+    target = df.where("name = 'view'").groupBy(F.col("steamid").alias("entity_id"), "tick").agg(F.max_by("value", "seq").alias("value"))
+    return entities.dereferenced(df.where("name = 'click'"), "k", target, ["value"], prefix="owner_").select("seq", "owner_value")
+
+
+@query("SELECT seq FROM lane QUALIFY k = lag(k) OVER (PARTITION BY steamid ORDER BY tick, seq) + 1")
+def counter_steps(spark, sf):
+    return win.counter_steps(lane(spark, sf), ["steamid"], ["tick", "seq"], "k").select("seq")
+
+
+@query(
+    """, t AS (SELECT steamid % 2 + 2 AS team_num, tick, arg_max(k, seq) AS k FROM lane WHERE name = 'view' GROUP BY ALL)
+    SELECT e.seq, a.k AS t_k, b.k AS ct_k FROM (SELECT seq, tick FROM lane WHERE name = 'purchase') e ASOF LEFT JOIN (SELECT * FROM t WHERE team_num = 2) a ON e.tick >= a.tick ASOF LEFT JOIN (SELECT * FROM t WHERE team_num = 3) b ON e.tick >= b.tick -- lane"""
+)
+def team_pivot(spark, sf):
+    df = lane(spark, sf)
+    teams = df.where("name = 'view'").groupBy((F.col("steamid") % 2 + 2).alias("team_num"), "tick").agg(F.max_by("k", "seq").alias("k"))
+    return entities.team_pivot(df.where("name = 'purchase'").select("seq", "tick"), teams, ["k"]).select("seq", "t_k", "ct_k")
+
+
+@query(
+    """, f AS (SELECT o_custkey, p_name, min(o_orderkey * 1000000 + l_partkey) AS i FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderkey < 2000 GROUP BY ALL)
+    SELECT o_custkey, string_agg(p_name, ';' ORDER BY i) AS inventory FROM f GROUP BY o_custkey""".replace(", f AS", "WITH f AS", 1)
+)
+def inventory(spark, sf):
+    lines = table(spark, sf, "orders").where("o_orderkey < 2000").join(table(spark, sf, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    held = lines.groupBy("o_custkey").agg(F.transform(F.sort_array(F.collect_list(F.struct((F.col("o_orderkey") * 1000000 + F.col("l_partkey")).alias("i"), "l_partkey"))), lambda x: x["l_partkey"]).alias("handles"))
+    items = table(spark, sf, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"))
+    return entities.inventory(held, "handles", items, ["o_custkey"]).select("o_custkey", F.array_join("inventory", ";").alias("inventory"))
+
+
+@query(
+    """, a AS (SELECT steamid, 113 + k % 24 AS d, max(seq) AS raw FROM lane GROUP BY ALL UNION ALL SELECT steamid, 278 + k % 12, max(seq) FROM lane GROUP BY ALL),
+    s AS (SELECT steamid, CASE WHEN d < 200 THEN (d - 113) // 4 ELSE (d - 278) // 2 END AS slot, CASE WHEN d < 200 THEN (d - 113) % 4 ELSE (d - 278) % 2 + 4 END AS p, raw FROM a)
+    SELECT steamid, CAST(slot AS INTEGER) AS slot, max(raw) FILTER (p = 0) AS id, max(raw) FILTER (p = 1) AS wear, max(raw) FILTER (p = 2) AS scale, max(raw) FILTER (p = 3) AS rotation, max(raw) FILTER (p = 4) AS offset_x, max(raw) FILTER (p = 5) AS offset_y
+    FROM s GROUP BY steamid, slot HAVING coalesce(max(raw) FILTER (p = 0), 0) <> 0 -- lane"""
+)
+def stickers(spark, sf):
+    df = lane(spark, sf)
+    attributes = df.groupBy("steamid", (113 + F.col("k") % 24).alias("def_index")).agg(F.max("seq").alias("raw")).unionByName(df.groupBy("steamid", (278 + F.col("k") % 12).alias("def_index")).agg(F.max("seq").alias("raw")))
+    return entities.stickers(attributes, ["steamid"])
+
+
+@query("SELECT steamid, string_agg(printf('%d:%d', tick, k), ' ' ORDER BY tick, seq) AS points FROM lane WHERE name = 'view' GROUP BY steamid")
+def trajectories(spark, sf):
+    got = kills.trajectories(lane(spark, sf).where("name = 'view'").withColumn("at", F.struct("tick", "seq")), ["steamid"], "at", ["k"])
+    return got.select("steamid", F.array_join(F.transform("points", lambda p: F.concat_ws(":", p["at"]["tick"].cast("string"), p["k"].cast("string"))), " ").alias("points"))
+
+
+@query(
+    HITS
+    + """, e AS (SELECT s.seq, 'weapon_' || (s.k % 5) AS w, count(h.seq) AS n FROM (SELECT * FROM lane WHERE name = 'click') s LEFT JOIN hits h ON h.seq = s.seq GROUP BY ALL)
+    SELECT replace(w, 'weapon_', '') AS weapon, count(*) AS shots, sum((n > 0)::INT)::BIGINT AS hits FROM e GROUP BY w -- lane"""
+)
+def weapon_hits(spark, sf):
+    df = lane(spark, sf).withColumn("weapon", F.concat(F.lit("weapon_"), F.col("k") % 5))
+    shots = joins.shots_with_hits(df.where("name = 'click'"), _hits(df), ["steamid"], "tick", "seq")
+    return kills.weapon_rates(shots)
+
+
+@query(
+    """, d AS (SELECT label, vec_id, vec_id - lag(vec_id) OVER w AS t, sqrt((x-lag(x) OVER w)**2+(y-lag(y) OVER w)**2+(z-lag(z) OVER w)**2) AS m FROM p WINDOW w AS (PARTITION BY label ORDER BY vec_id))
+    SELECT label, coalesce(string_agg(CAST(t AS VARCHAR), ';' ORDER BY vec_id), '') AS ticks_between, count(m) AS n FROM d GROUP BY label""".join([POINTS.rstrip(), ""])
+)
+def collection_gaps(spark, sf):
+    got = kills.gaps_text(points(spark, sf), ["label"], "vec_id", ["x", "y", "z"])
+    return got.select("label", "ticks_between", F.size(F.filter(F.split("move_between", ";"), lambda x: x != "")).cast("long").alias("n"))
+
+
+@query(
+    """, m AS (SELECT c_custkey & 255 AS m, min(c_name) AS n FROM customer GROUP BY ALL), x AS (SELECT c_custkey, c_name FROM customer)
+    SELECT seq, coalesce(m.n, x.c_name) AS user_name FROM lane LEFT JOIN m ON (steamid & 255) = m.m LEFT JOIN x ON steamid = c_custkey -- lane"""
+)
+def masked_user_join(spark, sf):
+    users = table(spark, sf, "customer").withColumn("m", F.col("c_custkey").bitwiseAND(255))
+    first = users.groupBy("m").agg(F.min("c_name").alias("user_name"), F.min("c_custkey").alias("c_custkey"))
+    exact = users.select("c_custkey", F.col("c_name").alias("user_name"))
+    return joins.by_masked_id(lane(spark, sf), first.select(F.col("m").alias("id"), "user_name"), "steamid", "id", ["user_name"]).join(exact.withColumnRenamed("user_name", "x"), F.col("steamid") == F.col("c_custkey"), "left").select("seq", F.coalesce("user_name", "x").alias("user_name"))
+
+
+@query("SELECT o_orderkey, coalesce(a.side, 'UNKNOWN') AS side FROM orders LEFT JOIN (SELECT c_custkey, c_mktsegment AS side FROM customer WHERE c_custkey % 3 = 0) a ON a.c_custkey = o_custkey")
+def side_fallback(spark, sf):
+    roster = table(spark, sf, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.lit(None).cast("string").alias("who"), F.col("c_mktsegment").alias("side"))
+    df = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("id"), F.lit("nobody").alias("who"))
+    return joins.side_with_fallback(df, roster, "id", "who", "side").select("o_orderkey", "side")
+
+
+@query("SELECT seq FROM lane QUALIFY value > 50 OR coalesce(lag(value > 50) OVER (PARTITION BY steamid ORDER BY tick, seq), true)")
+def dead_collapse(spark, sf):
+    return win.collapse_dead(lane(spark, sf).withColumn("alive", F.col("value") > 50), ["steamid"], ["tick", "seq"], "alive").select("seq")
+
+
+@query(
+    """, b AS (SELECT steamid, max(tick) AS t FROM lane WHERE tick < 50000000 GROUP BY steamid) SELECT l.steamid, CAST(50000000 AS BIGINT) AS tick, max(l.seq) AS seq FROM lane l JOIN b ON b.steamid = l.steamid AND b.t = l.tick GROUP BY l.steamid
+    UNION ALL SELECT steamid, tick, seq FROM lane WHERE tick BETWEEN 50000000 AND 90000000 -- lane"""
+)
+def window_seed(spark, sf):
+    return joins.window_seed(lane(spark, sf).select("steamid", "tick", "seq"), ["steamid"], "tick", 50_000_000, 90_000_000)
+
+
+@query("SELECT p_partkey, '[' || p_brand || ', new]' AS added, '[]' AS removed FROM part")
+def tag_edits(spark, sf):
+    tags = F.concat(F.lit("["), F.col("p_brand"), F.lit("]"))
+    df = table(spark, sf, "part").select("p_partkey", "p_brand", tags.alias("tag"))
+    added = catalog.add_tag(df, F.lit(True), "new").select("p_partkey", F.col("tag").alias("added"))
+    removed = df.select("p_partkey", F.concat(F.lit("["), F.array_join(F.array_except(sc.text_tags(F.col("tag")), F.array("p_brand")), ", "), F.lit("]")).alias("removed"))
+    return added.join(removed, "p_partkey")
+
+
+@query("SELECT s_suppkey FROM supplier WHERE trim(s_name) = '' OR NOT (s_acctbal BETWEEN 0 AND 5000)")
+def invalid_rows(spark, sf):
+    return catalog.invalid(table(spark, sf, "supplier"), ["s_name"], {"s_acctbal": (0, 5000)}).select("s_suppkey")
+
+
+@query("SELECT o_custkey AS demo_name, coalesce(max(o_totalprice), 0) AS col_total, max(o_orderkey) AS collection_num FROM orders GROUP BY o_custkey")
+def largest_per_demo(spark, sf):
+    return catalog.largest_per_demo(table(spark, sf, "orders").select(F.col("o_custkey").alias("demo_name"), F.col("o_totalprice").alias("col_total"), F.col("o_orderkey").alias("collection_num")))
+
+
+@query("SELECT seq, CAST(row_number() OVER (PARTITION BY steamid ORDER BY CASE WHEN k > 50 THEN 0 ELSE 1 END, tick, seq) AS INTEGER) AS collection_num FROM lane")
+def stable_numbers(spark, sf):
+    return kills.numbered(lane(spark, sf), ["steamid"], ["tick", "seq"], F.col("k") > 50).select("seq", "collection_num")
+
+
+@query("SELECT seq FROM lane WHERE name = 'view' AND EXISTS (SELECT 1 FROM lane e WHERE e.name = 'error' AND e.tick // 64000 = lane.tick // 64000)")
+def event_ticks_semi(spark, sf):
+    df = lane(spark, sf).withColumn("t", F.floor(F.col("tick") / 64000))
+    return joins.present(df.where("name = 'view'"), df.where("name = 'error'").select("t").distinct(), ["t"]).select("seq")
