@@ -13,7 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes that an operator handles at a time inside a task.
-CHUNK_ROWS, CHUNK_BYTES = 2000, 8 << 20
+CHUNK_ROWS, CHUNK_BYTES = 2000, 4 << 20
+BATCH_KEY, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+#: What a Python worker keeps between batches, by owner.
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(owner: tuple, make: Callable[[], object]):
+    """The worker's state of one owner, made at first use. A worker that turns to another owner drops the state before: it holds one."""
+    if owner not in _KEPT:
+        _KEPT.clear()
+        _KEPT[owner] = make()
+    return _KEPT[owner]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,13 +42,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tickloom/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, hashes: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it again: lineage ends here and nothing is computed twice.
 
     The files stay until the shared folder is cleaned: results are lazy and may read them later.
+    hashes: most of the data are hashes, which neither a codec nor a dictionary makes smaller.
     """
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "snappy" if hashes else "zstd").option("parquet.enable.dictionary", str(not hashes).lower()).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -57,8 +71,15 @@ def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(start, step)
 
 
+def bounded(spark: SparkSession) -> None:
+    """Batches between Spark and Python hold few bytes, unless the session says otherwise: Spark's default of 64 MB is held several times over."""
+    if spark.conf.get(BATCH_KEY) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, str(CHUNK_BYTES))
+
+
 def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """mapInArrow over small slices; work sees one slice at a time."""
+    bounded(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sized(batches):

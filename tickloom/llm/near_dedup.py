@@ -6,8 +6,8 @@ whose rate is its weight; every arrival goes to a random register, which keeps i
 once its next arrival comes after the latest register. Two documents agree in a register with their probability Jaccard.
 Registers in bands of four give bucket keys. Equal texts are one node. In each bucket all nodes are compared with one pivot,
 the node whose buckets hold the most nodes, by the exact Jaccard of their shingle sets; links of 0.8 or more join classes.
-Then, where a bucket still holds several classes, nodes of different classes are compared as well, unless sizes or
-the distances to the pivot rule a link out (1 - Jaccard is a metric). So no candidate pair that could link two classes is skipped,
+Then, of the nodes of buckets that still hold several classes, those of different classes are compared that an exact prefix filter over
+their rarest shingles cannot tell apart. So no candidate pair that could link two classes is skipped,
 and a large group costs one comparison per node and bucket.
 
 With 20 bands of four, a pair at 0.8 shares a bucket with probability 0.99997.
@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_map, dropped, record_batch, small, with_text, written
+from .common import arrow_map, dropped, kept, record_batch, small, with_text, written
 
 WORDS, BANDS, ROWS, NUMERATOR, DENOMINATOR = 5, 20, 4, 4, 5
 REGISTERS = BANDS * ROWS
-CACHE = 500_000
+CACHE = 300_000
 #: Most ids that are broadcast.
 BROADCAST_ROWS = 1_000_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -54,15 +54,12 @@ class WordHashes(dict):
         return h
 
 
-HASHES = WordHashes()
-
-
 def shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct 64-bit shingle hashes and how often each occurs."""
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = np.fromiter(map(HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
+    h = np.fromiter(map(kept(("word hashes",), WordHashes).__getitem__, words), dtype=np.uint64, count=len(words))
     if len(h) < WORDS:
         h = np.concatenate((h, np.zeros(WORDS - len(h), np.uint64)))
     n = len(h) - WORDS + 1
@@ -146,6 +143,26 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("common"), F.size("set_a").alias("size_a"), F.size("set_b").alias("size_b"))
 
 
+def sharing_rare(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes (doc_id, class_id, shingles) of different classes that may have a Jaccard of 0.8.
+
+    Shingles are ordered by how many of the nodes have them. Two such sets share a shingle before place n - 0.8 n of either, and so early in
+    both that enough shingles follow; shingles of one node alone take places but match nothing. So copies that differ by words of their own meet nobody.
+    """
+    each = written(nodes.select(F.col("doc_id").alias("node"), "class_id", F.size("shingles").alias("n"), F.explode("shingles").alias("s")), "node-shingles", hashes=True)
+    counts = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    common = each.join(written(counts, "shingle-counts", hashes=True), "s")
+    alone = each.groupBy("node").agg(F.count("*").alias("all")).join(common.groupBy("node").agg(F.count("*").alias("shared")), "node").select("node", (F.col("all") - F.col("shared")).alias("alone"))
+    ranked = common.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("df", "s")) - 1).join(alone, "node")
+    prefix = written(ranked.withColumn("i", F.col("alone") + F.col("rank")).where(f"{DENOMINATOR} * (n - i) >= {NUMERATOR} * n").select("node", "class_id", "n", "i", "s"), "prefixes", hashes=True)
+    x, y = prefix.alias("x"), prefix.alias("y")
+    both = (NUMERATOR * (F.col("x.n") + F.col("y.n"))).cast("long")
+    close = (F.col("x.s") == F.col("y.s")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.class_id") != F.col("y.class_id"))
+    close &= F.least("x.n", "y.n") * DENOMINATOR >= F.greatest("x.n", "y.n") * NUMERATOR
+    close &= F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i")) * (NUMERATOR + DENOMINATOR) >= both
+    return x.join(y, close).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
 def linked():
     """common / (size_a + size_b - common) ≥ 4/5, in whole numbers."""
     return F.col("common") * (NUMERATOR + DENOMINATOR) >= NUMERATOR * (F.col("size_a") + F.col("size_b"))
@@ -197,18 +214,11 @@ def classes(docs: DataFrame) -> DataFrame:
     copies = rows.where("doc_id is not null").join(nodes.select("text_key", "node"), "text_key").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b")
     links = first.where(linked()).select("a", "b")
     found = written(components(links), "classes")
-    # buckets that still hold several classes
-    far = first.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "common", "size_a", "size_b")
-    placed = stars.join(found, "node", "left").withColumn("class_id", F.coalesce("class_id", "node")).join(far, ["node", "pivot"], "left")
-    near = F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))
-    placed = written(placed.select("bucket", "node", "class_id", F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(1 - near).alias("away"), "size_a"), "placed")
+    # nodes of buckets that still hold several classes: of those in different classes, pairs that share rare shingles (an exact prefix filter)
+    placed = stars.join(found, "node", "left").select("bucket", "node", F.coalesce("class_id", "node").alias("class_id"))
     mixed_buckets = written(placed.groupBy("bucket").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low < high").select("bucket"), "mixed")
-    left = placed.join(mixed_buckets, "bucket")
-    x, y = left.alias("x"), left.alias("y")
-    close = (F.col("x.class_id") != F.col("y.class_id")) & (F.col("x.node") < F.col("y.node")) & (F.abs(F.col("x.away") - F.col("y.away")) <= 0.2 + 1e-9)
-    close &= (F.col("x.away") > 0) & (F.col("y.away") > 0)  # pivots have been compared with all of their bucket
-    close &= F.least("x.size_a", "y.size_a") * DENOMINATOR >= F.greatest("x.size_a", "y.size_a") * NUMERATOR
-    more = written(x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & close).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "cross-pairs")
+    asked = placed.join(mixed_buckets, "bucket").select(F.col("node").alias("doc_id"), "class_id").distinct()
+    more = written(sharing_rare(sets.join(written(asked, "mixed-nodes"), "doc_id")), "cross-pairs")
     second = verified(more, sets).where(linked()).select("a", "b")
     final = written(components(written(links.unionByName(second).unionByName(copies), "links")), "classes")
     return with_class(rows, final)
