@@ -1,11 +1,12 @@
 """Toxicity by compression distance: two zstandard dictionaries and the lengths of compressed windows.
 
 One dictionary is trained on ordinary text, the other on the same base and on what recurs in toxic documents but hardly
-in ordinary ones. Every document is cut at spaces into short windows; each window is compressed with both, and the
-difference of the lengths says how much closer the window lies to toxic text. A logistic curve, calibrated on labelled
-documents that neither dictionary saw, turns the differences' figures into a score; the window thresholds are those that
-separate the calibration documents best. Labels come from a bounded sample (`per_class` of each label) that leaves the
-held-out fifth alone; every text is scored whole.
+in ordinary ones (words, or runs of bytes in them). Every document is cut at spaces into short windows; each window is compressed
+with both, and the difference of the lengths says how much closer the window lies to toxic text. A logistic curve, calibrated
+on labelled documents that neither dictionary saw, turns the figures of the differences into a probability. A few such pairs are
+trained on different halves of the sample and averaged, as one pair depends on what it happened to see; a last curve, fitted on documents
+that each pair had not seen, gives the score, 0.5 being the threshold of the best F1 at the share of toxic labels in the whole table. Labels come from a bounded
+sample (`per_class` of each label) that leaves the held-out fifth alone; every text is scored whole.
 
 Defined results: null text counts as empty, has one empty window and a score; repeated rows and ids are scored one by one;
 without labels of both kinds (or too few to train a dictionary) every score is 0; extra columns are ignored.
@@ -14,12 +15,14 @@ without labels of both kinds (or too few to train a dictionary) every score is 0
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import arrow_map, held_out, labelled_sample, record_batch, with_text
 
@@ -63,8 +66,10 @@ def figures(text: str, ordinary: zstandard.ZstdCompressor, toxic: zstandard.Zstd
 
 
 @dataclass
-class Model:
-    ordinary: bytes  # dictionary contents
+class Pair:
+    """Contents of the two dictionaries and the curve over the figures."""
+
+    ordinary: bytes
     toxic: bytes
     mean: np.ndarray
     scale: np.ndarray
@@ -75,21 +80,43 @@ class Model:
         return np.array([figures(t, a, b) for t in texts])
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        z = (x - self.mean) / self.scale @ self.weights[:-1] + self.weights[-1]
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return sigmoid((x - self.mean) / self.scale @ self.weights[:-1] + self.weights[-1])
+
+
+@dataclass
+class Model:
+    pairs: list[Pair]
+    slope: float
+    shift: float
 
+    def scores(self, texts: list[str]) -> np.ndarray:
+        mean = np.mean([p.scores(p.figures(texts)) for p in self.pairs], axis=0)
+        return sigmoid(self.slope * logit(mean) + self.shift)
 
-def _calibrated(model: Model, x: np.ndarray, y: np.ndarray) -> float:
-    """Fits the logistic curve by Newton steps; returns the mean log loss."""
-    model.mean, model.scale = x.mean(0), x.std(0) + 1e-6
-    a = np.c_[(x - model.mean) / model.scale, np.ones(len(y))]
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def logit(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-6, 1 - 1e-6)
+    return np.log(p / (1 - p))
+
+
+def newton(a: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
+    """Weights of a logistic curve over the columns of a."""
     w = np.zeros(a.shape[1])
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = (a * (p * (1 - p))[:, None]).T @ a + 0.5 * np.eye(len(w))
-        w -= np.linalg.solve(h, a.T @ (p - y) + 0.5 * w)
-    model.weights = w
-    p = np.clip(model.scores(x), 1e-9, 1 - 1e-9)
+        p = sigmoid(a @ w)
+        w -= np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + (ridge + 1e-9) * np.eye(len(w)), a.T @ (p - y) + ridge * w)
+    return w
+
+
+def _calibrated(pair: Pair, x: np.ndarray, y: np.ndarray) -> float:
+    """Fits the pair's curve; returns the mean log loss."""
+    pair.mean, pair.scale = x.mean(0), x.std(0) + 1e-6
+    pair.weights = newton(np.c_[(x - pair.mean) / pair.scale, np.ones(len(y))], y, 0.5)
+    p = np.clip(pair.scores(x), 1e-9, 1 - 1e-9)
     return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
 
 
@@ -99,58 +126,93 @@ def grams(word: bytes) -> set[bytes]:
     return {word[i : i + GRAM] for i in range(max(1, len(word) - GRAM + 1))}
 
 
-def recurring(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """Of each toxic document the words with runs of bytes that recur among toxic documents far more than among ordinary ones."""
-    in_toxic, in_ordinary = (Counter(g for d in some for g in set().union(*map(grams, set(d.split())))) for some in (toxic, ordinary))
+def recurring(toxic: list[bytes], ordinary: list[bytes], parts: Callable[[bytes], set[bytes]] = grams) -> list[bytes]:
+    """Of each toxic document the words with parts that recur among toxic documents far more than among ordinary ones."""
+    in_toxic, in_ordinary = (Counter(g for d in some for g in set().union(*map(parts, set(d.split())))) for some in (toxic, ordinary))
     usual, least = len(toxic) / max(1, len(ordinary)), max(3, len(toxic) // 150)
     signs = {g for g, n in in_toxic.items() if n >= least and n > EXCESS * usual * (in_ordinary[g] + 0.5)}
-    found = (b" " + b" ".join(w for w in d.split() if not signs.isdisjoint(grams(w))) + b" " for d in toxic)
+    found = (b" " + b" ".join(w.strip(b".,;:!?") for w in d.split() if not signs.isdisjoint(parts(w))) + b" " for d in toxic)
     return [x for x in found if len(x) > 2]
 
 
-def fit(texts: list[str], labels: list[int], seed: int = 5) -> Model | None:
-    """Two thirds of the documents train the dictionaries, the rest calibrates; None where that is impossible."""
-    rng = np.random.default_rng(seed)
-    learn = rng.random(len(texts)) < 0.65
-    data = [normal(t) for t in texts]
+def whole_word(word: bytes) -> set[bytes]:
+    return {word.strip(b".,;:!?")}
+
+
+def fit_pair(data: list[bytes], texts: list[str], labels: np.ndarray, learn: np.ndarray, parts: Callable[[bytes], set[bytes]], rng: np.random.Generator) -> tuple[Pair, np.ndarray] | None:
+    """The pair whose size calibrates best, and the probabilities of the documents that it did not learn from."""
     toxic = [d for d, y, own in zip(data, labels, learn) if y and own]
     ordinary = [d for d, y, own in zip(data, labels, learn) if not y and own]
-    y = np.array([v for v, own in zip(labels, learn) if not own], dtype=float)
+    y = labels[~learn].astype(float)
     if not toxic or not ordinary or not y.size or y.min() == y.max():
         return None
     plain = [w for d in ordinary for w in windows(d)]
     plain = [plain[i] for i in rng.permutation(len(plain))[:80_000]]
-    signs = recurring(toxic, ordinary)
+    half = len(plain) // 2
+    signs = recurring(toxic, ordinary, parts)
     rest = [t for t, own in zip(texts, learn) if not own]
-    best: tuple[float, Model] | None = None
-    for part in PARTS:
+    best: tuple[float, Pair, np.ndarray] | None = None
+    for size in PARTS:
         try:
-            half = len(plain) // 2
             base = zstandard.train_dictionary(BASE, plain[:half], k=32, d=8).as_bytes()
-            own = zstandard.train_dictionary(part, plain[half:], k=32, d=8).as_bytes()
-            marked = zstandard.train_dictionary(part, signs, k=16, d=6).as_bytes()
+            own = zstandard.train_dictionary(size, plain[half:], k=32, d=8).as_bytes()
+            marked = zstandard.train_dictionary(size, signs, k=16, d=6).as_bytes()
         except zstandard.ZstdError:  # too few samples for this size
             continue
-        model = Model(own + base, marked + base, np.zeros(0), np.ones(0), np.zeros(0))
-        loss = _calibrated(model, model.figures(rest), y)
+        pair = Pair(own + base, marked + base, np.zeros(0), np.ones(0), np.zeros(0))
+        x = pair.figures(rest)
+        loss = _calibrated(pair, x, y)
         if best is None or loss < best[0]:
-            best = loss, model
-    return best and best[1]
+            best = loss, pair, pair.scores(x)
+    return best and best[1:]
+
+
+def best_threshold(z: np.ndarray, y: np.ndarray, odds: float | None) -> float:
+    """The threshold of the best F1, where ordinary documents weigh as they do in the whole table; it becomes the score 0.5."""
+    weight = y.sum() / odds / max(1.0, (1 - y).sum()) if odds else 1.0
+    order = np.argsort(-z, kind="stable")
+    hits, false = np.cumsum(y[order]), np.cumsum(1 - y[order]) * weight
+    k = int((2 * hits / (hits + false + y.sum())).argmax())
+    return float(z[order[k]] + z[order[min(k + 1, len(z) - 1)]]) / 2
+
+
+def fit(texts: list[str], labels: list[int], odds: float | None = None, seed: int = 5) -> Model | None:
+    """Pairs that each learn from two thirds of the documents, and the last curve. odds: of toxic to ordinary in the whole table.
+
+    None where no pair can be trained.
+    """
+    rng = np.random.default_rng(seed)
+    data, y = [normal(t) for t in texts], np.array(labels, dtype=int)
+    pairs, total, seen = [], np.zeros(len(texts)), np.zeros(len(texts))
+    for parts in (whole_word, grams, grams):
+        learn = rng.random(len(texts)) < 0.65
+        if found := fit_pair(data, texts, y, learn, parts, rng):
+            pairs.append(found[0])
+            total[~learn] += found[1]
+            seen[~learn] += 1
+    if not pairs:
+        return None
+    out = seen > 0
+    x, known = logit(total[out] / seen[out]), y[out].astype(float)
+    slope = newton(np.c_[x, np.ones(len(x))], known, 0.05)[0]
+    shift = -best_threshold(slope * x, known, odds)
+    return Model(pairs, float(slope), float(shift))
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model | None:
     """Fits on the driver on at most per_class documents of each label, of at most LONGEST characters."""
     rows = labelled_sample(docs, labels, "toxic", per_class, LONGEST).collect()
-    return fit([r["text"] for r in rows], [r["label"] for r in rows])
+    known = {r["toxic"]: r["n"] for r in labels.where(~held_out()).where("toxic in (0, 1)").groupBy(F.col("toxic").cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
+    return fit([r["text"] for r in rows], [r["label"] for r in rows], known.get(1, 0) / max(1, known.get(0, 0)))
 
 
 def score(docs: DataFrame, model: Model | None, flag: float = FLAG) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document; the model is some 70 kB whatever the input."""
+    """doc_id, held_out, score, predicted of every document; the model is some 200 kB whatever the input."""
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(1).to_pylist()
-        scores = model.scores(model.figures(texts)) if model and texts else np.zeros(len(texts))
+        scores = model.scores(texts) if model and texts else np.zeros(len(texts))
         return record_batch(schema, doc_id=batch.column(0), held_out=batch.column(2), score=scores, predicted=(scores >= flag).astype(np.int32))
 
     return arrow_map(with_text(docs).withColumn("held_out", held_out()), work, "doc_id long, held_out boolean, score double, predicted int")
