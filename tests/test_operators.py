@@ -169,3 +169,12 @@ def test_windows_of_state(spark):
     flash = spark.createDataFrame([(1, 0, None), (1, 10, 640), (1, 74, None), (1, 80, -1), (1, 90, None)], "p int, tick int, dur int")
     got = win.state_until_reset(flash, ["p"], ["tick"], F.coalesce(F.col("dur") == -1, F.lit(False)), F.when(F.col("dur") > 0, F.col("tick") + F.col("dur")), "tick", "left")
     assert [r["left"] for r in got.orderBy("tick").collect()] == [None, 10.0, 9.0, None, None]
+
+
+def test_catalog_updates(spark):
+    df = spark.createDataFrame([(1, "a", None), (2, "b", 5)], "n int, tag string, size int")
+    new = spark.createDataFrame([(1, 7), (2, 8)], "n int, size int")
+    assert rows(catalog.updated(df, new, ["n"], ["size"]), "n") == [(1, "a", 7), (2, "b", 8)]
+    assert rows(catalog.filled_where_null(df, new, ["n"], ["size"]), "n") == [(1, "a", 7), (2, "b", 5)]
+    assert rows(catalog.tick_data_enabled(df, new.where("n = 2"), ["n"]).select("n", "tick_data"), "n") == [(1, 0), (2, 1)]
+    assert catalog.migrated(df, {"size": "long", "path": "string"}).columns == ["size", "path", "n", "tag"]

@@ -164,3 +164,27 @@ def resolved(filters: DataFrame, paths: DataFrame, path: str = "demo_path") -> D
     rest = filters.join(paths.select(F.col(path).alias("path")), "path", "left_anti").withColumn("__stem", canonical_name(F.col("path")))
     by_stem = named.where("__n = 1").join(rest.select("__stem", "collections"), "__stem")
     return exact.select(path, "collections").unionByName(by_stem.select(path, "collections")).dropDuplicates([path])
+
+
+def updated(df: DataFrame, changes: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """df with columns of the matching change row where that has a value; rows without a change stay as they are."""
+    c = changes.select(*keys, *[F.col(x).alias(f"__{x}") for x in columns])
+    return df.join(c, list(keys), "left").select(*[F.coalesce(f"__{x}", x).alias(x) if x in columns else F.col(x) for x in df.columns])
+
+
+def filled_where_null(df: DataFrame, changes: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """A guarded backfill: only cells that are null take the change row's value."""
+    c = changes.select(*keys, *[F.col(x).alias(f"__{x}") for x in columns])
+    return df.join(c, list(keys), "left").select(*[F.coalesce(x, f"__{x}").alias(x) if x in columns else F.col(x) for x in df.columns])
+
+
+def tick_data_enabled(df: DataFrame, found: DataFrame, keys: Sequence[str], column: str = "tick_data") -> DataFrame:
+    """1 where the asset is there, 0 elsewhere: reset and enable in one pass."""
+    there = found.select(*keys).distinct().withColumn("__there", F.lit(1))
+    return df.join(there, list(keys), "left").withColumn(column, F.coalesce("__there", F.lit(0))).drop("__there")
+
+
+def migrated(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """df with the columns that an older version lacks, as null, in the declared order and types; unknown columns go last."""
+    known = [(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in columns.items()]
+    return df.select(*known, *[c for c in df.columns if c not in columns])

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 HEADER_BYTES, COMPRESSED, ROWS = 16, 64, 5000
 # Fixed values of the format: frame commands and message types that the lanes use.
 COMMANDS = {0: "stop", 1: "header", 2: "info", 3: "sync", 4: "send_tables", 5: "class_info", 6: "string_tables", 7: "packet", 8: "signon", 9: "console", 13: "full_packet", 15: "spawn_groups"}
-PACKET, SIGNON, FULL_PACKET, FILE_HEADER = 7, 8, 13, 1
+PACKET, SIGNON, FULL_PACKET, FILE_HEADER, CLASS_INFO, STRING_TABLES = 7, 8, 13, 1, 5, 6
 SET_CONVAR, VOICE, EVENT_LIST, EVENT, CHAT, SERVER_TEXT = 6, 47, 205, 207, 118, 124
 HEADER_FIELDS = {
     1: "demo_file_stamp",
@@ -40,7 +40,7 @@ HEADER_FIELDS = {
 
 
 class Bits:
-    """Reads little-endian bits."""
+    """Reads little-endian bits, and the numbers that they encode."""
 
     def __init__(self, data: bytes):
         self.value, self.at, self.end = int.from_bytes(data, "little"), 0, 8 * len(data)
@@ -65,6 +65,24 @@ class Bits:
         more = {0: 0, 1: 4, 2: 8, 3: 28}[first >> 4]
         return first if not more else first & 15 | self.bits(more) << 4
 
+    def signed(self) -> int:
+        """A varint in zig-zag order."""
+        n = self.varint()
+        return n >> 1 ^ -(n & 1)
+
+    def coordinate(self) -> float:
+        """Flags for a whole and a fractional part, a sign, 14 bits (from 1 on) and 32nds."""
+        whole, part = self.bits(1), self.bits(1)
+        if not whole and not part:
+            return 0.0
+        minus = self.bits(1)
+        value = (self.bits(14) + 1 if whole else 0) + (self.bits(5) / 32 if part else 0.0)
+        return -value if minus else value
+
+    def quantised(self, bits: int, low: float, high: float) -> float:
+        """A number of `bits` bits that spans [low, high]."""
+        return low + (high - low) * self.bits(bits) / ((1 << bits) - 1)
+
     @property
     def left(self) -> int:
         return self.end - self.at
@@ -240,6 +258,50 @@ def _voice(content: bytes) -> Iterator[tuple]:
                 yield frame, i, tick, int.from_bytes(xuid, "little") if isinstance(xuid, bytes) else xuid, audio.get(2, b"")
 
 
+def _string_tables(content: bytes) -> Iterator[tuple[int, int, str, str, bytes]]:
+    """(frame, tick, table, key, value) of the tables that a log repeats whole, in frames of their own and in full packets."""
+    for frame, command, compressed, tick, offset, size in frames_of(content):
+        if command in (STRING_TABLES, FULL_PACKET):
+            data = payload(content, compressed, offset, size)
+            if command == FULL_PACKET:
+                data = next((v for k, v in fields(data) if k == 1 and isinstance(v, bytes)), b"")
+            for k, one in fields(data):
+                parts = list(fields(one)) if k == 1 and isinstance(one, bytes) else []
+                name = text(next((v for n, v in parts if n == 1), b""))
+                for n, item in parts:
+                    if n == 2:
+                        got = dict(fields(item))
+                        yield frame, tick, name, text(got.get(1, b"")), got.get(2, b"")
+
+
+def _tables(content: bytes) -> Iterator[tuple]:
+    for frame, tick, name, key, value in _string_tables(content):
+        yield frame, tick, name, key, len(value)
+
+
+def _users(content: bytes) -> Iterator[tuple]:
+    long = lambda v: int.from_bytes(v, "little") if isinstance(v, bytes) else v
+    for frame, tick, name, key, value in _string_tables(content):
+        if name == "userinfo" and value:
+            got = dict(fields(value))
+            yield frame, tick, int(key) if key.isdigit() else None, text(got.get(1, b"")), long(got.get(4, got.get(2, 0))), got.get(3), bool(got.get(5, 0)), bool(got.get(6, 0))
+
+
+def _classes(content: bytes) -> Iterator[tuple]:
+    for _, command, compressed, _, offset, size in frames_of(content):
+        if command == CLASS_INFO:
+            for k, one in fields(payload(content, compressed, offset, size)):
+                if k == 1:
+                    got = dict(fields(one))
+                    yield got.get(1, 0), text(got.get(2, b"")), text(got.get(3, b""))
+            return
+
+
+def _event_list(content: bytes) -> Iterator[tuple]:
+    for number, (name, keys) in _event_names(content).items():
+        yield number, name, {k: kind for kind, k in keys}
+
+
 #: lane → (rows of a file, columns after `file`)
 LANES: dict[str, tuple[Callable[[bytes], Iterator[tuple]], str]] = {
     "frames": (_frames, "frame long, command int, kind string, compressed boolean, tick int, offset long, size long"),
@@ -248,6 +310,10 @@ LANES: dict[str, tuple[Callable[[bytes], Iterator[tuple]], str]] = {
     "events": (_events, "frame long, message int, tick int, name string, fields map<string,string>"),
     "convars": (_convars, "frame long, message int, tick int, name string, value string"),
     "chat": (_chat, "frame long, message int, tick int, sender string, text string"),
+    "string_tables": (_tables, "frame long, tick int, name string, key string, size long"),
+    "users": (_users, "frame long, tick int, slot int, name string, steamid long, userid int, bot boolean, hltv boolean"),
+    "classes": (_classes, "class_id int, network_name string, table_name string"),
+    "event_list": (_event_list, "event_id int, name string, keys map<string,int>"),
     "voice": (_voice, "frame long, message int, tick int, steamid long, audio binary"),
 }
 

@@ -61,3 +61,26 @@ def fnv1a(df: DataFrame, column: str, name: str = "checksum") -> DataFrame:
         return values.map(one).astype("Int64")
 
     return df.withColumn(name, digest(F.col(column)))
+
+
+def read_dense(df: DataFrame, clip: Sequence[str], values: Sequence[str], npz: str = "npz") -> DataFrame:
+    """The rows of dense_arrays() again: clip columns, tick, player and values, without empty cells."""
+    kinds = dict(df.dtypes)
+
+    def rows(frames):
+        for pdf in frames:
+            for _, one in pdf.iterrows():
+                with np.load(io.BytesIO(one[npz])) as arrays:
+                    grids = [arrays[v] for v in values]
+                    t, p = np.nonzero(~np.all([np.isnan(g) for g in grids], axis=0))
+                    yield pd.DataFrame({c: [one[c]] * len(t) for c in clip} | {"tick": arrays["ticks"][t], "player": arrays["players"][p]} | {v: g[t, p] for v, g in zip(values, grids)})
+
+    schema = ", ".join([f"{c} {kinds[c]}" for c in clip] + ["tick long", "player long"] + [f"{v} double" for v in values])
+    return df.select(*clip, npz).mapInPandas(rows, schema)
+
+
+def csr(df: DataFrame, clip: Sequence[str], order: str, values: Sequence[str]) -> DataFrame:
+    """Per clip the rows of a sparse lane as parallel arrays in order, with the count: compressed sparse rows."""
+    listed = F.sort_array(F.collect_list(F.struct(order, *values)))
+    grouped = df.groupBy(*clip).agg(listed.alias("__l"))
+    return grouped.select(*clip, F.size("__l").alias("n"), *[F.col("__l")[c].alias(c) for c in (order, *values)])
