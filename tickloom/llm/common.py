@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes that an operator handles at a time inside a task.
-CHUNK_ROWS, CHUNK_BYTES = 2000, 4 << 20
+CHUNK_ROWS, CHUNK_BYTES = 2000, 2 << 20
 BATCH_KEY, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
@@ -22,9 +25,14 @@ _KEPT: dict[tuple, object] = {}
 
 
 def kept(owner: tuple, make: Callable[[], object]):
-    """The worker's state of one owner, made at first use. A worker that turns to another owner drops the state before: it holds one."""
+    """The worker's state of one owner, made at first use. A worker that turns to another owner drops the state before and gives its memory back."""
     if owner not in _KEPT:
-        _KEPT.clear()
+        if _KEPT:
+            _KEPT.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not glibc
+                ctypes.CDLL(None).malloc_trim(0)
         _KEPT[owner] = make()
     return _KEPT[owner]
 
@@ -124,9 +132,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
 
 
 def released(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files of frames that are gone: the cleaner works when the driver's JVM collects garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Lets Spark delete shuffle files of frames that are gone: its cleaner works, on a thread of its own, when the driver's JVM collects garbage."""
+    for _ in range(2):  # what the first round frees may hold more
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:

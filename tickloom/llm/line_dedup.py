@@ -1,17 +1,18 @@
 """Line dedup: an exact set-similarity join over the lines of all documents, in DataFrame functions only.
 
-A line's tokens are its distinct lower-case words, ordered by rarity (quarter-octave classes of counts over the whole corpus, then hash).
+A line's tokens are its distinct lower-case words (what stands between blanks), ordered by rarity (quarter-octave classes of counts over the whole corpus, then hash).
 Lines with equal tokens are one set, at its first place. Two sets whose Jaccard is 0.8 or more share a token within their prefixes
-(n - ceil(0.8 n) + 1 rarest tokens); pairs that share one must pass the length filter, the positional filter (tokens after the
-shared one must suffice) and a bitmap filter (bits that differ in two 64-bit parity sketches are tokens that differ). What passes is verified
+(n - ceil(0.8 n) + 1 rarest tokens); pairs that share one must pass the length filter, the positional filter (a shared token's places
+cannot lie further apart than the tokens that may differ), a bitmap filter (bits that differ in two 64-bit parity sketches are tokens that
+differ) and share as many prefix tokens as the prefixes' lengths ask for. What passes is verified
 by the exact Jaccard of the lines' tokens. Of each pair the later line goes; later copies of a set go as well; lines without tokens stay.
 
 A family of thousands of similar lines must not be paired with itself: first every set is compared with the earliest set that
 shares one of its commonest prefix tokens, and only sets that found no match there look at everything else. As any earlier line
 is reason enough to remove a line, whether that one stays or not, the result is that of comparing all pairs.
 
-Tokens are compared by 56 bits of their hash (two tokens of a corpus of ten million words coincide with probability 0.001), sets by 64 bits;
-verification compares the words themselves. Counts are kept for a fixed number of hash buckets, which only affects order.
+Words are told apart by 56 bits of their hash and sets by 64 while candidates are sought; verification compares the words themselves.
+Counts are kept for a fixed number of hash buckets, which only affects the order.
 
 Defined results: null text counts as empty and stays null in remove(); rows without an id keep all their lines; rows that repeat an id and a text are
 one document; places are ordered by document id and line number, of the same place the smaller set key counts as earlier; extra columns stay.
@@ -25,113 +26,134 @@ from pyspark.sql import functions as F
 from .common import dropped, released, small, written
 
 #: Hash buckets of the counts; tokens by which families are found; most keys that are broadcast.
-BUCKETS, FAMILY_TOKENS, BROADCAST_ROWS = 1 << 20, 3, 1_000_000
-#: White space besides the blank, inside a line.
-BLANKS = "\t\r\f\x0b"
+BUCKETS, FAMILY_TOKENS, BROADCAST_ROWS = 1 << 18, 3, 1_000_000
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, line_no, words (array of the line's words, with repeats and empty ones)."""
+    """doc_id, text_key, line_no, line."""
     text = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    split = text.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return split.select("doc_id", "text_key", "line_no", F.split(F.lower(F.translate("line", BLANKS, " " * len(BLANKS))), " ", -1).alias("words"))
+    return text.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
 
 
-def hashed(lines: DataFrame) -> DataFrame:
-    """Adds hashes: of the distinct words."""
-    return lines.withColumn("hashes", F.expr("array_remove(array_distinct(transform(words, w -> xxhash64(w))), xxhash64(''))"))
+def words_of(line: str):
+    """The words of a line, with repeats and empty ones."""
+    return F.split(F.lower(F.col(line)), " ", -1)
 
 
 def rarity(lines: DataFrame) -> DataFrame:
-    """One row: classes, array<tinyint> with the class of each bucket's count (4 for a count of 1); its size is fixed by BUCKETS."""
-    counted = lines.select(F.explode("hashes").alias("h")).select(F.expr(f"cast(h & {BUCKETS - 1} as int)").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    """One row: classes, array<tinyint> with the class of each bucket's count; its size is fixed by BUCKETS."""
+    words = lines.select(F.explode(words_of("line")).alias("w"))
+    counted = words.select(F.expr(f"cast(xxhash64(w) & {BUCKETS - 1} as int)").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
     every = counted.unionByName(lines.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("n")))
     every = every.groupBy("bucket").agg(F.least(F.lit(127), F.floor(4 * F.log2(F.sum("n") + 1))).cast("byte").alias("class"))
     return every.agg(F.expr("transform(sort_array(collect_list(struct(bucket, class))), x -> x.class)").alias("classes"))
 
 
-def sets_of(lines: DataFrame, classes: DataFrame) -> DataFrame:
-    """doc_id, text_key, line_no, key, n, prefix, sketch of every line with tokens."""
+def keyed(lines: DataFrame, classes: DataFrame) -> DataFrame:
+    """doc_id, text_key, line_no, key, n, prefix, sketch of every line; n is 0 for a line without words.
+
+    No filter on n here: it would be pushed down and the arrays computed twice.
+    """
     spark = lines.sparkSession
     # a lambda can't hold a subquery, but it can name a session variable; the array's size is fixed by BUCKETS
     classes.createOrReplaceTempView("line_rarity")
     spark.sql("DECLARE OR REPLACE VARIABLE line_classes ARRAY<TINYINT>")
     spark.sql("SET VARIABLE line_classes = (SELECT classes FROM line_rarity)")
     spark.catalog.dropTempView("line_rarity")
-    ordered = F.expr(f"sort_array(transform(hashes, h -> shiftleft(cast(line_classes[cast(h & {BUCKETS - 1} as int)] as bigint), 56) | shiftrightunsigned(h, 8)))")
-    rows = lines.where(F.size("hashes") > 0).select("doc_id", "text_key", "line_no", ordered.alias("t"))
-    return rows.select(
+    # class in the upper 8 bits, hash below; one lambda for both, as every pass over an array costs
+    # (never null, so that arrays stay primitive)
+    place = lambda w: f"coalesce(shiftleft(cast(line_classes[cast(xxhash64({w}) & {BUCKETS - 1} as int)] as bigint), 56) | shiftrightunsigned(xxhash64({w}), 8), 0L)"
+    words = lines.select("doc_id", "text_key", "line_no", words_of("line").alias("words"))
+    ordered = F.expr(f"sort_array(array_remove(array_distinct(transform(words, w -> {place('w')})), {place(chr(39) * 2)}))")
+    return words.select("doc_id", "text_key", "line_no", ordered.alias("t")).select(
         "doc_id",
         "text_key",
         "line_no",
         F.xxhash64("t").alias("key"),
         F.size("t").alias("n"),
-        F.expr("slice(t, 1, size(t) - (4 * size(t) + 4) div 5 + 1)").alias("prefix"),
+        # 31 bits will do to find candidates
+        F.expr("transform(slice(t, 1, size(t) - (4 * size(t) + 4) div 5 + 1), x -> cast(x & 2147483647 as int))").alias("prefix"),
         F.expr("aggregate(t, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))").alias("sketch"),
     )
 
 
-def pairs_filter(earlier: str, later: str):
-    """Length, bitmap and positional filters, and the order of places."""
+def comparable(x: str, y: str):
+    """Length and bitmap filters of two postings, and how far the places of a shared token may lie apart; all hold for every token that two similar sets share."""
     c = lambda side, name: F.col(f"{side}.{name}")
-    both = c(earlier, "n") + c(later, "n")
-    place = lambda side: F.struct(c(side, "doc_id"), c(side, "line_no"), c(side, "key"))
+    both = c(x, "n") + c(y, "n")
     return (
-        (5 * F.least(c(earlier, "n"), c(later, "n")) >= 4 * F.greatest(c(earlier, "n"), c(later, "n")))
-        & (9 * F.bit_count(c(earlier, "sketch").bitwiseXOR(c(later, "sketch"))) <= both)
-        & (9 * F.least(c(earlier, "n") - c(earlier, "i"), c(later, "n") - c(later, "i")) >= 4 * both)
-        & (place(earlier) < place(later))
+        (5 * F.least(c(x, "n"), c(y, "n")) >= 4 * F.greatest(c(x, "n"), c(y, "n")))
+        & (9 * F.bit_count(c(x, "sketch").bitwiseXOR(c(y, "sketch"))) <= both)
+        & (9 * (c(x, "n") - c(x, "i") + c(y, "i")) >= 4 * both)
+        & (9 * (c(y, "n") - c(y, "i") + c(x, "i")) >= 4 * both)
     )
 
 
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """Keys (later) of pairs (earlier, later) whose lines' words have a Jaccard of 0.8 or more."""
-    keys = written(pairs.select(F.explode(F.array("earlier", "later")).alias("key")).distinct(), "line-keys")
-    places = written(small(keys, BROADCAST_ROWS).join(sets.select("key", "doc_id", "text_key", "line_no"), "key"), "line-places")
-    lines = lines_of(docs).join(small(places, BROADCAST_ROWS), ["doc_id", "text_key", "line_no"])
-    words = written(lines.groupBy("key").agg(F.first(F.expr("array_remove(array_distinct(words), '')")).alias("words")), "line-words")
-    both = pairs.join(words.select(F.col("key").alias("earlier"), F.col("words").alias("a")), "earlier").join(words.select(F.col("key").alias("later"), F.col("words").alias("b")), "later")
-    common = F.size(F.array_intersect("a", "b"))
-    found = written(both.where(9 * common >= 4 * (F.size("a") + F.size("b"))).select("later").distinct(), "line-matches")
+    """later: keys of the later sets of pairs (a, b) whose lines' words have a Jaccard of 0.8 or more."""
+    keys = written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "line-keys")
+    places = written(sets.join(small(keys, BROADCAST_ROWS), "key").select("key", "doc_id", "text_key", "line_no"), "line-places")
+    few = docs.join(small(places.select(F.col("doc_id").alias("__id")).distinct(), BROADCAST_ROWS), F.col("doc_id").cast("long") == F.col("__id"), "left_semi")
+    lines = lines_of(few).join(small(places, BROADCAST_ROWS), ["doc_id", "text_key", "line_no"])
+    first = lines.groupBy("key").agg(F.min(F.struct("doc_id", "line_no", "key")).alias("place"), F.first("line").alias("line"))
+    words = written(first.select("key", "place", F.expr("array_remove(array_distinct(split(lower(line), ' ', -1)), '')").alias("words")), "line-words")
+    side = lambda k: words.select(F.col("key").alias(k), F.col("place").alias(f"place_{k}"), F.col("words").alias(f"words_{k}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    common = F.size(F.array_intersect("words_a", "words_b"))
+    linked = both.where(9 * common >= 4 * (F.size("words_a") + F.size("words_b")))
+    found = written(linked.select(F.when(F.col("place_a") < F.col("place_b"), F.col("b")).otherwise(F.col("a")).alias("later")).distinct(), "line-matches")
     for old in (keys, places, words):
         dropped(old)
+    released(docs.sparkSession)
     return found
 
 
 def removals(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, gone (line numbers) of the documents that lose lines."""
     spark = docs.sparkSession
-    lines = hashed(lines_of(docs))
-    all_lines = written(sets_of(lines, written(rarity(lines), "rarity")), "line-sets")
+    lines = lines_of(docs)
+    all_lines = written(keyed(lines, written(rarity(lines), "rarity")), "line-keys", hashes=True)
     released(spark)
-    place = F.struct("doc_id", "line_no", "text_key")
-    sets = all_lines.groupBy("key").agg(F.min(place).alias("place"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
-    sets = written(sets.select("key", "place.*", "n", "prefix", "sketch"), "sets")
+    sets = all_lines.where("n > 0").groupBy("key").agg(F.min(F.struct("doc_id", "line_no", "text_key")).alias("place"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
+    sets = written(sets.select("key", "place.*", "n", "prefix", "sketch"), "line-sets", hashes=True)
     released(spark)
-    # class 4 is a count of 1: such a token is in one line only
-    row = ["key", "doc_id", "line_no", "n", "sketch"]
-    tokens = sets.select(*row, F.posexplode("prefix").alias("i", "token")).where(F.expr("shiftrightunsigned(token, 56) > 4"))
-    few = sets.select(*row, F.expr("filter(transform(prefix, (t, i) -> struct(i, t as token)), x -> shiftrightunsigned(x.token, 56) > 4)").alias("p"))
-    few = few.select(*row, F.explode(F.expr(f"slice(p, greatest(1, size(p) - {FAMILY_TOKENS - 1}), {FAMILY_TOKENS})")).alias("x")).select(*row, "x.*")
-    heads = few.groupBy("token").agg(F.min(F.struct("doc_id", "line_no", "key", "n", "sketch", "i")).alias("head"), F.count("*").alias("df")).where("df > 1")
+    # families: every set against the earliest set that has one of its commonest prefix tokens
+    family = sets.select("key", "doc_id", "line_no", "n", "sketch", F.posexplode(F.expr(f"slice(prefix, greatest(1, size(prefix) - {FAMILY_TOKENS - 1}), {FAMILY_TOKENS})")).alias("i", "token"), F.size("prefix").alias("p"))
+    family = family.withColumn("i", F.col("i") + F.greatest(F.lit(0), F.col("p") - FAMILY_TOKENS)).drop("p")
+    heads = family.groupBy("token").agg(F.min(F.struct("doc_id", "line_no", "key", "n", "sketch", "i")).alias("head"), F.count("*").alias("df")).where("df > 1")
     heads = written(heads.select("token", "head.*"), "line-heads")
-    e, l = heads.alias("e"), few.alias("l")
-    with_head = written(l.join(e, (F.col("l.token") == F.col("e.token")) & pairs_filter("e", "l")).select(F.col("e.key").alias("earlier"), F.col("l.key").alias("later")).distinct(), "head-pairs")
+    released(spark)
+    h, l = heads.alias("h"), family.select("token", "key", "n", "sketch", "i").alias("l")
+    with_head = l.join(h, (F.col("l.token") == F.col("h.token")) & (F.col("l.key") != F.col("h.key")) & comparable("h", "l"))
+    with_head = written(with_head.select(F.col("h.key").alias("a"), F.col("l.key").alias("b")).distinct(), "head-pairs")
     dropped(heads)
     matched = verified(with_head, sets, docs)
+    # the rest: the smaller set of a pair needs fewer tokens of its prefix; two sets that are both known to go need no comparison
+    known = small(matched.select(F.col("later").alias("key"), F.lit(True).alias("goes")), BROADCAST_ROWS)
+    postings = sets.select("key", "n", "sketch", "prefix").join(known, "key", "left").select("key", "n", "sketch", F.coalesce("goes", F.lit(False)).alias("goes"), F.posexplode("prefix").alias("i", "token"))
+    x, y = postings.where("i < n - (8 * n + 8) div 9 + 1 + n div 40").alias("x"), postings.alias("y")
+    smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.key") < F.col("y.key")))
+    shared = x.join(y, (F.col("x.token") == F.col("y.token")) & smaller & ~(F.col("x.goes") & F.col("y.goes")) & comparable("x", "y"))
+    # enough tokens of the prefixes must be shared; a longer prefix of the smaller set makes chance pairs fall short
+    least = F.expr("(4 * (x.n + y.n) + 8) div 9")
+    used_x, used_y = F.expr("x.n - (8 * x.n + 8) div 9 + 1 + x.n div 40"), F.expr("y.n - (4 * y.n + 4) div 5 + 1")
+    need = F.least(F.least(used_x, F.col("x.n")) - (F.col("x.n") - least), F.least(used_y, F.col("y.n")) - (F.col("y.n") - least))
+    counted = shared.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), need.alias("need")).groupBy("a", "b").agg(F.count("*").alias("n"), F.max("need").alias("need"))
+    enough = written(counted.where("n >= need").select("a", "b"), "line-candidates", hashes=True)
     released(spark)
-    open_sets = tokens.join(small(matched.select(F.col("later").alias("key")), BROADCAST_ROWS), "key", "left_anti")
-    e, l = tokens.alias("e"), open_sets.alias("l")
-    others = l.join(e, (F.col("l.token") == F.col("e.token")) & pairs_filter("e", "l")).select(F.col("e.key").alias("earlier"), F.col("l.key").alias("later")).distinct()
-    others = written(others.join(with_head, ["earlier", "later"], "left_anti"), "line-pairs")
+    # pairs whose later set is known to go need no verification
+    at = lambda k: sets.select(F.col("key").alias(k), F.struct("doc_id", "line_no", "key").alias(f"place_{k}"))
+    placed = enough.join(at("a"), "a").join(at("b"), "b").withColumn("later", F.when(F.col("place_a") < F.col("place_b"), F.col("b")).otherwise(F.col("a")))
+    others = written(placed.join(small(matched, BROADCAST_ROWS), "later", "left_anti").select("a", "b"), "line-pairs", hashes=True)
     released(spark)
     later = written(matched.unionByName(verified(others, sets, docs)).distinct(), "later-sets")
     # a line stays if its set matches no earlier one and this is the set's first place
     firsts = sets.select("key", F.struct("doc_id", "line_no").alias("first"))
-    copies = all_lines.select("doc_id", "text_key", "line_no", "key").join(firsts, "key").where(F.struct("doc_id", "line_no") != F.col("first"))
-    gone = copies.select("doc_id", "text_key", "line_no").unionByName(all_lines.join(later.select(F.col("later").alias("key")), "key").select("doc_id", "text_key", "line_no"))
+    named = all_lines.where("n > 0").select("doc_id", "text_key", "line_no", "key")
+    copies = named.join(firsts, "key").where(F.struct("doc_id", "line_no") != F.col("first")).select("doc_id", "text_key", "line_no")
+    gone = copies.unionByName(named.join(small(later.select(F.col("later").alias("key")), BROADCAST_ROWS), "key", "left_semi").select("doc_id", "text_key", "line_no"))
     out = written(gone.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("line_no")).alias("gone")), "gone-lines")
-    for old in (all_lines, sets, with_head, others, matched, later):
+    for old in (all_lines, sets, with_head, enough, others, matched, later):
         dropped(old)
     released(spark)
     return out
@@ -139,7 +161,10 @@ def removals(docs: DataFrame) -> DataFrame:
 
 def with_gone(docs: DataFrame, name: str) -> DataFrame:
     """docs and, in column `name`, the numbers of the lines that go (null: none)."""
-    gone = removals(docs).select(F.col("doc_id").alias("__gone_id"), F.col("text_key").alias("__gone_key"), F.col("gone").alias(name))
+    gone = removals(docs)
+    held = gone.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0)) + F.count("*")).first()[0]  # numbers in the lists, and rows
+    gone = gone.select(F.col("doc_id").alias("__gone_id"), F.col("text_key").alias("__gone_key"), F.col("gone").alias(name))
+    gone = F.broadcast(gone) if held <= 2 * BROADCAST_ROWS else gone
     key = (F.col("doc_id").cast("long") == F.col("__gone_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__gone_key"))
     return docs.join(gone, key, "left").select(*docs.columns, name)
 

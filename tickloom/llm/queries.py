@@ -106,7 +106,7 @@ ORACLE_SQL: dict[str, str] = {
         ), l AS (
             SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM d
         ), t AS (
-            SELECT *, list_sort(list_distinct(list_filter(string_split(lower(translate(line, chr(9) || chr(13) || chr(12) || chr(11), '    ')), ' '), lambda x: x <> ''))) AS words FROM l
+            SELECT *, list_sort(list_distinct(list_filter(string_split(lower(line), ' '), lambda x: x <> ''))) AS words FROM l
         ), s AS (
             SELECT words, len(words) AS n, min({'d': doc_id, 'l': line_no}) AS place, row_number() OVER (ORDER BY words) AS id FROM t WHERE doc_id IS NOT NULL AND len(words) > 0 GROUP BY words
         ), u AS (
