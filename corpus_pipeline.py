@@ -35,7 +35,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' token ids in sequences of 4096."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # the stages share their executors' memory: fewer words are kept than where packing runs alone
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), words=100_000)
 
 
 STAGES = [("quality classifier", quality), ("line dedup", lines), ("near-duplicates", near_duplicates), ("secret scan", secrets), ("packing", pack)]

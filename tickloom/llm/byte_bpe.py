@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_map, record_batch, with_text
+from .common import arrow_map, kept, record_batch, with_text
 
 #: Pieces up to so many bytes share arrays; entries and longest key of the cache.
 SHORT, CACHE, CACHE_KEY = 64, 400_000, 48
@@ -32,13 +32,9 @@ NONE = np.int64(1) << 62
 class Codec:
     """The rank file's vocabulary; ranks are ids. Made once per Python worker."""
 
-    _made: dict[tuple[str, str], Codec] = {}
-
     @classmethod
     def of(cls, ranks_path: str, pattern: str) -> Codec:
-        if (ranks_path, pattern) not in cls._made:
-            cls._made[ranks_path, pattern] = cls(ranks_path, pattern)
-        return cls._made[ranks_path, pattern]
+        return kept(("codec", ranks_path, pattern), lambda: cls(ranks_path, pattern))
 
     def __init__(self, ranks_path: str, pattern: str):
         import regex

@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, record_batch, with_text, written
+from .common import arrow_map, kept, record_batch, with_text, written
 
 LENGTH, END_ID, GROUP = 4096, 2, 2048
 #: Words and longest word that a task keeps the ids of.
-CACHE, CACHE_KEY = 800_000, 40
+CACHE, CACHE_KEY = 1_200_000, 40
 #: Signs that stand after a word and are ids of their own there.
 SIGNS = tuple(".,;:!?")
 
@@ -33,15 +33,11 @@ SIGNS = tuple(".,;:!?")
 class WordIds:
     """Ids of texts by a tokenizer file. White space never joins tokens here, so words are encoded apart and kept."""
 
-    _made: dict[str, WordIds] = {}
-
     @classmethod
-    def of(cls, path: str) -> WordIds:
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+    def of(cls, path: str, words: int = CACHE) -> WordIds:
+        return kept(("word ids", path, words), lambda: cls(path, words))
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int = CACHE):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -49,6 +45,7 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.words = words
         self.cache: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         #: Whether an id ends a word, by the vocabulary's mark; the ids of single signs.
@@ -90,19 +87,19 @@ class WordIds:
         for w in found:
             if len(w) > CACHE_KEY:
                 del self.cache[w]
-        if len(self.cache) > CACHE:  # only words of the last batch stay
+        if len(self.cache) > self.words:  # only words of the last batch stay
             self.cache = {w: self.cache[w] for w in wanted if w in self.cache}
         return out
 
 
-def pieces_of(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
+def pieces_of(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int = END_ID, words: int = CACHE) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens: full sequences and a rest of each document."""
     schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")])
     end = np.array([end_id], "<u4").tobytes()
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         cols: dict[str, list] = {f.name: [] for f in schema}
-        for doc_id, ids in zip(batch.column(0).to_pylist(), WordIds.of(tokenizer_path).encode_batch(batch.column(1).to_pylist())):
+        for doc_id, ids in zip(batch.column(0).to_pylist(), WordIds.of(tokenizer_path, words).encode_batch(batch.column(1).to_pylist())):
             ids += end
             for start in range(0, len(ids), 4 * length):
                 piece = ids[start : start + 4 * length]
@@ -132,9 +129,9 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets
 
 
-def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int = END_ID, group: int = GROUP, seed: int = 17) -> DataFrame:
-    """One row per piece with its sequence and offset."""
-    pieces = written(pieces_of(docs, tokenizer_path, length, end_id), "pieces")
+def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int = END_ID, group: int = GROUP, seed: int = 17, words: int = CACHE) -> DataFrame:
+    """One row per piece with its sequence and offset. words: how many words' ids a worker keeps; fewer take less memory and more time."""
+    pieces = written(pieces_of(docs, tokenizer_path, length, end_id, words), "pieces")
     # the written rows have a fixed order, so their numbers are the same whenever a task runs again
     numbered = pieces.withColumn("row", F.monotonically_increasing_id())
     whole = numbered.where(F.col("length") == length).select(*pieces.columns, (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, held_out, labelled_sample, record_batch, with_text
+from .common import arrow_map, bounded, held_out, kept, labelled_sample, record_batch, sized, with_text
 
 #: Word buckets; the statistics follow them. Rank of the interactions. Bound of the sample.
 BUCKETS, RANK, PER_CLASS, LONGEST = 1 << 16, 8, 3000, 200_000
 KEEP = 0.3
-CACHE = 500_000
+CACHE = 300_000
 
 #: Class of each UTF-8 byte: lower case, upper case, digit, space, newline, full stop or comma, other sign, beyond ASCII.
 BYTE_CLASS = np.full(256, 6, dtype=np.int64)
@@ -45,16 +45,14 @@ class Words(dict):
         return bucket
 
 
-WORDS = Words()
-
-
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Feature numbers and values of all texts, one after the other, and where each text's begin."""
     stats = np.zeros((len(texts), len(STATISTICS)), dtype=np.float32)
     ids, counts = [], np.zeros(len(texts), dtype=np.int64)
+    bucket_of = kept(("quality words",), Words).__getitem__
     for k, text in enumerate(texts):
         words = text.split()
-        found = np.fromiter(map(WORDS.__getitem__, words), dtype=np.int64, count=len(words))
+        found = np.fromiter(map(bucket_of, words), dtype=np.int64, count=len(words))
         ids.append(found)
         raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
         n, w = max(1, raw.size), max(1, len(words))
@@ -160,9 +158,9 @@ def keep_good(docs: DataFrame, machine: Machine, keep: float = KEEP) -> DataFram
     """The rows of docs, with all their columns, whose score is at least keep."""
     model = docs.sparkSession.sparkContext.broadcast((machine.w, machine.v))
 
-    def good(batches):
-        from .common import sized
+    bounded(docs.sparkSession)
 
+    def good(batches):
         found = None
         for batch in batches:
             for some in sized([batch]):

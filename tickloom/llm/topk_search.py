@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import bounded, written
 
 K, SCALE = 20, 64
 #: Rows of the sample that the centres come from, most centres, rows of a data block and of a query block.
@@ -243,6 +243,7 @@ def _search(pairs: DataFrame, k: int) -> DataFrame:
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: for each query (vec_id, v) the k rows of vectors (vec_id, v) with the largest inner products."""
+    bounded(vectors.sparkSession)
     queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     sizes = vectors.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
     schema = "query_id long, rank int, vec_id long, score long"

@@ -26,7 +26,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, sized, written
+from .common import bounded, new_path, sized, written
 
 #: Payloads under so many bytes are never revisits. A file is closed at so many bytes or records.
 LEAST, FILE_BYTES, FILE_RECORDS = 100, 64 << 20, 20_000
@@ -106,6 +106,7 @@ def gzip_member(data: bytes) -> bytes:
 
 def write(pages: DataFrame, folder: str, least: int = LEAST) -> DataFrame:
     """Writes the archives into folder; returns the index (already written)."""
+    bounded(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = open_fs(folder)
