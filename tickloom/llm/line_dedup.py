@@ -3,7 +3,7 @@
 A line's tokens are its distinct lower-case words (what stands between blanks), ordered by rarity (quarter-octave classes of counts over the whole corpus, then hash).
 Lines with equal tokens are one set, at its first place. Two sets whose Jaccard is 0.8 or more share a token within their prefixes
 (n - ceil(0.8 n) + 1 rarest tokens); pairs that share one must pass the length filter, the positional filter (a shared token's places
-cannot lie further apart than the tokens that may differ), a bitmap filter (bits that differ in two 64-bit parity sketches are tokens that
+cannot lie further apart than the tokens that may differ), a bitmap filter (bits that differ in two parity sketches are tokens that
 differ) and share as many prefix tokens as the prefixes' lengths ask for. What passes is verified
 by the exact Jaccard of the lines' tokens. Of each pair the later line goes; later copies of a set go as well; lines without tokens stay.
 
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import dropped, released, small, written
 
+#: Sets of more tokens have a sketch of 128 bits.
+SHORT = 60
 #: Hash buckets of the counts; tokens by which families are found; most keys that are broadcast.
 BUCKETS, FAMILY_TOKENS, BROADCAST_ROWS = 1 << 18, 3, 1_000_000
 
@@ -63,6 +65,7 @@ def keyed(lines: DataFrame, classes: DataFrame) -> DataFrame:
     # class in the upper 8 bits, hash below; one lambda for both, as every pass over an array costs
     # (never null, so that arrays stay primitive)
     place = lambda w: f"coalesce(shiftleft(cast(line_classes[cast(xxhash64({w}) & {BUCKETS - 1} as int)] as bigint), 56) | shiftrightunsigned(xxhash64({w}), 8), 0L)"
+    bit = "shiftleft(1L, cast(x & 63 as int))"
     words = lines.select("doc_id", "text_key", "line_no", words_of("line").alias("words"))
     ordered = F.expr(f"sort_array(array_remove(array_distinct(transform(words, w -> {place('w')})), {place(chr(39) * 2)}))")
     return words.select("doc_id", "text_key", "line_no", ordered.alias("t")).select(
@@ -73,7 +76,9 @@ def keyed(lines: DataFrame, classes: DataFrame) -> DataFrame:
         F.size("t").alias("n"),
         # 31 bits will do to find candidates
         F.expr("transform(slice(t, 1, size(t) - (4 * size(t) + 4) div 5 + 1), x -> cast(x & 2147483647 as int))").alias("prefix"),
-        F.expr("aggregate(t, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))").alias("sketch"),
+        # parity of the tokens in 64 bins, or for more than SHORT tokens in 128, of which the second half stands apart
+        F.expr(f"if(size(t) <= {SHORT}, aggregate(t, 0L, (a, x) -> a ^ {bit}), aggregate(t, 0L, (a, x) -> if(x & 64 = 0, a ^ {bit}, a)))").alias("sketch"),
+        F.expr(f"if(size(t) <= {SHORT}, 0L, aggregate(t, 0L, (a, x) -> if(x & 64 = 0, a, a ^ {bit})))").alias("sketch2"),
     )
 
 
@@ -81,9 +86,10 @@ def comparable(x: str, y: str):
     """Length and bitmap filters of two postings, and how far the places of a shared token may lie apart; all hold for every token that two similar sets share."""
     c = lambda side, name: F.col(f"{side}.{name}")
     both = c(x, "n") + c(y, "n")
+    first, second = (c(x, s).bitwiseXOR(c(y, s)) for s in ("sketch", "sketch2"))
     return (
         (5 * F.least(c(x, "n"), c(y, "n")) >= 4 * F.greatest(c(x, "n"), c(y, "n")))
-        & (9 * F.bit_count(c(x, "sketch").bitwiseXOR(c(y, "sketch"))) <= both)
+        & (9 * F.when((c(x, "n") > SHORT) & (c(y, "n") > SHORT), F.bit_count(first) + F.bit_count(second)).otherwise(F.bit_count(first.bitwiseXOR(second))) <= both)
         & (9 * (c(x, "n") - c(x, "i") + c(y, "i")) >= 4 * both)
         & (9 * (c(y, "n") - c(y, "i") + c(x, "i")) >= 4 * both)
     )
@@ -114,23 +120,23 @@ def removals(docs: DataFrame) -> DataFrame:
     lines = lines_of(docs)
     all_lines = written(keyed(lines, written(rarity(lines), "rarity")), "line-keys", hashes=True)
     released(spark)
-    sets = all_lines.where("n > 0").groupBy("key").agg(F.min(F.struct("doc_id", "line_no", "text_key")).alias("place"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
-    sets = written(sets.select("key", "place.*", "n", "prefix", "sketch"), "line-sets", hashes=True)
+    sets = all_lines.where("n > 0").groupBy("key").agg(F.min(F.struct("doc_id", "line_no", "text_key")).alias("place"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), F.first("sketch2").alias("sketch2"))
+    sets = written(sets.select("key", "place.*", "n", "prefix", "sketch", "sketch2"), "line-sets", hashes=True)
     released(spark)
     # families: every set against the earliest set that has one of its commonest prefix tokens
-    family = sets.select("key", "doc_id", "line_no", "n", "sketch", F.posexplode(F.expr(f"slice(prefix, greatest(1, size(prefix) - {FAMILY_TOKENS - 1}), {FAMILY_TOKENS})")).alias("i", "token"), F.size("prefix").alias("p"))
+    family = sets.select("key", "doc_id", "line_no", "n", "sketch", "sketch2", F.posexplode(F.expr(f"slice(prefix, greatest(1, size(prefix) - {FAMILY_TOKENS - 1}), {FAMILY_TOKENS})")).alias("i", "token"), F.size("prefix").alias("p"))
     family = family.withColumn("i", F.col("i") + F.greatest(F.lit(0), F.col("p") - FAMILY_TOKENS)).drop("p")
-    heads = family.groupBy("token").agg(F.min(F.struct("doc_id", "line_no", "key", "n", "sketch", "i")).alias("head"), F.count("*").alias("df")).where("df > 1")
+    heads = family.groupBy("token").agg(F.min(F.struct("doc_id", "line_no", "key", "n", "sketch", "sketch2", "i")).alias("head"), F.count("*").alias("df")).where("df > 1")
     heads = written(heads.select("token", "head.*"), "line-heads")
     released(spark)
-    h, l = heads.alias("h"), family.select("token", "key", "n", "sketch", "i").alias("l")
+    h, l = heads.alias("h"), family.select("token", "key", "n", "sketch", "sketch2", "i").alias("l")
     with_head = l.join(h, (F.col("l.token") == F.col("h.token")) & (F.col("l.key") != F.col("h.key")) & comparable("h", "l"))
     with_head = written(with_head.select(F.col("h.key").alias("a"), F.col("l.key").alias("b")).distinct(), "head-pairs")
     dropped(heads)
     matched = verified(with_head, sets, docs)
     # the rest: the smaller set of a pair needs fewer tokens of its prefix; two sets that are both known to go need no comparison
     known = small(matched.select(F.col("later").alias("key"), F.lit(True).alias("goes")), BROADCAST_ROWS)
-    postings = sets.select("key", "n", "sketch", "prefix").join(known, "key", "left").select("key", "n", "sketch", F.coalesce("goes", F.lit(False)).alias("goes"), F.posexplode("prefix").alias("i", "token"))
+    postings = sets.select("key", "n", "sketch", "sketch2", "prefix").join(known, "key", "left").select("key", "n", "sketch", "sketch2", F.coalesce("goes", F.lit(False)).alias("goes"), F.posexplode("prefix").alias("i", "token"))
     x, y = postings.where("i < n - (8 * n + 8) div 9 + 1 + n div 40").alias("x"), postings.alias("y")
     smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.key") < F.col("y.key")))
     shared = x.join(y, (F.col("x.token") == F.col("y.token")) & smaller & ~(F.col("x.goes") & F.col("y.goes")) & comparable("x", "y"))
@@ -139,12 +145,15 @@ def removals(docs: DataFrame) -> DataFrame:
     used_x, used_y = F.expr("x.n - (8 * x.n + 8) div 9 + 1 + x.n div 40"), F.expr("y.n - (4 * y.n + 4) div 5 + 1")
     need = F.least(F.least(used_x, F.col("x.n")) - (F.col("x.n") - least), F.least(used_y, F.col("y.n")) - (F.col("y.n") - least))
     counted = shared.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), need.alias("need")).groupBy("a", "b").agg(F.count("*").alias("n"), F.max("need").alias("need"))
-    enough = written(counted.where("n >= need").select("a", "b"), "line-candidates", hashes=True)
+    enough = written(counted.where("n >= need").select("a", "b", "n"), "line-candidates", hashes=True)
     released(spark)
-    # pairs whose later set is known to go need no verification
+    # pairs whose later set is known to go need no verification; of the others each later set's most promising one is verified first
     at = lambda k: sets.select(F.col("key").alias(k), F.struct("doc_id", "line_no", "key").alias(f"place_{k}"))
     placed = enough.join(at("a"), "a").join(at("b"), "b").withColumn("later", F.when(F.col("place_a") < F.col("place_b"), F.col("b")).otherwise(F.col("a")))
-    others = written(placed.join(small(matched, BROADCAST_ROWS), "later", "left_anti").select("a", "b"), "line-pairs", hashes=True)
+    placed = written(placed.join(small(matched, BROADCAST_ROWS), "later", "left_anti").select("later", "a", "b", "n"), "line-pairs", hashes=True)
+    best = written(placed.groupBy("later").agg(F.max_by(F.struct("a", "b"), F.struct("n", "a", "b")).alias("p")).select("p.*"), "line-best", hashes=True)
+    matched = written(matched.unionByName(verified(best, sets, docs)).distinct(), "later-sets")
+    others = written(placed.join(small(matched, BROADCAST_ROWS), "later", "left_anti").select("a", "b").join(best, ["a", "b"], "left_anti"), "line-others", hashes=True)
     released(spark)
     later = written(matched.unionByName(verified(others, sets, docs)).distinct(), "later-sets")
     # a line stays if its set matches no earlier one and this is the set's first place
@@ -153,7 +162,7 @@ def removals(docs: DataFrame) -> DataFrame:
     copies = named.join(firsts, "key").where(F.struct("doc_id", "line_no") != F.col("first")).select("doc_id", "text_key", "line_no")
     gone = copies.unionByName(named.join(small(later.select(F.col("later").alias("key")), BROADCAST_ROWS), "key", "left_semi").select("doc_id", "text_key", "line_no"))
     out = written(gone.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("line_no")).alias("gone")), "gone-lines")
-    for old in (all_lines, sets, with_head, enough, others, matched, later):
+    for old in (all_lines, sets, with_head, enough, placed, best, others, later):
         dropped(old)
     released(spark)
     return out
