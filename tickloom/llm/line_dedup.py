@@ -137,12 +137,12 @@ def removals(docs: DataFrame) -> DataFrame:
     # the rest: the smaller set of a pair needs fewer tokens of its prefix; two sets that are both known to go need no comparison
     known = small(matched.select(F.col("later").alias("key"), F.lit(True).alias("goes")), BROADCAST_ROWS)
     postings = sets.select("key", "n", "sketch", "sketch2", "prefix").join(known, "key", "left").select("key", "n", "sketch", "sketch2", F.coalesce("goes", F.lit(False)).alias("goes"), F.posexplode("prefix").alias("i", "token"))
-    x, y = postings.where("i < n - (8 * n + 8) div 9 + 1 + n div 40").alias("x"), postings.alias("y")
+    x, y = postings.where("i < n - (8 * n + 8) div 9 + 1 + greatest(n div 40, cast(n >= 9 as int))").alias("x"), postings.alias("y")
     smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.key") < F.col("y.key")))
     shared = x.join(y, (F.col("x.token") == F.col("y.token")) & smaller & ~(F.col("x.goes") & F.col("y.goes")) & comparable("x", "y"))
     # enough tokens of the prefixes must be shared; a longer prefix of the smaller set makes chance pairs fall short
     least = F.expr("(4 * (x.n + y.n) + 8) div 9")
-    used_x, used_y = F.expr("x.n - (8 * x.n + 8) div 9 + 1 + x.n div 40"), F.expr("y.n - (4 * y.n + 4) div 5 + 1")
+    used_x, used_y = F.expr("x.n - (8 * x.n + 8) div 9 + 1 + greatest(x.n div 40, cast(x.n >= 9 as int))"), F.expr("y.n - (4 * y.n + 4) div 5 + 1")
     need = F.least(F.least(used_x, F.col("x.n")) - (F.col("x.n") - least), F.least(used_y, F.col("y.n")) - (F.col("y.n") - least))
     counted = shared.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), need.alias("need")).groupBy("a", "b").agg(F.count("*").alias("n"), F.max("need").alias("need"))
     enough = written(counted.where("n >= need").select("a", "b", "n"), "line-candidates", hashes=True)
