@@ -10,6 +10,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tickloom.operators import entities
 from tickloom.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -44,6 +45,23 @@ def test_agrees_with_sql(spark, duck, name):
     assert sorted(tuple(plain(r[c]) for c in names) for r in df.collect()) == want
 
 
+def test_whole_tables(spark, duck):
+    """Nothing is left out by id: every customer with orders, every order, and each tier of the fallback."""
+    one = lambda sql: duck.execute(sql).fetchone()[0]
+    assert QUERIES["inventory_whole"](spark, SF).count() == one("SELECT count(DISTINCT o_custkey) FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
+    assert QUERIES["catalog_merge_whole"](spark, SF).count() == one("SELECT count(*) FROM orders")
+    sides = QUERIES["side_fallback_names"](spark, SF).groupBy("side").count()
+    assert sides.where("side = 'UNKNOWN'").first()["count"] == one("SELECT count(*) FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'MACHINERY'")
+    assert one("SELECT count(*) FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment <> 'MACHINERY' AND c_acctbal < 0") > 0
+
+
+def test_inventory_of_many_items(spark):
+    """Item numbers beyond a handle's 14 bits."""
+    held = spark.createDataFrame([(1, [5, 5 + (1 << 14)])], "k long, handles array<long>")
+    items = spark.createDataFrame([(5, "a"), (5 + (1 << 14), "b")], "entity_id long, name string")
+    assert entities.inventory(held, "handles", items, ["k"], index=lambda key: key).first()["inventory"] == ["a", "b"]
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(SQL) <= set(entry.oracle_sql()) and set(entry.oracle_sql()) <= set(entry.queries())

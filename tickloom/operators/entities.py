@@ -6,9 +6,9 @@ identity, so all of it is one shuffle on the identity.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -79,9 +79,9 @@ def team_pivot(df: DataFrame, teams: DataFrame, values: Sequence[str], on: str =
     return out
 
 
-def inventory(df: DataFrame, handles: str, items: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Distinct item names per row of keys, in the handles' order. items: entity_id, name."""
-    each = df.select(*keys, F.posexplode(handles).alias("__i", "__h")).withColumn("entity_id", handle_index(F.col("__h")).cast("long"))
+def inventory(df: DataFrame, handles: str, items: DataFrame, keys: Sequence[str], index: Callable[[Column], Column] = handle_index) -> DataFrame:
+    """Distinct item names per row of keys, in the handles' order. items: entity_id, name. index: entity number of a handle."""
+    each = df.select(*keys, F.posexplode(handles).alias("__i", "__h")).withColumn("entity_id", index(F.col("__h")).cast("long"))
     named = each.join(items.select(F.col("entity_id").cast("long").alias("entity_id"), "name"), "entity_id")
     first = named.groupBy(*keys, "name").agg(F.min("__i").alias("__i"))
     lists = first.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("__i", "name"))), lambda x: x["name"]).alias("inventory"))

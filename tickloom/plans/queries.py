@@ -404,6 +404,19 @@ def catalog_merge(spark, sf):
     return catalog.merge(old, new, ["o_orderkey"]).withColumn("price", F.round("price", 2))
 
 
+@query(
+    """WITH n AS (SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN '' ELSE 'late' END AS tag, o_totalprice + 1 AS price FROM orders WHERE o_orderstatus = 'F'),
+    o AS (SELECT o_orderkey, o_orderpriority AS tag, o_totalprice AS price FROM orders WHERE o_orderstatus <> 'F' OR o_orderdate < DATE '2000-01-01')
+    SELECT coalesce(n.o_orderkey, o.o_orderkey) AS o_orderkey, CASE WHEN n.o_orderkey IS NULL OR n.tag = '' THEN o.tag ELSE n.tag END AS tag, round(coalesce(n.price, o.price), 2) AS price FROM o FULL JOIN n ON o.o_orderkey = n.o_orderkey"""
+)
+def catalog_merge_whole(spark, sf):
+    """Every order: finished ones are new, and old too if placed before 2000; all others are old."""
+    orders = table(spark, sf, "orders")
+    old = orders.where("o_orderstatus <> 'F' OR o_orderdate < DATE '2000-01-01'").select("o_orderkey", F.col("o_orderpriority").alias("tag"), F.col("o_totalprice").alias("price"))
+    new = orders.where("o_orderstatus = 'F'").select("o_orderkey", F.when(F.col("o_orderpriority") == "5-LOW", "").otherwise("late").alias("tag"), (F.col("o_totalprice") + 1).alias("price"))
+    return catalog.merge(old, new, ["o_orderkey"]).withColumn("price", F.round("price", 2))
+
+
 @query("SELECT o_orderkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45)")
 def missing_assets(spark, sf):
     big = table(spark, sf, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
@@ -571,7 +584,19 @@ def inventory(spark, sf):
     lines = table(spark, sf, "orders").where("o_orderkey < 2000").join(table(spark, sf, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
     held = lines.groupBy("o_custkey").agg(F.transform(F.sort_array(F.collect_list(F.struct((F.col("o_orderkey") * 1000000 + F.col("l_partkey")).alias("i"), "l_partkey"))), lambda x: x["l_partkey"]).alias("handles"))
     items = table(spark, sf, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"))
-    return entities.inventory(held, "handles", items, ["o_custkey"]).select("o_custkey", F.array_join("inventory", ";").alias("inventory"))
+    return entities.inventory(held, "handles", items, ["o_custkey"], index=lambda key: key).select("o_custkey", F.array_join("inventory", ";").alias("inventory"))
+
+
+@query(
+    """SELECT o_custkey, string_agg(p_name, ';' ORDER BY i) AS inventory FROM (SELECT o_custkey, p_name, min((o_orderkey, l_partkey)) AS i FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY ALL)
+    GROUP BY o_custkey"""
+)
+def inventory_whole(spark, sf):
+    """The inventory of every customer. Part keys are no handles: they are taken as they are, however large."""
+    lines = table(spark, sf, "orders").join(table(spark, sf, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    held = lines.groupBy("o_custkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "l_partkey"))), lambda x: x["l_partkey"]).alias("handles"))
+    items = table(spark, sf, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"))
+    return entities.inventory(held, "handles", items, ["o_custkey"], index=lambda key: key).select("o_custkey", F.array_join("inventory", ";").alias("inventory"))
 
 
 @query(
@@ -630,6 +655,19 @@ def side_fallback(spark, sf):
     return joins.side_with_fallback(df, roster, "id", "who", "side").select("o_orderkey", "side")
 
 
+@query(
+    """WITH r AS (SELECT CASE WHEN c_acctbal >= 0 THEN c_custkey END AS id, c_name AS who, c_mktsegment AS side FROM customer WHERE c_mktsegment <> 'MACHINERY')
+    SELECT o_orderkey, coalesce((SELECT min(side) FROM r WHERE r.id = o_custkey), (SELECT min(side) FROM r WHERE r.who = c_name), 'UNKNOWN') AS side FROM orders LEFT JOIN customer ON c_custkey = o_custkey"""
+)
+def side_fallback_names(spark, sf):
+    """Orders whose customer is listed by id, by name alone (a balance below 0) or not at all (one segment has no side)."""
+    customers = table(spark, sf, "customer")
+    roster = customers.where("c_mktsegment <> 'MACHINERY'").select(F.when(F.col("c_acctbal") >= 0, F.col("c_custkey")).alias("id"), F.col("c_name").alias("who"), F.col("c_mktsegment").alias("side"))
+    names = customers.select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("who"))
+    df = table(spark, sf, "orders").join(names, "o_custkey", "left").select("o_orderkey", F.col("o_custkey").alias("id"), "who")
+    return joins.side_with_fallback(df, roster, "id", "who", "side").select("o_orderkey", "side")
+
+
 @query("SELECT seq FROM lane QUALIFY value > 50 OR coalesce(lag(value > 50) OVER (PARTITION BY steamid ORDER BY tick, seq), true)")
 def dead_collapse(spark, sf):
     return win.collapse_dead(lane(spark, sf).withColumn("alive", F.col("value") > 50), ["steamid"], ["tick", "seq"], "alive").select("seq")
