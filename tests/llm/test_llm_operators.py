@@ -302,6 +302,32 @@ def test_near_dedup_families(spark):
     assert got == brute_classes(docs)
 
 
+def all_pairs(texts):
+    """Class of each text: the smallest place it is connected with by set Jaccards of 0.8."""
+    sets = [set(near_dedup.shingles(t)[0].tolist()) for t in texts]
+    found = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and found[i] != found[j]:
+                low, high = sorted((found[i], found[j]))
+                found = [low if c == high else c for c in found]
+    return found
+
+
+def test_near_dedup_repeated_passages(spark):
+    """Sets that are close while counts differ: each text holds another passage many times."""
+    texts = []
+    for family in range(15):
+        base = words(1000 + family, 200).split()
+        texts += [" ".join(base)]
+        for k, times in enumerate((15, 30, 60)):
+            texts += [" ".join(base + base[60 * k : 60 * k + 25] * times)]
+    want = all_pairs(texts)
+    assert len(set(want)) == 15
+    got = {x["doc_id"]: x["class_id"] for x in near_dedup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_signatures_estimate_probability_jaccard():
     a, b = np.arange(1, 101, dtype=np.uint64), np.arange(21, 121, dtype=np.uint64)
     ha, hb = near_dedup.mixed(a), near_dedup.mixed(b)

@@ -4,13 +4,14 @@ A document's shingles are its runs of five lower-case words, weighted by how oft
 words is one shingle; an empty one has none and only equals empty ones). ProbMinHash lets each shingle arrive as a Poisson process
 whose rate is its weight; every arrival goes to a random register, which keeps its earliest shingle, and a shingle stops
 once its next arrival comes after the latest register. Two documents agree in a register with their probability Jaccard.
-Registers in bands of four give bucket keys. Equal texts are one node. In each bucket all nodes are compared with one pivot,
+Registers in bands of four give bucket keys. A document with repeated shingles has the bands of its plain set too (all weights 1, where
+two documents agree in a register with the Jaccard of their sets, which is what links are verified by). Equal texts are one node. In each bucket all nodes are compared with one pivot,
 the node whose buckets hold the most nodes, by the exact Jaccard of their shingle sets; links of 0.8 or more join classes.
 Then, of the nodes of buckets that still hold several classes, those of different classes are compared that an exact prefix filter over
-their rarest shingles cannot tell apart. So no candidate pair that could link two classes is skipped,
+their rarest shingles cannot tell apart. So no pair that shares a bucket and could link two classes is skipped,
 and a large group costs one comparison per node and bucket.
 
-With 20 bands of four, a pair at 0.8 shares a bucket with probability 0.99997.
+With 20 bands of four, a pair whose sets have a Jaccard of 0.8 shares a bucket with probability 0.99997, however often its shingles occur.
 
 Defined results: null text counts as empty; rows that repeat an id are one document (their texts' classes join); rows
 without an id have no class (null); extra columns are ignored; no documents give no rows.
@@ -107,6 +108,16 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def bucket_keys(sets: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Band keys of each set: by its counts, and where a shingle repeats, with all weights 1 as well. None for an empty set."""
+    keys = [k if len(h) else k[:0] for k, (h, _) in zip(band_keys(signatures(sets)), sets)]
+    again = [i for i, (_, w) in enumerate(sets) if len(w) and w.max() > 1]
+    plain = band_keys(signatures([(sets[i][0], np.ones_like(sets[i][1])) for i in again]))
+    for i, k in zip(again, plain):
+        keys[i] = np.unique(np.concatenate((keys[i], k)))
+    return keys
+
+
 def signed(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, bands of every row; no bands for a text without words."""
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
@@ -114,12 +125,11 @@ def signed(docs: DataFrame) -> DataFrame:
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(1).to_pylist()
         sets = [shingles(t) for t in texts]
-        keys = band_keys(signatures(sets))
         return record_batch(
             schema,
             doc_id=batch.column(0),
             text_key=[hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts],
-            bands=[k if len(h) else [] for k, (h, _) in zip(keys, sets)],
+            bands=bucket_keys(sets),
         )
 
     return arrow_map(with_text(docs), work, "doc_id long, text_key binary, bands array<long>")
