@@ -138,6 +138,18 @@ def test_guess_cost_matches_all_segmentations():
             assert whole <= secret_scan.guess_cost(value[:k]) + secret_scan.guess_cost(value[k:]) + 1e-9
 
 
+def test_secrets_of_one_class_and_prose(spark):
+    """Random values of one class are found; words after 'secret is' are not, nor values built of dates, walks and repeats."""
+    for text in ("pwd=kqzvjxwmhtrb", "passphrase: vqxjzkwpfhgm", "credential = 830417562948", "private_key=xwqzkvjpmhtf"):
+        assert secret_scan.redacted(text).endswith("[SECRET]"), text
+    for text in ("The secret is patience.", "The secret is Elizabeth.", "the password is required!", "pwd=xkqvxkqvxkqvxkqv", "pwd=aaaa19991231"):
+        assert secret_scan.redacted(text) == text
+    assert secret_scan.guess_cost("aaaabcdef") <= secret_scan.guess_cost("aaa") + secret_scan.guess_cost("abcdef") + 1e-9
+    made = [(1, "the zorvaqueltin is here"), (2, "a zorvaqueltin again"), (3, "The secret is zorvaqueltin."), (4, "secret is qzvkxwjqpmhb"), (5, "pwd=qzvkxwjqpmhb")]
+    got = {r["doc_id"]: r["n_guess"] for r in secret_scan.scan(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 0, 4: 1, 5: 1}
+
+
 # 4
 def test_bpe_equals_the_library(odd, empty):
     import tiktoken
