@@ -7,7 +7,6 @@ import ctypes
 import gc
 import os
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -17,6 +16,9 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes that an operator handles at a time inside a task.
 CHUNK_ROWS, CHUNK_BYTES = 2000, 2 << 20
+#: Most bytes that a join broadcasts.
+BROADCAST_BYTES = 32 << 20
+TIDY_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH_KEY, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
@@ -38,9 +40,11 @@ def kept(owner: tuple, make: Callable[[], object]):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where none is set, one for this machine (tests)."""
+    """The folder that driver and executors share. Where none is set, a local session (tests) gets one of this machine; a cluster's must be set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tickloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -50,14 +54,26 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tickloom/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """While it holds, Spark deletes a job's shuffle files when the job ends; the session's own setting comes back after."""
+    before = spark.conf.get(TIDY_KEY, "false")
+    spark.conf.set(TIDY_KEY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(TIDY_KEY, before)
+
+
 def written(df: DataFrame, name: str, hashes: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it again: lineage ends here and nothing is computed twice.
 
-    The files stay until the shared folder is cleaned: results are lazy and may read them later.
+    The files stay until dropped() or until the shared folder is cleaned: results are lazy and may read them later.
     hashes: most of the data are hashes, which neither a codec nor a dictionary makes smaller.
     """
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", "snappy" if hashes else "zstd").option("parquet.enable.dictionary", str(not hashes).lower()).parquet(path)
+    with tidy(df.sparkSession):
+        df.write.option("compression", "snappy" if hashes else "zstd").option("parquet.enable.dictionary", str(not hashes).lower()).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -131,14 +147,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     return out
 
 
-def released(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files of frames that are gone: its cleaner works, on a thread of its own, when the driver's JVM collects garbage."""
-    for _ in range(2):  # what the first round frees may hold more
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.3)
-
-
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """df marked for broadcast if it has at most `rows` rows, else as it is, for Spark to shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small(df: DataFrame, row_bytes: int, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for broadcast if its rows, of about row_bytes each, take at most `most` bytes, else as it is, for Spark to shuffle."""
+    with tidy(df.sparkSession):
+        return F.broadcast(df) if df.count() * row_bytes <= most else df

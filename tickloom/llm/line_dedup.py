@@ -8,27 +8,32 @@ differ) and share as many prefix tokens as the prefixes' lengths ask for. What p
 by the exact Jaccard of the lines' tokens. Of each pair the later line goes; later copies of a set go as well; lines without tokens stay.
 
 A family of thousands of similar lines must not be paired with itself: first every set is compared with the earliest set that
-shares one of its commonest prefix tokens, and only sets that found no match there look at everything else. As any earlier line
+shares one of its commonest prefix tokens, and only sets that found no match there look at earlier sets otherwise: postings carry their
+set's place and whether it is known to go, so a pair whose later set goes anyway never leaves the join. As any earlier line
 is reason enough to remove a line, whether that one stays or not, the result is that of comparing all pairs.
 
-Words are told apart by 56 bits of their hash and sets by 64 while candidates are sought; verification compares the words themselves.
-Counts are kept for a fixed number of hash buckets, which only affects the order.
+Words are told apart by 56 bits of their hash while candidates are sought, and sets by 64 bits of theirs, their size and their sketches;
+verification compares the words themselves. Counts are kept for a fixed number of hash buckets, which only affects the order.
 
 Defined results: null text counts as empty and stays null in remove(); rows without an id keep all their lines; rows that repeat an id and a text are
-one document; places are ordered by document id and line number, of the same place the smaller set key counts as earlier; extra columns stay.
+one document; places are ordered by document id and line number, of sets with the same first place (of texts that share an id) either may count as earlier; extra columns stay.
 """
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, released, small, written
+from .common import BROADCAST_BYTES, dropped, small, tidy, written
 
 #: Sets of more tokens have a sketch of 128 bits.
 SHORT = 60
-#: Hash buckets of the counts; tokens by which families are found; most keys that are broadcast.
-BUCKETS, FAMILY_TOKENS, BROADCAST_ROWS = 1 << 18, 3, 1_000_000
+#: Hash buckets of the counts; tokens by which families are found.
+BUCKETS, FAMILY_TOKENS = 1 << 18, 3
+#: Bytes of a broadcast row: of an id, of a place, of a head.
+ID_BYTES, PLACE_BYTES, HEAD_BYTES = 32, 64, 96
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -52,19 +57,24 @@ def rarity(lines: DataFrame) -> DataFrame:
 
 
 def keyed(lines: DataFrame, classes: DataFrame) -> DataFrame:
-    """doc_id, text_key, line_no, key, n, prefix, sketch of every line; n is 0 for a line without words.
-
-    No filter on n here: it would be pushed down and the arrays computed twice.
-    """
-    spark = lines.sparkSession
+    """doc_id, text_key, line_no, key, n, prefix, sketch, sketch2 of every line, written; n is 0 for a line without words."""
+    spark, name = lines.sparkSession, f"line_classes_{uuid4().hex}"
     # a lambda can't hold a subquery, but it can name a session variable; the array's size is fixed by BUCKETS
-    classes.createOrReplaceTempView("line_rarity")
-    spark.sql("DECLARE OR REPLACE VARIABLE line_classes ARRAY<TINYINT>")
-    spark.sql("SET VARIABLE line_classes = (SELECT classes FROM line_rarity)")
-    spark.catalog.dropTempView("line_rarity")
+    classes.createOrReplaceTempView(name)
+    spark.sql(f"DECLARE VARIABLE {name} ARRAY<TINYINT>")
+    try:
+        spark.sql(f"SET VARIABLE {name} = (SELECT classes FROM {name})")
+        return written(_hashed(lines, name), "line-keys", hashes=True)
+    finally:
+        spark.catalog.dropTempView(name)
+        spark.sql(f"DROP TEMPORARY VARIABLE {name}")
+
+
+def _hashed(lines: DataFrame, classes: str) -> DataFrame:
+    """The columns of keyed(). No filter on n here: it would be pushed down and the arrays computed twice."""
     # class in the upper 8 bits, hash below; one lambda for both, as every pass over an array costs
     # (never null, so that arrays stay primitive)
-    place = lambda w: f"coalesce(shiftleft(cast(line_classes[cast(xxhash64({w}) & {BUCKETS - 1} as int)] as bigint), 56) | shiftrightunsigned(xxhash64({w}), 8), 0L)"
+    place = lambda w: f"coalesce(shiftleft(cast({classes}[cast(xxhash64({w}) & {BUCKETS - 1} as int)] as bigint), 56) | shiftrightunsigned(xxhash64({w}), 8), 0L)"
     bit = "shiftleft(1L, cast(x & 63 as int))"
     words = lines.select("doc_id", "text_key", "line_no", words_of("line").alias("words"))
     ordered = F.expr(f"sort_array(array_remove(array_distinct(transform(words, w -> {place('w')})), {place(chr(39) * 2)}))")
@@ -96,84 +106,108 @@ def comparable(x: str, y: str):
 
 
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """later: keys of the later sets of pairs (a, b) whose lines' words have a Jaccard of 0.8 or more."""
-    keys = written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "line-keys")
-    places = written(sets.join(small(keys, BROADCAST_ROWS), "key").select("key", "doc_id", "text_key", "line_no"), "line-places")
-    few = docs.join(small(places.select(F.col("doc_id").alias("__id")).distinct(), BROADCAST_ROWS), F.col("doc_id").cast("long") == F.col("__id"), "left_semi")
-    lines = lines_of(few).join(small(places, BROADCAST_ROWS), ["doc_id", "text_key", "line_no"])
-    first = lines.groupBy("key").agg(F.min(F.struct("doc_id", "line_no", "key")).alias("place"), F.first("line").alias("line"))
-    words = written(first.select("key", "place", F.expr("array_remove(array_distinct(split(lower(line), ' ', -1)), '')").alias("words")), "line-words")
-    side = lambda k: words.select(F.col("key").alias(k), F.col("place").alias(f"place_{k}"), F.col("words").alias(f"words_{k}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    common = F.size(F.array_intersect("words_a", "words_b"))
-    linked = both.where(9 * common >= 4 * (F.size("words_a") + F.size("words_b")))
-    found = written(linked.select(F.when(F.col("place_a") < F.col("place_b"), F.col("b")).otherwise(F.col("a")).alias("later")).distinct(), "line-matches")
-    for old in (keys, places, words):
+    """id: the later sets of pairs (later, earlier) whose lines' words have a Jaccard of 0.8 or more."""
+    ids = written(pairs.select(F.explode(F.array("later", "earlier")).alias("id")).distinct(), "line-ids")
+    places = written(sets.join(small(ids, ID_BYTES), "id").select("id", "doc_id", "text_key", "line_no"), "line-places")
+    few = docs.join(small(places.select(F.col("doc_id").alias("__id")).distinct(), ID_BYTES), F.col("doc_id").cast("long") == F.col("__id"), "left_semi")
+    lines = lines_of(few).join(small(places, PLACE_BYTES), ["doc_id", "text_key", "line_no"])
+    # rows that repeat an id and a text give a line more than once
+    first = lines.groupBy("id").agg(F.first("line").alias("line"))
+    words = written(first.select("id", F.expr("array_remove(array_distinct(split(lower(line), ' ', -1)), '')").alias("words")), "line-words")
+    side = lambda k: words.select(F.col("id").alias(k), F.col("words").alias(f"words_{k}"))
+    both = pairs.join(side("later"), "later").join(side("earlier"), "earlier")
+    common = F.size(F.array_intersect("words_later", "words_earlier"))
+    linked = both.where(9 * common >= 4 * (F.size("words_later") + F.size("words_earlier")))
+    found = written(linked.select(F.col("later").alias("id")).distinct(), "line-matches")
+    for old in (ids, places, words):
         dropped(old)
-    released(docs.sparkSession)
     return found
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, gone (line numbers) of the documents that lose lines."""
-    spark = docs.sparkSession
-    lines = lines_of(docs)
-    all_lines = written(keyed(lines, written(rarity(lines), "rarity")), "line-keys", hashes=True)
-    released(spark)
-    sets = all_lines.where("n > 0").groupBy("key").agg(F.min(F.struct("doc_id", "line_no", "text_key")).alias("place"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), F.first("sketch2").alias("sketch2"))
-    sets = written(sets.select("key", "place.*", "n", "prefix", "sketch", "sketch2"), "line-sets", hashes=True)
-    released(spark)
-    # families: every set against the earliest set that has one of its commonest prefix tokens
-    family = sets.select("key", "doc_id", "line_no", "n", "sketch", "sketch2", F.posexplode(F.expr(f"slice(prefix, greatest(1, size(prefix) - {FAMILY_TOKENS - 1}), {FAMILY_TOKENS})")).alias("i", "token"), F.size("prefix").alias("p"))
+def distinct_sets(lines: DataFrame) -> DataFrame:
+    """One row per set of words: id, key, n, sketch, sketch2, prefix, its first place (doc_id, line_no, text_key), and how many lines have it."""
+    each = lines.groupBy("key", "n", "sketch", "sketch2").agg(F.min(F.struct("doc_id", "line_no", "text_key")).alias("place"), F.first("prefix").alias("prefix"), F.count("*").alias("lines"))
+    return written(each.select(F.monotonically_increasing_id().alias("id"), "key", "n", "sketch", "sketch2", "place.*", "prefix", "lines"), "line-sets", hashes=True)
+
+
+def copies_of(lines: DataFrame, sets: DataFrame) -> DataFrame:
+    """id, doc_id, text_key, line_no, again of all lines but each set's first; again: at another place (not in another text of the same id)."""
+    by = ["key", "n", "sketch", "sketch2"]
+    firsts = sets.where("lines > 1").select("id", *by, F.struct("doc_id", "line_no", "text_key").alias("first"))
+    named = lines.join(small(firsts, 2 * PLACE_BYTES), by).where(F.struct("doc_id", "line_no", "text_key") != F.col("first"))
+    again = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("line_no") != F.col("first.line_no"))
+    return written(named.select("id", "doc_id", "text_key", "line_no", again.alias("again")), "line-copies", hashes=True)
+
+
+def head_pairs(sets: DataFrame) -> DataFrame:
+    """later, earlier: every set and the earliest set that has one of its commonest prefix tokens."""
+    tail = F.posexplode(F.expr(f"slice(prefix, greatest(1, size(prefix) - {FAMILY_TOKENS - 1}), {FAMILY_TOKENS})"))
+    family = sets.select("id", "doc_id", "line_no", "n", "sketch", "sketch2", tail.alias("i", "token"), F.size("prefix").alias("p"))
     family = family.withColumn("i", F.col("i") + F.greatest(F.lit(0), F.col("p") - FAMILY_TOKENS)).drop("p")
-    heads = family.groupBy("token").agg(F.min(F.struct("doc_id", "line_no", "key", "n", "sketch", "sketch2", "i")).alias("head"), F.count("*").alias("df")).where("df > 1")
+    heads = family.groupBy("token").agg(F.min(F.struct("doc_id", "line_no", "id", "n", "sketch", "sketch2", "i")).alias("head"), F.count("*").alias("df")).where("df > 1")
     heads = written(heads.select("token", "head.*"), "line-heads")
-    released(spark)
-    h, l = heads.alias("h"), family.select("token", "key", "n", "sketch", "sketch2", "i").alias("l")
-    with_head = l.join(h, (F.col("l.token") == F.col("h.token")) & (F.col("l.key") != F.col("h.key")) & comparable("h", "l"))
-    with_head = written(with_head.select(F.col("h.key").alias("a"), F.col("l.key").alias("b")).distinct(), "head-pairs")
+    h, l = small(heads, HEAD_BYTES).alias("h"), family.alias("l")
+    found = l.join(h, (F.col("l.token") == F.col("h.token")) & (F.col("l.id") != F.col("h.id")) & comparable("h", "l"))
+    found = written(found.select(F.col("l.id").alias("later"), F.col("h.id").alias("earlier")).distinct(), "head-pairs")
     dropped(heads)
-    matched = verified(with_head, sets, docs)
-    # the rest: the smaller set of a pair needs fewer tokens of its prefix; two sets that are both known to go need no comparison
-    known = small(matched.select(F.col("later").alias("key"), F.lit(True).alias("goes")), BROADCAST_ROWS)
-    postings = sets.select("key", "n", "sketch", "sketch2", "prefix").join(known, "key", "left").select("key", "n", "sketch", "sketch2", F.coalesce("goes", F.lit(False)).alias("goes"), F.posexplode("prefix").alias("i", "token"))
+    return found
+
+
+def candidates(sets: DataFrame, matched: DataFrame) -> DataFrame:
+    """later, earlier, n (shared prefix tokens) of all pairs that pass the filters and whose later set is not in matched (id)."""
+    known = small(matched.select("id", F.lit(True).alias("goes")), ID_BYTES)
+    postings = sets.select("id", "doc_id", "line_no", "n", "sketch", "sketch2", "prefix").join(known, "id", "left")
+    postings = postings.select("id", "doc_id", "line_no", "n", "sketch", "sketch2", F.coalesce("goes", F.lit(False)).alias("goes"), F.posexplode("prefix").alias("i", "token"))
+    # the smaller set of a pair needs fewer tokens of its prefix
     x, y = postings.where("i < n - (8 * n + 8) div 9 + 1 + greatest(n div 40, cast(n >= 9 as int))").alias("x"), postings.alias("y")
-    smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.key") < F.col("y.key")))
-    shared = x.join(y, (F.col("x.token") == F.col("y.token")) & smaller & ~(F.col("x.goes") & F.col("y.goes")) & comparable("x", "y"))
+    smaller = F.expr("x.n < y.n or (x.n = y.n and x.id < y.id)")
+    first = F.expr("x.doc_id < y.doc_id or (x.doc_id = y.doc_id and (x.line_no < y.line_no or (x.line_no = y.line_no and x.id < y.id)))")
+    open_ = (first & ~F.col("y.goes")) | (~first & ~F.col("x.goes"))
+    shared = x.join(y, (F.col("x.token") == F.col("y.token")) & smaller & open_ & comparable("x", "y"))
     # enough tokens of the prefixes must be shared; a longer prefix of the smaller set makes chance pairs fall short
     least = F.expr("(4 * (x.n + y.n) + 8) div 9")
     used_x, used_y = F.expr("x.n - (8 * x.n + 8) div 9 + 1 + greatest(x.n div 40, cast(x.n >= 9 as int))"), F.expr("y.n - (4 * y.n + 4) div 5 + 1")
     need = F.least(F.least(used_x, F.col("x.n")) - (F.col("x.n") - least), F.least(used_y, F.col("y.n")) - (F.col("y.n") - least))
-    counted = shared.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), need.alias("need")).groupBy("a", "b").agg(F.count("*").alias("n"), F.max("need").alias("need"))
-    enough = written(counted.where("n >= need").select("a", "b", "n"), "line-candidates", hashes=True)
-    released(spark)
-    # pairs whose later set is known to go need no verification; of the others each later set's most promising one is verified first
-    at = lambda k: sets.select(F.col("key").alias(k), F.struct("doc_id", "line_no", "key").alias(f"place_{k}"))
-    placed = enough.join(at("a"), "a").join(at("b"), "b").withColumn("later", F.when(F.col("place_a") < F.col("place_b"), F.col("b")).otherwise(F.col("a")))
-    placed = written(placed.join(small(matched, BROADCAST_ROWS), "later", "left_anti").select("later", "a", "b", "n"), "line-pairs", hashes=True)
-    best = written(placed.groupBy("later").agg(F.max_by(F.struct("a", "b"), F.struct("n", "a", "b")).alias("p")).select("p.*"), "line-best", hashes=True)
-    matched = written(matched.unionByName(verified(best, sets, docs)).distinct(), "later-sets")
-    others = written(placed.join(small(matched, BROADCAST_ROWS), "later", "left_anti").select("a", "b").join(best, ["a", "b"], "left_anti"), "line-others", hashes=True)
-    released(spark)
-    later = written(matched.unionByName(verified(others, sets, docs)).distinct(), "later-sets")
+    pairs = shared.select(F.when(first, F.col("y.id")).otherwise(F.col("x.id")).alias("later"), F.when(first, F.col("x.id")).otherwise(F.col("y.id")).alias("earlier"), need.alias("need"))
+    counted = pairs.groupBy("later", "earlier").agg(F.count("*").alias("n"), F.max("need").alias("need"))
+    return written(counted.where("n >= need").select("later", "earlier", "n"), "line-candidates", hashes=True)
+
+
+def removals(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, gone (line numbers) of the documents that lose lines."""
+    lines = lines_of(docs)
+    classes = written(rarity(lines), "rarity")
+    all_lines = keyed(lines, classes)
+    some = all_lines.where("n > 0")
+    sets = distinct_sets(some)
+    copies = copies_of(some, sets)
+    for old in (classes, all_lines):
+        dropped(old)
+    with_head = head_pairs(sets)
+    matched = verified(with_head, sets, docs)
+    # each later set's most promising pair is verified first; sets that find a match need no more
+    pairs = candidates(sets, matched)
+    best = written(pairs.groupBy("later").agg(F.max_by("earlier", F.struct("n", "earlier")).alias("earlier")), "line-best", hashes=True)
+    at_once = verified(best, sets, docs)
+    others = pairs.select("later", "earlier").join(small(at_once.withColumnRenamed("id", "later"), ID_BYTES), "later", "left_anti").join(best, ["later", "earlier"], "left_anti")
+    others = written(others, "line-others", hashes=True)
+    later = written(matched.unionByName(at_once).unionByName(verified(others, sets, docs)).distinct().withColumn("goes", F.lit(True)), "later-sets")
     # a line stays if its set matches no earlier one and this is the set's first place
-    firsts = sets.select("key", F.struct("doc_id", "line_no").alias("first"))
-    named = all_lines.where("n > 0").select("doc_id", "text_key", "line_no", "key")
-    copies = named.join(firsts, "key").where(F.struct("doc_id", "line_no") != F.col("first")).select("doc_id", "text_key", "line_no")
-    gone = copies.unionByName(named.join(small(later.select(F.col("later").alias("key")), BROADCAST_ROWS), "key", "left_semi").select("doc_id", "text_key", "line_no"))
+    goes = small(later, ID_BYTES)
+    gone = copies.join(goes, "id", "left").where("again or goes").select("doc_id", "text_key", "line_no").unionByName(sets.join(goes, "id").select("doc_id", "text_key", "line_no"))
     out = written(gone.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("line_no")).alias("gone")), "gone-lines")
-    for old in (all_lines, sets, with_head, enough, placed, best, others, later):
+    for old in (sets, copies, with_head, matched, pairs, best, at_once, others, later):
         dropped(old)
-    released(spark)
     return out
 
 
 def with_gone(docs: DataFrame, name: str) -> DataFrame:
     """docs and, in column `name`, the numbers of the lines that go (null: none)."""
     gone = removals(docs)
-    held = gone.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0)) + F.count("*")).first()[0]  # numbers in the lists, and rows
+    with tidy(docs.sparkSession):
+        held = gone.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0)) * 4 + F.count("*") * PLACE_BYTES).first()[0]  # bytes
     gone = gone.select(F.col("doc_id").alias("__gone_id"), F.col("text_key").alias("__gone_key"), F.col("gone").alias(name))
-    gone = F.broadcast(gone) if held <= 2 * BROADCAST_ROWS else gone
+    gone = F.broadcast(gone) if held <= BROADCAST_BYTES else gone
     key = (F.col("doc_id").cast("long") == F.col("__gone_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__gone_key"))
     return docs.join(gone, key, "left").select(*docs.columns, name)
 

@@ -34,7 +34,7 @@ WORDS, BANDS, ROWS, NUMERATOR, DENOMINATOR = 5, 20, 4, 4, 5
 REGISTERS = BANDS * ROWS
 CACHE = 300_000
 #: Most ids that are broadcast.
-BROADCAST_ROWS = 1_000_000
+ID_BYTES = 32
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -248,7 +248,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """docs with all their columns; of each class only the document with the smallest id, once. Rows without an id stay."""
     found = written(classes(docs), "doc-classes")
     others = found.where("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(small(others.withColumnRenamed("doc_id", "__gone_id"), BROADCAST_ROWS), F.col("doc_id").cast("long") == F.col("__gone_id"), "left_anti")
+    kept = docs.join(small(others.withColumnRenamed("doc_id", "__gone_id"), ID_BYTES), F.col("doc_id").cast("long") == F.col("__gone_id"), "left_anti")
     if not _repeats(found):
         return kept
     # of rows that repeat an id the one with the smallest text stays
