@@ -89,7 +89,6 @@ def test_packing(odd, empty, spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
     rows = packing.pack(odd, WORDS, group=4).collect()
     assert packing.pack(empty, WORDS).count() == 0
     seen = Counter(r["doc_id"] for r in rows if r["start"] == 0)
@@ -103,6 +102,15 @@ def test_packing(odd, empty, spark):
         assert own[1]["offset"].tolist() == [0, *own[1]["length"].cumsum()[:-1]] and own[1]["length"].sum() <= 4096
 
 
+def test_ids_with_added_tokens_are_the_tokenizers():
+    from tokenizers import Tokenizer
+
+    t, mine = Tokenizer.from_file(WORDS), packing.WordIds(WORDS)
+    end, start = "<|endoftext|>", "<|startoftext|>"
+    texts = [f"say {end} now", f"a{end}b", f"{start}{end}", f"x.{start}!\n{end}\u00a0Y", end, end.upper(), end[:-1], f"{start} {end[:5]} {end[5:]}", f"e\u0301{end}\u0301a"]
+    assert [np.frombuffer(b, "<u4").tolist() for b in mine.encode_batch(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_first_fit_matches_a_plain_loop():
     sizes = np.sort(np.random.default_rng(1).integers(1, 60, 500))[::-1]
     bins, offsets = packing.first_fit_decreasing(sizes, 100)

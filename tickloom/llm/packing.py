@@ -31,7 +31,7 @@ SIGNS = tuple(".,;:!?")
 
 
 class WordIds:
-    """Ids of texts by a tokenizer file. White space never joins tokens here, so words are encoded apart and kept."""
+    """Ids of texts by a tokenizer file, added tokens' strings included. White space never joins tokens here, so words are encoded apart and kept."""
 
     @classmethod
     def of(cls, path: str, words: int = CACHE) -> WordIds:
@@ -44,7 +44,6 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.words = words
         self.cache: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
