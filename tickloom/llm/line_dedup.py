@@ -7,8 +7,8 @@ cannot lie further apart than the tokens that may differ), a bitmap filter (bits
 differ) and share as many prefix tokens as the prefixes' lengths ask for. What passes is verified
 by the exact Jaccard of the lines' tokens. Of each pair the later line goes; later copies of a set go as well; lines without tokens stay.
 
-A family of thousands of similar lines must not be paired with itself: first every set is compared with the earliest set that
-shares one of its commonest prefix tokens, and only sets that found no match there look at earlier sets otherwise: postings carry their
+A family of thousands of similar lines must not be paired with itself: sets that share neighbouring prefix tokens are first compared with
+the few earliest of them, and only sets that found no match there look at earlier sets otherwise: postings carry their
 set's place and whether it is known to go, so a pair whose later set goes anyway never leaves the join. As any earlier line
 is reason enough to remove a line, whether that one stays or not, the result is that of comparing all pairs.
 
@@ -25,13 +25,14 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import BROADCAST_BYTES, dropped, small, tidy, written
 
 #: Sets of more tokens have a sketch of 128 bits.
 SHORT = 60
-#: Hash buckets of the counts; tokens by which families are found.
-BUCKETS, FAMILY_TOKENS = 1 << 18, 3
+#: Hash buckets of the counts; pairs of neighbouring tokens by which a set finds families; a family's heads.
+BUCKETS, FAMILY_PAIRS, HEADS = 1 << 18, 3, 8
 #: Bytes of a broadcast row: of an id, of a place, of a head.
 ID_BYTES, PLACE_BYTES, HEAD_BYTES = 32, 64, 96
 
@@ -92,36 +93,43 @@ def _hashed(lines: DataFrame, classes: str) -> DataFrame:
     )
 
 
-def comparable(x: str, y: str):
-    """Length and bitmap filters of two postings, and how far the places of a shared token may lie apart; all hold for every token that two similar sets share."""
+def similar_sketches(x: str, y: str):
+    """Length and bitmap filters of two sets."""
     c = lambda side, name: F.col(f"{side}.{name}")
     both = c(x, "n") + c(y, "n")
     first, second = (c(x, s).bitwiseXOR(c(y, s)) for s in ("sketch", "sketch2"))
-    return (
-        (5 * F.least(c(x, "n"), c(y, "n")) >= 4 * F.greatest(c(x, "n"), c(y, "n")))
-        & (9 * F.when((c(x, "n") > SHORT) & (c(y, "n") > SHORT), F.bit_count(first) + F.bit_count(second)).otherwise(F.bit_count(first.bitwiseXOR(second))) <= both)
-        & (9 * (c(x, "n") - c(x, "i") + c(y, "i")) >= 4 * both)
-        & (9 * (c(y, "n") - c(y, "i") + c(x, "i")) >= 4 * both)
-    )
+    bits = F.when((c(x, "n") > SHORT) & (c(y, "n") > SHORT), F.bit_count(first) + F.bit_count(second)).otherwise(F.bit_count(first.bitwiseXOR(second)))
+    return (5 * F.least(c(x, "n"), c(y, "n")) >= 4 * F.greatest(c(x, "n"), c(y, "n"))) & (9 * bits <= both)
+
+
+def comparable(x: str, y: str):
+    """Filters of two postings: of the sets, and how far the places of a shared token may lie apart; all hold for every token that two similar sets share."""
+    c = lambda side, name: F.col(f"{side}.{name}")
+    both = c(x, "n") + c(y, "n")
+    return similar_sketches(x, y) & (9 * (c(x, "n") - c(x, "i") + c(y, "i")) >= 4 * both) & (9 * (c(y, "n") - c(y, "i") + c(x, "i")) >= 4 * both)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """id: the later sets of pairs (later, earlier) whose lines' words have a Jaccard of 0.8 or more."""
-    ids = written(pairs.select(F.explode(F.array("later", "earlier")).alias("id")).distinct(), "line-ids")
+def words_of_sets(ids: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, words (distinct) of the sets in ids, read from the documents again."""
+    ids = written(ids.distinct(), "line-ids")
     places = written(sets.join(small(ids, ID_BYTES), "id").select("id", "doc_id", "text_key", "line_no"), "line-places")
     few = docs.join(small(places.select(F.col("doc_id").alias("__id")).distinct(), ID_BYTES), F.col("doc_id").cast("long") == F.col("__id"), "left_semi")
     lines = lines_of(few).join(small(places, PLACE_BYTES), ["doc_id", "text_key", "line_no"])
     # rows that repeat an id and a text give a line more than once
     first = lines.groupBy("id").agg(F.first("line").alias("line"))
     words = written(first.select("id", F.expr("array_remove(array_distinct(split(lower(line), ' ', -1)), '')").alias("words")), "line-words")
+    for old in (ids, places):
+        dropped(old)
+    return words
+
+
+def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """id: the later sets of pairs (later, earlier) whose words have a Jaccard of 0.8 or more."""
     side = lambda k: words.select(F.col("id").alias(k), F.col("words").alias(f"words_{k}"))
     both = pairs.join(side("later"), "later").join(side("earlier"), "earlier")
     common = F.size(F.array_intersect("words_later", "words_earlier"))
     linked = both.where(9 * common >= 4 * (F.size("words_later") + F.size("words_earlier")))
-    found = written(linked.select(F.col("later").alias("id")).distinct(), "line-matches")
-    for old in (ids, places, words):
-        dropped(old)
-    return found
+    return written(linked.select(F.col("later").alias("id")).distinct(), "line-matches")
 
 
 def distinct_sets(lines: DataFrame) -> DataFrame:
@@ -139,20 +147,42 @@ def copies_of(lines: DataFrame, sets: DataFrame) -> DataFrame:
     return written(named.select("id", "doc_id", "text_key", "line_no", again.alias("again")), "line-copies", hashes=True)
 
 
-def head_pairs(sets: DataFrame) -> DataFrame:
-    """later, earlier: every set and the earliest set that has one of its commonest prefix tokens."""
-    tail = F.posexplode(F.expr(f"slice(prefix, greatest(1, size(prefix) - {FAMILY_TOKENS - 1}), {FAMILY_TOKENS})"))
-    family = sets.select("id", "doc_id", "line_no", "n", "sketch", "sketch2", tail.alias("i", "token"), F.size("prefix").alias("p"))
-    family = family.withColumn("i", F.col("i") + F.greatest(F.lit(0), F.col("p") - FAMILY_TOKENS)).drop("p")
-    heads = family.groupBy("token").agg(F.min(F.struct("doc_id", "line_no", "id", "n", "sketch", "sketch2", "i")).alias("head"), F.count("*").alias("df")).where("df > 1")
-    heads = written(heads.select("token", "head.*"), "line-heads")
-    h, l = small(heads, HEAD_BYTES).alias("h"), family.alias("l")
-    found = l.join(h, (F.col("l.token") == F.col("h.token")) & (F.col("l.id") != F.col("h.id")) & comparable("h", "l"))
-    found = written(found.select(F.col("l.id").alias("later"), F.col("h.id").alias("earlier")).distinct(), "head-pairs")
-    dropped(heads)
+def families(sets: DataFrame) -> DataFrame:
+    """key, id, doc_id, line_no, n, sketch, sketch2: sets that share a pair of neighbours among their commonest prefix tokens with another set."""
+    last = F.expr(f"slice(sequence(0, greatest(0, size(prefix) - 2)), greatest(1, size(prefix) - {FAMILY_PAIRS}), {FAMILY_PAIRS})")
+    neighbours = F.transform(last, lambda i: F.xxhash64(F.get("prefix", i), F.get("prefix", i + 1)))
+    each = sets.select("id", "doc_id", "line_no", "n", "sketch", "sketch2", F.explode(neighbours).alias("key"))
+    shared = written(each.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1").select("key"), "family-keys", hashes=True)
+    found = written(each.join(small(shared, ID_BYTES), "key"), "families", hashes=True)
+    dropped(shared)
     return found
 
 
+def family_matches(sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """id: sets that match one of the HEADS earliest of a family of theirs.
+
+    Every member is compared with its family's earliest one, and those that do not match it with the next few. A family never meets
+    itself: that is a bounded number of comparisons per member. What is left is left to the search over postings.
+    """
+    family = families(sets)
+    words = words_of_sets(family.select("id"), sets, docs)
+    place = Window.partitionBy("key").orderBy("doc_id", "line_no", "id")
+    heads = written(family.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= HEADS), "family-heads")
+    matched = None
+    for lowest, highest in ((1, 1), (2, HEADS)):
+        h, l = small(heads.where(F.col("rank").between(lowest, highest)), HEAD_BYTES).alias("h"), family.alias("l")
+        later = F.expr("l.doc_id > h.doc_id or (l.doc_id = h.doc_id and (l.line_no > h.line_no or (l.line_no = h.line_no and l.id > h.id)))")
+        pairs = l.join(h, (F.col("l.key") == F.col("h.key")) & later & similar_sketches("h", "l"))
+        pairs = pairs if matched is None else pairs.join(small(matched, ID_BYTES).alias("m"), F.col("l.id") == F.col("m.id"), "left_anti")
+        pairs = written(pairs.select(F.col("l.id").alias("later"), F.col("h.id").alias("earlier")).distinct(), "family-pairs")
+        found = verified(pairs, words)
+        matched = found if matched is None else written(matched.unionByName(found), "line-matches")
+        dropped(pairs)
+    for old in (family, heads, words):
+        dropped(old)
+    return matched
+
+
 def candidates(sets: DataFrame, matched: DataFrame) -> DataFrame:
     """later, earlier, n (shared prefix tokens) of all pairs that pass the filters and whose later set is not in matched (id)."""
     known = small(matched.select("id", F.lit(True).alias("goes")), ID_BYTES)
@@ -183,20 +213,20 @@ def removals(docs: DataFrame) -> DataFrame:
     copies = copies_of(some, sets)
     for old in (classes, all_lines):
         dropped(old)
-    with_head = head_pairs(sets)
-    matched = verified(with_head, sets, docs)
+    matched = family_matches(sets, docs)
     # each later set's most promising pair is verified first; sets that find a match need no more
     pairs = candidates(sets, matched)
+    words = words_of_sets(pairs.select(F.explode(F.array("later", "earlier")).alias("id")), sets, docs)
     best = written(pairs.groupBy("later").agg(F.max_by("earlier", F.struct("n", "earlier")).alias("earlier")), "line-best", hashes=True)
-    at_once = verified(best, sets, docs)
+    at_once = verified(best, words)
     others = pairs.select("later", "earlier").join(small(at_once.withColumnRenamed("id", "later"), ID_BYTES), "later", "left_anti").join(best, ["later", "earlier"], "left_anti")
     others = written(others, "line-others", hashes=True)
-    later = written(matched.unionByName(at_once).unionByName(verified(others, sets, docs)).distinct().withColumn("goes", F.lit(True)), "later-sets")
+    later = written(matched.unionByName(at_once).unionByName(verified(others, words)).distinct().withColumn("goes", F.lit(True)), "later-sets")
     # a line stays if its set matches no earlier one and this is the set's first place
     goes = small(later, ID_BYTES)
     gone = copies.join(goes, "id", "left").where("again or goes").select("doc_id", "text_key", "line_no").unionByName(sets.join(goes, "id").select("doc_id", "text_key", "line_no"))
     out = written(gone.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("line_no")).alias("gone")), "gone-lines")
-    for old in (sets, copies, with_head, matched, pairs, best, at_once, others, later):
+    for old in (sets, copies, matched, pairs, words, best, at_once, others, later):
         dropped(old)
     return out
 
