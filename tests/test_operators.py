@@ -27,7 +27,43 @@ def test_rounds(spark):
     df = spark.createDataFrame([("a", *r) for r in data], "file string, seq int, tick int, name string")
     n = F.col("name")
     got = rows(win.rounds(df, ["file"], ["seq"], "tick", n == "start", n == "freeze", n == "end"), "round")
-    assert got == [("a", 1, 100, 250, 900), ("a", 2, 1100, None, 1500)]
+    assert got == [("a", 1, 0, 0, 10, 100), ("a", 2, 100, 250, 900, 1000), ("a", 3, 901, 901, 950, 1000), ("a", 4, 1100, 1100, 1500, None)]
+    numbered = spark.createDataFrame([("a", 1, 5, "start", 0), ("a", 2, 5, "end", 9), ("a", 3, 8, "end", 7), ("a", 4, 9, "end", 0), ("a", 5, 20, "end", 0)], "file string, seq int, tick int, name string, no int")
+    got = rows(win.rounds(numbered, ["file"], ["seq"], "tick", n == "start", n == "freeze", n == "end", number="no", extra=["seq"]).select("round", "start_tick", "end_tick", "seq"), "end_tick")
+    assert got == [(7, 6, 8, 3), (2, 10, 20, 5)]
+
+
+def test_impact_is_the_first_victims(spark):
+    shots = spark.createDataFrame([("p", 1, 100)], "who string, seq long, tick long")
+    pairs = spark.createDataFrame([("p", 1, 5, 101, False, 90), ("p", 1, 6, 103, True, 10), ("p", 1, 7, 102, True, 40)], "who string, seq long, r_seq long, r_tick long, kill boolean, damage int")
+    assert joins.shots_with_hits(shots, pairs, ["who"], "tick", "seq", "kill", "damage").first()["impact"] == 102
+    assert joins.shots_with_hits(shots, pairs, ["who"], "tick", "seq").first()["impact"] == 101
+
+
+def test_two_logs_never_meet(spark):
+    ticks = spark.createDataFrame([(f, t, 7, f"n{f}", float(x), 1) for f, x in (("a", 0), ("b", 500)) for t in (1, 2, 3)], "file string, tick int, steamid long, name string, X float, alive int")
+    events = spark.createDataFrame([("a", 4, "player_death", 7), ("b", 2, "player_death", 7)], "file string, tick int, name string, userid long")
+    rules = spark.createDataFrame([("a", 1, 10), ("b", 3, 20)], "file string, tick int, limit int")
+    log = Engine(spark).from_tables(ticks=ticks, events=events, rules=rules)
+    assert rows(log.event("player_death", ["X"], ["limit"]).select("file", "user_X", "limit"), "file") == [("a", 0.0, 10), ("b", 500.0, None)]
+    assert {r["velocity_X"] for r in log.ticks(LogQuery(columns=["velocity_X"])).collect()} == {None, 0.0}
+    assert log.ticks(LogQuery(states={"alive": 1})).count() == 6
+    with pytest.raises(ValueError):
+        Engine(spark).from_tables(ticks=ticks, events=events.drop("file")).event("player_death", ["X"])
+
+
+def test_places_over_ranges(spark):
+    df = spark.range(3000).selectExpr("id", "case when id % 3 = 0 then 'Hot' when id % 50 = 1 then null else concat('k', id % 700) end as name")
+    for down in (True, False):
+        col = F.lower("name").desc() if down else F.lower("name").asc()
+        want = [r["id"] for r in df.orderBy(col, "id").collect()]
+        assert [r["id"] for r in catalog.sort(df, "name", ["id"], down, rank="place").orderBy("place").collect()] == want
+
+
+def test_checkpoints_of_two_logs(spark):
+    df = spark.createDataFrame([("a", 5), ("b", 5), ("a", 1)], "file string, tick int")
+    points = spark.createDataFrame([("a", 3), ("a", 5), ("b", 9)], "file string, tick int")
+    assert rows(joins.nearest_before(df, points, "tick", ["file"]), "file", "tick") == [("a", 1, None), ("a", 5, 5), ("b", 5, None)]
 
 
 @pytest.mark.parametrize(

@@ -48,9 +48,9 @@ def test_agrees_with_sql(spark, duck, name):
 def test_whole_tables(spark, duck):
     """Nothing is left out by id: every customer with orders, every order, and each tier of the fallback."""
     one = lambda sql: duck.execute(sql).fetchone()[0]
-    assert QUERIES["inventory_whole"](spark, SF).count() == one("SELECT count(DISTINCT o_custkey) FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
-    assert QUERIES["catalog_merge_whole"](spark, SF).count() == one("SELECT count(*) FROM orders")
-    sides = QUERIES["side_fallback_names"](spark, SF).groupBy("side").count()
+    assert QUERIES["inventory"](spark, SF).count() == one("SELECT count(DISTINCT o_custkey) FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
+    assert QUERIES["catalog_merge"](spark, SF).count() == one("SELECT count(*) FROM orders")
+    sides = QUERIES["side_fallback"](spark, SF).groupBy("side").count()
     assert sides.where("side = 'UNKNOWN'").first()["count"] == one("SELECT count(*) FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'MACHINERY'")
     assert one("SELECT count(*) FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment <> 'MACHINERY' AND c_acctbal < 0") > 0
 

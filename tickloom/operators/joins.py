@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .asof import asof_join
+
 
 def window_pairs(left: DataFrame, right: DataFrame, by: Sequence[str], on: str, width: int, values: Sequence[str], how: str = "inner") -> DataFrame:
     """left rows with the right rows of the same key in [on, on + width): right `values` get the prefix r_.
@@ -44,9 +46,14 @@ def greedy_hits_mixed(shots: DataFrame, hits: DataFrame, by: Sequence[str], on:
     return pairs.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n", "__wide")
 
 
-def shots_with_hits(shots: DataFrame, pairs: DataFrame, by: Sequence[str], on: str, seq: str) -> DataFrame:
-    """Every shot with n_hits and impact (the first hit's tick, null for a miss)."""
-    each = pairs.groupBy(*by, seq).agg(F.count("*").alias("n_hits"), F.min(f"r_{on}").alias("impact"))
+def shots_with_hits(shots: DataFrame, pairs: DataFrame, by: Sequence[str], on: str, seq: str, kill: str | None = None, damage: str | None = None) -> DataFrame:
+    """Every shot with n_hits and impact, null for a miss: the tick of its first victim, killed ones first, then by damage, then in source order.
+
+    kill, damage: columns of pairs; without them the first hit counts.
+    """
+    rank = [-F.col(c).cast("double") for c in (kill, damage) if c]
+    order = F.struct(*rank, F.col(f"r_{on}"), F.col(f"r_{seq}"))
+    each = pairs.groupBy(*by, seq).agg(F.count("*").alias("n_hits"), F.min_by(f"r_{on}", order).alias("impact"))
     return shots.join(each, [*by, seq], "left").withColumn("n_hits", F.coalesce("n_hits", F.lit(0)))
 
 
@@ -72,30 +79,31 @@ def in_round(df: DataFrame, rounds: DataFrame, by: Sequence[str], on: str, seq:
     """df with round, start_tick, end_tick, freeze_tick of the first round whose closed interval holds `on`.
 
     Without one: round 1 with [on, on + length] and freeze at on + freeze. Rounds of a key do not overlap but may touch, so the first
-    that ends at or after `on` is the only candidate: found by carrying ends backwards, without comparing rows with rounds.
+    that ends at or after `on` is the only candidate: found by carrying ends down from the last tick, without comparing rows with rounds.
     """
     cols = ["round", "start_tick", "end_tick", "freeze_tick"]
     r = rounds.select(*by, F.col("end_tick").alias(on), F.struct(*cols).alias("__r"))
     both = df.withColumn("__mine", F.lit(True)).unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy(F.col(on), F.col("__mine").isNull(), "__r.round").rowsBetween(0, Window.unboundedFollowing)
-    found = both.withColumn("__r", F.first("__r", ignorenulls=True).over(w)).where("__mine")
+    w = Window.partitionBy(*by).orderBy(F.col(on).desc(), F.col("__mine").isNull().desc(), F.col("__r.round").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("__r", F.last("__r", ignorenulls=True).over(w)).where("__mine")
     ok = F.coalesce(F.col("__r.start_tick") <= F.col(on), F.lit(False))
     default = F.struct(F.lit(1).alias("round"), F.col(on).alias("start_tick"), (F.col(on) + length).alias("end_tick"), (F.col(on) + freeze).alias("freeze_tick"))
     return found.select(*df.columns, *[F.when(ok, F.col(f"__r.{c}")).otherwise(default[c]).alias(c) for c in cols])
 
 
 def by_masked_id(df: DataFrame, users: DataFrame, key: str, user_key: str, values: Sequence[str], mask: int = 0xFF) -> DataFrame:
-    """Looks up users by the masked id and, where that has none, by the exact id."""
-    first = users.groupBy(F.col(user_key).bitwiseAND(mask).alias("__m")).agg(*[F.first(v).alias(f"__m_{v}") for v in values])
-    exact = users.groupBy(F.col(user_key).alias("__e")).agg(*[F.first(v).alias(f"__e_{v}") for v in values])
+    """Looks up users by the masked id and, where that has none, by the exact id. Of several users the one with the smallest id and values counts."""
+    least = lambda prefix: [F.min_by(v, F.struct(user_key, *values)).alias(f"{prefix}{v}") for v in values]
+    first = users.groupBy(F.col(user_key).bitwiseAND(mask).alias("__m")).agg(*least("__m_"))
+    exact = users.groupBy(F.col(user_key).alias("__e")).agg(*least("__e_"))
     both = df.join(first, F.col(key).bitwiseAND(mask) == F.col("__m"), "left").join(exact, F.col(key) == F.col("__e"), "left")
     return both.select(*df.columns, *[F.coalesce(f"__m_{v}", f"__e_{v}").alias(v) for v in values])
 
 
 def side_with_fallback(df: DataFrame, roster: DataFrame, key: str, name: str, side: str) -> DataFrame:
-    """side by key, then by name, else UNKNOWN."""
-    a = roster.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.first(side).alias("__a"))
-    b = roster.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("__n")).agg(F.first(side).alias("__b"))
+    """side by key, then by name, else UNKNOWN; of several sides the smallest."""
+    a = roster.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.min(side).alias("__a"))
+    b = roster.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("__n")).agg(F.min(side).alias("__b"))
     both = df.join(a, F.col(key) == F.col("__k"), "left").join(b, F.col(name) == F.col("__n"), "left")
     return both.select(*df.columns, F.coalesce("__a", "__b", F.lit("UNKNOWN")).alias(side))
 
@@ -138,7 +146,7 @@ def window_seed(df: DataFrame, keys: Sequence[str], on: str, start: int, end: in
     return before.unionByName(df.where(F.col(on).between(start, end)))
 
 
-def nearest_before(df: DataFrame, points: DataFrame, on: str) -> DataFrame:
-    """df with the greatest point at or before `on`. The points (checkpoints of a log) are few: a sorted array in one row, searched per row."""
-    line = points.agg(F.array_sort(F.collect_set(on)).alias("__p"))
-    return df.join(F.broadcast(line), how="cross").withColumn("checkpoint", F.array_max(F.filter("__p", lambda p: p <= F.col(on)))).drop("__p")
+def nearest_before(df: DataFrame, points: DataFrame, on: str, by: Sequence[str]) -> DataFrame:
+    """df with the greatest point (a checkpoint of the same log, by its keys) at or before `on`; null without one."""
+    marks = points.select(*by, on, F.col(on).alias("checkpoint")).distinct()
+    return asof_join(df, marks, by, on, ["checkpoint"])

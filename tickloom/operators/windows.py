@@ -99,12 +99,12 @@ def changes_only(df: DataFrame, keys: Sequence[str], order: Sequence[str], value
 def rest_pruned(df: DataFrame, keys: Sequence[str], order: Sequence[str], axes: Sequence[str], slack: float = 0.01) -> DataFrame:
     """Drops the points after a track came to rest.
 
-    Index of the last point that moved, plus one more, stay; a track that never moves, or of fewer than three points, is left whole.
+    Index of the last point that moved (by slack or more on an axis), plus one more, stay; a track that never moves, or of fewer than three points, is left whole.
     """
     w = ordered(keys, order)
     moved = None
     for c in axes:
-        one = F.abs(F.col(c) - F.lag(c).over(w)) > slack
+        one = F.abs(F.col(c) - F.lag(c).over(w)) >= slack
         moved = one if moved is None else moved | one
     idx = df.withColumn("__i", F.row_number().over(w) - 1).withColumn("__moved", F.coalesce(moved, F.lit(False)))
     each = Window.partitionBy(*keys)
@@ -135,41 +135,49 @@ def aborted(df: DataFrame, keys: Sequence[str], order: Sequence[str], ok: Column
     return df.withColumn("__bad", F.sum((~fine).cast("int")).over(w)).where("__bad = 0").drop("__bad")
 
 
-def rounds(df: DataFrame, keys: Sequence[str], order: Sequence[str], on: str, is_start: Column, is_freeze: Column, is_end: Column, extra: Sequence[str] = ()) -> DataFrame:
-    """One row per end event: start (last start after the end before), freeze (last one from the start on), end, round.
+def rounds(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], on: str, is_start: Column, is_freeze: Column, is_end: Column, number: str | None = None, extra: Sequence[str] = ()
+) -> DataFrame:
+    """One row per end event: round, start_tick, freeze_tick, end_tick, next_start, and `extra` columns of the end event.
 
-    Ends without a start, or whose start is not before them, make no round. round numbers what is left.
+    start: the last start after the end before and up to this one; without one, the tick after the end before (0 for the first end).
+    freeze: the last freeze from the start up to the end; without one, the start. Ends whose start is not before them make no round.
+    round: the end's own `number` where that is positive, else its place among the rounds. next_start: the first start after the end.
+    One window by tick, one group per part between two ends, and one window backwards over starts and ends.
     """
-    w = ordered(keys, order)
+    # at one tick starts and freezes come before the end that may be theirs
+    place = [on, is_end.cast("int"), *order]
+    w = Window.partitionBy(*keys).orderBy(*place)
     marked = df.withColumns({"__s": F.when(is_start, F.col(on)), "__f": F.when(is_freeze, F.col(on)), "__e": F.when(is_end, F.col(on))})
-    # the number of ends before a row is the part it belongs to
-    part = F.sum(F.col("__e").isNotNull().cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = marked.withColumn("__part", F.coalesce(part, F.lit(0)))
-    inside = Window.partitionBy(*keys, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    marked = marked.withColumn("start_tick", F.last("__s", ignorenulls=True).over(inside))
-    marked = marked.withColumn("__f", F.when(F.col("__f") >= F.col("start_tick"), F.col("__f")))
-    since = F.last(F.when(F.col("__s").isNotNull() | F.col("__f").isNotNull(), F.struct("__f")), ignorenulls=True).over(inside)
-    marked = marked.withColumn("freeze_tick", since["__f"])
-    ends = marked.where(F.col("__e").isNotNull() & (F.col("start_tick") < F.col("__e")))
-    numbered = ends.withColumn("round", F.row_number().over(w))
-    return numbered.select(*keys, "round", "start_tick", "freeze_tick", F.col("__e").alias("end_tick"), *extra)
-
-
-def next_start(df: DataFrame, keys: Sequence[str], start: str = "start_tick") -> DataFrame:
-    return df.withColumn("next_start", F.lead(start).over(ordered(keys, [start])))
-
-
-def first_after(df: DataFrame, keys: Sequence[str], order: Sequence[str], on: str, mark: Column, name: str) -> DataFrame:
-    """The smallest `on` of a marked row strictly later than this one's, in one range frame."""
-    w = Window.partitionBy(*keys).orderBy(F.col(on).cast("long")).rangeBetween(1, Window.unboundedFollowing)
-    return df.withColumn(name, F.min(F.when(mark, F.col(on))).over(w))
+    marked = marked.where("__s is not null or __f is not null or __e is not null")
+    backwards = Window.partitionBy(*keys).orderBy(*[(c if isinstance(c, Column) else F.col(c)).desc() for c in place]).rowsBetween(Window.unboundedPreceding, -1)
+    marked = marked.withColumn("__next", F.last("__s", ignorenulls=True).over(backwards))
+    part = F.coalesce(F.sum(F.col("__e").isNotNull().cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.struct("__next", *([F.col(number).alias("__number")] if number else []), *[F.col(c).alias(f"__x_{c}") for c in extra])
+    parts = marked.withColumn("__part", part).groupBy(*keys, "__part").agg(
+        F.max("__s").alias("__s"), F.max("__f").alias("__f"), F.max("__e").alias("end_tick"), F.max_by(own, F.col("__e")).alias("__own")
+    )
+    ends = parts.where("end_tick is not null")
+    before = F.lag("end_tick").over(Window.partitionBy(*keys).orderBy("__part"))
+    ends = ends.withColumn("start_tick", F.coalesce("__s", before + 1, F.lit(0)).cast(df.schema[on].dataType))
+    ends = ends.withColumn("freeze_tick", F.when(F.col("__f") >= F.col("start_tick"), F.col("__f")).otherwise(F.col("start_tick"))).where("start_tick < end_tick")
+    ordinal = F.row_number().over(Window.partitionBy(*keys).orderBy("__part"))
+    ends = ends.withColumn("round", ordinal)
+    if number:
+        ends = ends.withColumn("round", F.when(F.col("__own.__number") > 0, F.col("__own.__number").cast("int")).otherwise(F.col("round")))
+    return ends.select(*keys, "round", "start_tick", "freeze_tick", "end_tick", F.col("__own.__next").alias("next_start"), *[F.col(f"__own.__x_{c}").alias(c) for c in extra])
+
+
+def first_after(df: DataFrame, keys: Sequence[str], on: str, marks: dict[str, Column]) -> DataFrame:
+    """For each name, the smallest `on` of a row marked so that is strictly later than this one's; one pass backwards, linear in a key's rows."""
+    w = Window.partitionBy(*keys).orderBy(F.col(on).cast("long").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    return df.withColumns({name: F.min(F.when(mark, F.col(on))).over(w) for name, mark in marks.items()})
 
 
 def was_sold(df: DataFrame, keys: Sequence[str], on: str, is_buy: Column, is_sell: Column) -> DataFrame:
     """Buys with was_sold: the next sale comes before the next buy; false where either is missing."""
-    w = Window.partitionBy(*keys).orderBy(F.col(on).cast("long")).rangeBetween(1, Window.unboundedFollowing)
-    sell, buy = F.min(F.when(is_sell, F.col(on))).over(w), F.min(F.when(is_buy, F.col(on))).over(w)
-    return df.withColumn("was_sold", F.coalesce(sell < buy, F.lit(False))).where(is_buy)
+    found = first_after(df, keys, on, {"__sell": is_sell, "__buy": is_buy})
+    return found.withColumn("was_sold", F.coalesce(F.col("__sell") < F.col("__buy"), F.lit(False))).where(is_buy).drop("__sell", "__buy")
 
 
 def triples(df: DataFrame, keys: Sequence[str], order: Sequence[str], kind: str, wanted: Sequence[str], value: str) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql.window import Window
 
 from ..functions.scalars import canonical_name, tag_added, tag_removed
 
+#: Rows of the sample that cuts an order into ranges.
+SAMPLE = 4096
 PARTITIONS = ("type", "folder")
 TYPES = ("SINGLE", "DOUBLE", "TRIPLE", "QUAD", "ACE", "MULTI")
 #: Columns of a row with tick data that a later row without it does not overwrite.
@@ -23,7 +25,7 @@ def write(df: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def merge(old: DataFrame, new: DataFrame, keys: Sequence[str], keep_if_empty: Sequence[str] = ("tag",), protected: Sequence[str] = (), guard: str | None = None) -> DataFrame:
-    """Upsert: new rows replace old ones of the same key.
+    """Upsert: new rows replace old ones of the same key (nulls are equal).
 
     keep_if_empty: an empty or null new value keeps the old one. protected: kept from the old row where `guard` is 1 there and not in the new row.
     Several new rows of one key are an error of the caller; unique() finds them.
@@ -32,7 +34,7 @@ def merge(old: DataFrame, new: DataFrame, keys: Sequence[str], keep_if_empty: Se
     n = new.select(*[F.col(c).alias(f"n_{c}") for c in new.columns], F.lit(True).alias("__new"))
     cond = None
     for k in keys:
-        one = F.col(f"o_{k}") == F.col(f"n_{k}")
+        one = F.col(f"o_{k}").eqNullSafe(F.col(f"n_{k}"))
         cond = one if cond is None else cond & one
     both = o.join(n, cond, "full")
     held = (F.col(f"o_{guard}") == 1) & (F.coalesce(F.col(f"n_{guard}"), F.lit(0)) != 1) if guard else F.lit(False)
@@ -111,14 +113,32 @@ def search(df: DataFrame, text: str, fields: Sequence[str]) -> DataFrame:
     return df.where(cond)
 
 
-def sort(df: DataFrame, key: str, tie: Sequence[str], descending: bool = True, rank: str | None = None) -> DataFrame:
+def sort(df: DataFrame, key: str, tie: Sequence[str], descending: bool = True, rank: str | None = None, parts: int = 64) -> DataFrame:
     """By one key (text without regard to case), then by tie. rank: adds the place as a column instead of ordering rows.
 
-    A rank over everything needs one order of all rows: it is for pages of a report, whose rows are few.
+    Places are found without one order of all rows: a sample of SAMPLE rows, chosen by hash, gives bounds that cut the keys into ranges (a
+    key that is a bound is a range of its own, cut again by tie); places within a range follow the number of rows in the ranges before.
     """
     col = F.lower(F.col(key)) if dict(df.dtypes)[key] == "string" else F.col(key)
-    order = [col.desc() if descending else col.asc(), *tie]
-    return df.withColumn(rank, F.row_number().over(Window.orderBy(*order))) if rank else df.orderBy(*order)
+    if not rank:
+        return df.orderBy(col.desc() if descending else col.asc(), *tie)
+    rows = df.withColumn("__key", col).withColumn("__tie", F.struct(*tie))
+    sample = rows.select("__key", "__tie").orderBy(F.xxhash64("__key", "__tie"), "__key", "__tie").limit(SAMPLE)
+    # one row: every (SAMPLE / parts)-th of the sample's sorted keys and ties
+    every = max(1, SAMPLE // parts)
+    pick = lambda c: F.transform(F.filter(F.transform(F.sort_array(F.collect_list(c)), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda e: e["i"] % every == every - 1), lambda e: e["x"])
+    bounds = sample.agg(pick("__key").alias("__keys"), pick("__tie").alias("__ties"))
+    below = lambda c, array: F.size(F.filter(array, lambda b: b < F.col(c)))
+    own = F.coalesce(F.array_contains("__keys", F.col("__key")), F.lit(False))
+    # null keys come first going up and last going down, as Spark sorts them
+    number = F.when(F.col("__key").isNull(), -1).otherwise(2 * below("__key", "__keys") + own.cast("int"))
+    ranged = rows.crossJoin(F.broadcast(bounds)).withColumn("__a", number).withColumn("__b", F.when(own, below("__tie", "__ties")).otherwise(0)).drop("__keys", "__ties")
+    a = F.col("__a").desc() if descending else F.col("__a").asc()
+    counts = ranged.groupBy("__a", "__b").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy(a, "__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most 2 x parts² rows
+    placed = ranged.join(F.broadcast(counts.select("__a", "__b", before.alias("__before"))), ["__a", "__b"])
+    inside = Window.partitionBy("__a", "__b").orderBy(F.col("__key").desc() if descending else F.col("__key").asc(), *tie)
+    return placed.withColumn(rank, (F.col("__before") + F.row_number().over(inside)).cast("int")).select(*df.columns, rank)
 
 
 def distinct_tags(df: DataFrame, tag: str = "tag") -> DataFrame:

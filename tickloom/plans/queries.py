@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import scalars as sc
 from ..operators import asof, entities, joins, kills
 from ..operators import windows as win
+from ..session import Engine
+from ..sources import replaylog
 from . import catalog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,12 +79,13 @@ def player_in_filter(spark, sf):
 
 @query("SELECT seq, name FROM lane WHERE name IN ('click', 'error')")
 def event_name_filter(spark, sf):
-    return lane(spark, sf).where(F.col("name").isin("click", "error")).select("seq", "name")
+    found = Engine(spark).from_tables(events=lane(spark, sf)).events(["click", "error"])
+    return found["click"].unionByName(found["error"]).select("seq", "name")
 
 
 @query("SELECT DISTINCT name FROM lane")
 def event_names(spark, sf):
-    return lane(spark, sf).select("name").distinct()
+    return Engine(spark).from_tables(events=lane(spark, sf)).event_names()
 
 
 @query("SELECT seq FROM (SELECT seq, sum(CASE WHEN value < 95 THEN 0 ELSE 1 END) OVER (PARTITION BY tick // 230400 ORDER BY tick, seq ROWS UNBOUNDED PRECEDING) AS bad FROM lane) WHERE bad = 0")
@@ -184,7 +187,7 @@ def lookahead_frame(spark, sf):
 
 
 @query(
-    """, m AS (SELECT seq, steamid, row_number() OVER w - 1 AS i, abs(q - lag(q) OVER w) > 0.01 AS moved FROM (SELECT *, k // 30 AS q FROM lane) WINDOW w AS (PARTITION BY steamid ORDER BY tick, seq)),
+    """, m AS (SELECT seq, steamid, row_number() OVER w - 1 AS i, abs(q - lag(q) OVER w) >= 0.01 AS moved FROM (SELECT *, k // 30 AS q FROM lane) WINDOW w AS (PARTITION BY steamid ORDER BY tick, seq)),
     x AS (SELECT *, max(i) FILTER (moved) OVER (PARTITION BY steamid) AS l, count(*) OVER (PARTITION BY steamid) AS n FROM m) SELECT seq FROM x WHERE n < 3 OR l IS NULL OR i <= l + 1 -- lane"""
 )
 def rest_prune(spark, sf):
@@ -223,11 +226,11 @@ def purchase_triples(spark, sf):
     return win.triples(lane(spark, sf), ["steamid"], ["tick", "seq"], "name", ["click", "view", "purchase"], "k").select("seq")
 
 
-ROUNDS = """, m AS (SELECT *, coalesce(sum((name = 'purchase')::INT) OVER (PARTITION BY steamid ORDER BY tick, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM lane),
-e AS (SELECT steamid, part, tick AS end_tick, seq FROM m WHERE name = 'purchase'),
-r AS (SELECT e.*, (SELECT max(s.tick) FROM m s WHERE s.steamid = e.steamid AND s.part = e.part AND s.name = 'signup') AS start_tick FROM e),
-f AS (SELECT r.*, (SELECT max(s.tick) FROM m s WHERE s.steamid = r.steamid AND s.part = r.part AND s.name = 'error' AND s.tick >= r.start_tick) AS freeze_tick FROM r WHERE start_tick < end_tick),
-rounds AS (SELECT steamid, CAST(row_number() OVER (PARTITION BY steamid ORDER BY end_tick, seq) AS INTEGER) AS round, start_tick, freeze_tick, end_tick FROM f)
+ROUNDS = """, e AS (SELECT steamid, tick AS end_tick, seq, lag(tick) OVER (PARTITION BY steamid ORDER BY tick, seq) AS prev FROM lane WHERE name = 'purchase'),
+b AS (SELECT e.*, coalesce((SELECT max(s.tick) FROM lane s WHERE s.steamid = e.steamid AND s.name = 'signup' AND s.tick > coalesce(e.prev, -1) AND s.tick <= e.end_tick), e.prev + 1, 0) AS start_tick,
+    (SELECT min(s.tick) FROM lane s WHERE s.steamid = e.steamid AND s.name = 'signup' AND s.tick > e.end_tick) AS next_start FROM e),
+z AS (SELECT b.*, coalesce((SELECT max(f.tick) FROM lane f WHERE f.steamid = b.steamid AND f.name = 'error' AND f.tick >= b.start_tick AND f.tick <= b.end_tick), b.start_tick) AS freeze_tick FROM b WHERE start_tick < end_tick),
+rounds AS (SELECT steamid, CAST(row_number() OVER (PARTITION BY steamid ORDER BY end_tick, seq) AS INTEGER) AS round, start_tick, freeze_tick, end_tick, next_start FROM z)
 """
 
 
@@ -236,14 +239,14 @@ def _rounds(df: DataFrame) -> DataFrame:
     return win.rounds(df, ["steamid"], ["tick", "seq"], "tick", n == "signup", n == "error", n == "purchase")
 
 
-@query(ROUNDS + "SELECT * FROM rounds -- lane")
+@query(ROUNDS + "SELECT steamid, round, start_tick, freeze_tick, end_tick FROM rounds -- lane")
 def rounds_build(spark, sf):
-    return _rounds(lane(spark, sf))
+    return _rounds(lane(spark, sf)).drop("next_start")
 
 
-@query(ROUNDS + "SELECT *, lead(start_tick) OVER (PARTITION BY steamid ORDER BY start_tick) AS next_start FROM rounds -- lane")
+@query(ROUNDS + "SELECT * FROM rounds -- lane")
 def next_round_start(spark, sf):
-    return win.next_start(_rounds(lane(spark, sf)), ["steamid"])
+    return _rounds(lane(spark, sf))
 
 
 @query(
@@ -258,7 +261,7 @@ def event_round_interval(spark, sf):
 
 @query("SELECT seq, next_view FROM (SELECT l.seq, l.name, (SELECT min(v.tick) FROM lane v WHERE v.steamid = l.steamid AND v.name = 'view' AND v.tick > l.tick) AS next_view FROM lane l) WHERE name = 'click'")
 def next_after(spark, sf):
-    return win.first_after(lane(spark, sf), ["steamid"], ["tick"], "tick", F.col("name") == "view", "next_view").where("name = 'click'").select("seq", "next_view")
+    return win.first_after(lane(spark, sf), ["steamid"], "tick", {"next_view": F.col("name") == "view"}).where("name = 'click'").select("seq", "next_view")
 
 
 @query(
@@ -385,7 +388,8 @@ def median_altitude(spark, sf):
 
 @query("SELECT name, count(*) AS n, sum(k)::BIGINT AS bytes, min(tick) AS first_tick, max(tick) AS last_tick FROM lane GROUP BY name")
 def census(spark, sf):
-    return lane(spark, sf).groupBy("name").agg(F.count("*").alias("n"), F.sum("k").alias("bytes"), F.min("tick").alias("first_tick"), F.max("tick").alias("last_tick"))
+    frames = lane(spark, sf).select(F.lit("log").alias("file"), F.col("name").alias("kind"), "tick", F.col("k").alias("size"))
+    return replaylog.census(frames).select(F.col("kind").alias("name"), "n", "bytes", "first_tick", "last_tick")
 
 
 @query("SELECT s_suppkey, CAST(row_number() OVER (ORDER BY lower(s_name) DESC, s_suppkey) AS INTEGER) AS place FROM supplier")
@@ -393,23 +397,12 @@ def sort_15(spark, sf):
     return catalog.sort(table(spark, sf, "supplier"), "s_name", ["s_suppkey"], rank="place").select("s_suppkey", "place")
 
 
-@query(
-    """WITH n AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'late' END AS tag, o_totalprice + 1 AS price FROM orders WHERE o_orderstatus = 'F'), o AS (SELECT o_orderkey, o_orderpriority AS tag, o_totalprice AS price FROM orders WHERE o_orderkey % 3 > 0)
-    SELECT coalesce(n.o_orderkey, o.o_orderkey) AS o_orderkey, CASE WHEN n.o_orderkey IS NULL OR n.tag = '' THEN o.tag ELSE n.tag END AS tag, round(coalesce(n.price, o.price), 2) AS price FROM o FULL JOIN n ON o.o_orderkey = n.o_orderkey"""
-)
-def catalog_merge(spark, sf):
-    orders = table(spark, sf, "orders")
-    old = orders.where("o_orderkey % 3 > 0").select("o_orderkey", F.col("o_orderpriority").alias("tag"), F.col("o_totalprice").alias("price"))
-    new = orders.where("o_orderstatus = 'F'").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, "").otherwise("late").alias("tag"), (F.col("o_totalprice") + 1).alias("price"))
-    return catalog.merge(old, new, ["o_orderkey"]).withColumn("price", F.round("price", 2))
-
-
 @query(
     """WITH n AS (SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN '' ELSE 'late' END AS tag, o_totalprice + 1 AS price FROM orders WHERE o_orderstatus = 'F'),
     o AS (SELECT o_orderkey, o_orderpriority AS tag, o_totalprice AS price FROM orders WHERE o_orderstatus <> 'F' OR o_orderdate < DATE '2000-01-01')
     SELECT coalesce(n.o_orderkey, o.o_orderkey) AS o_orderkey, CASE WHEN n.o_orderkey IS NULL OR n.tag = '' THEN o.tag ELSE n.tag END AS tag, round(coalesce(n.price, o.price), 2) AS price FROM o FULL JOIN n ON o.o_orderkey = n.o_orderkey"""
 )
-def catalog_merge_whole(spark, sf):
+def catalog_merge(spark, sf):
     """Every order: finished ones are new, and old too if placed before 2000; all others are old."""
     orders = table(spark, sf, "orders")
     old = orders.where("o_orderstatus <> 'F' OR o_orderdate < DATE '2000-01-01'").select("o_orderkey", F.col("o_orderpriority").alias("tag"), F.col("o_totalprice").alias("price"))
@@ -426,15 +419,15 @@ def missing_assets(spark, sf):
 @query("SELECT o_orderkey FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45)")
 def enable_found(spark, sf):
     big = table(spark, sf, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
-    return joins.present(table(spark, sf, "orders"), big, ["o_orderkey"]).select("o_orderkey")
+    return catalog.tick_data_enabled(table(spark, sf, "orders").select("o_orderkey"), big, ["o_orderkey"]).where("tick_data = 1").select("o_orderkey")
 
 
-@query("SELECT o.o_orderkey, l.l_linenumber, p.p_name FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey LEFT JOIN (SELECT * FROM part WHERE p_size > 25) p ON p.p_partkey = l.l_partkey WHERE o.o_orderstatus = 'F'")
+@query("SELECT o.o_orderkey, o.o_custkey, l.l_linenumber, c.c_name FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) c ON c.c_custkey = o.o_custkey WHERE o.o_orderstatus = 'F'")
 def clip_asset_source(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderstatus = 'F'").select("o_orderkey")
-    l = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", F.col("l_partkey").alias("p_partkey"))
-    p = table(spark, sf, "part").where("p_size > 25").select("p_partkey", "p_name")
-    return o.join(l, "o_orderkey").join(p, "p_partkey", "left").select("o_orderkey", "l_linenumber", "p_name")
+    collections = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("demo_name"), F.col("o_orderkey").alias("collection_num"))
+    assets = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("collection_num"), "l_linenumber").join(collections, "collection_num")
+    sources = table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("demo_name"), "c_name")
+    return catalog.clips(collections, assets, sources).select(F.col("collection_num").alias("o_orderkey"), F.col("demo_name").alias("o_custkey"), "l_linenumber", "c_name")
 
 
 @query("SELECT DISTINCT steamid, name FROM lane")
@@ -576,22 +569,11 @@ def team_pivot(spark, sf):
     return entities.team_pivot(df.where("name = 'purchase'").select("seq", "tick"), teams, ["k"]).select("seq", "t_k", "ct_k")
 
 
-@query(
-    """, f AS (SELECT o_custkey, p_name, min(o_orderkey * 1000000 + l_partkey) AS i FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderkey < 2000 GROUP BY ALL)
-    SELECT o_custkey, string_agg(p_name, ';' ORDER BY i) AS inventory FROM f GROUP BY o_custkey""".replace(", f AS", "WITH f AS", 1)
-)
-def inventory(spark, sf):
-    lines = table(spark, sf, "orders").where("o_orderkey < 2000").join(table(spark, sf, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
-    held = lines.groupBy("o_custkey").agg(F.transform(F.sort_array(F.collect_list(F.struct((F.col("o_orderkey") * 1000000 + F.col("l_partkey")).alias("i"), "l_partkey"))), lambda x: x["l_partkey"]).alias("handles"))
-    items = table(spark, sf, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"))
-    return entities.inventory(held, "handles", items, ["o_custkey"], index=lambda key: key).select("o_custkey", F.array_join("inventory", ";").alias("inventory"))
-
-
 @query(
     """SELECT o_custkey, string_agg(p_name, ';' ORDER BY i) AS inventory FROM (SELECT o_custkey, p_name, min((o_orderkey, l_partkey)) AS i FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY ALL)
     GROUP BY o_custkey"""
 )
-def inventory_whole(spark, sf):
+def inventory(spark, sf):
     """The inventory of every customer. Part keys are no handles: they are taken as they are, however large."""
     lines = table(spark, sf, "orders").join(table(spark, sf, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
     held = lines.groupBy("o_custkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "l_partkey"))), lambda x: x["l_partkey"]).alias("handles"))
@@ -648,18 +630,11 @@ def masked_user_join(spark, sf):
     return joins.by_masked_id(lane(spark, sf), first.select(F.col("m").alias("id"), "user_name"), "steamid", "id", ["user_name"]).join(exact.withColumnRenamed("user_name", "x"), F.col("steamid") == F.col("c_custkey"), "left").select("seq", F.coalesce("user_name", "x").alias("user_name"))
 
 
-@query("SELECT o_orderkey, coalesce(a.side, 'UNKNOWN') AS side FROM orders LEFT JOIN (SELECT c_custkey, c_mktsegment AS side FROM customer WHERE c_custkey % 3 = 0) a ON a.c_custkey = o_custkey")
-def side_fallback(spark, sf):
-    roster = table(spark, sf, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.lit(None).cast("string").alias("who"), F.col("c_mktsegment").alias("side"))
-    df = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("id"), F.lit("nobody").alias("who"))
-    return joins.side_with_fallback(df, roster, "id", "who", "side").select("o_orderkey", "side")
-
-
 @query(
     """WITH r AS (SELECT CASE WHEN c_acctbal >= 0 THEN c_custkey END AS id, c_name AS who, c_mktsegment AS side FROM customer WHERE c_mktsegment <> 'MACHINERY')
     SELECT o_orderkey, coalesce((SELECT min(side) FROM r WHERE r.id = o_custkey), (SELECT min(side) FROM r WHERE r.who = c_name), 'UNKNOWN') AS side FROM orders LEFT JOIN customer ON c_custkey = o_custkey"""
 )
-def side_fallback_names(spark, sf):
+def side_fallback(spark, sf):
     """Orders whose customer is listed by id, by name alone (a balance below 0) or not at all (one segment has no side)."""
     customers = table(spark, sf, "customer")
     roster = customers.where("c_mktsegment <> 'MACHINERY'").select(F.when(F.col("c_acctbal") >= 0, F.col("c_custkey")).alias("id"), F.col("c_name").alias("who"), F.col("c_mktsegment").alias("side"))

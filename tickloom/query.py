@@ -17,6 +17,8 @@ from .operators import windows as win
 #: Columns that a tick query always returns; raw fields of events that enrichment replaces.
 ALWAYS = ("tick", "steamid", "name")
 REMOVED_EVENTS = ("server_cvar", "player_connect")
+#: Parts that a log's events are spread over to get the state of its rules.
+SALTS = 16
 ROLES = {"userid": "user", "attacker": "attacker", "assister": "assister", "victim": "victim"}
 
 
@@ -34,8 +36,19 @@ class LogQuery:
     state_mode: str = "abort"
 
 
+def _log(*lanes: DataFrame) -> list[str]:
+    """The key of a log where all lanes have one."""
+    have = ["file" in df.columns for df in lanes]
+    if any(have) and not all(have):
+        raise ValueError("either all lanes or none must name their log in a column `file`")
+    return ["file"] if all(have) else []
+
+
 class LogDataset:
-    """Lanes by name. Column names of the lanes are tick, steamid, name, seq and what they carry."""
+    """Lanes by name. Column names of the lanes are tick, steamid, name, seq and what they carry.
+
+    Lanes of several logs have a column `file`; state, velocity and ticks of one log never meet those of another.
+    """
 
     def __init__(self, lanes: Mapping[str, Callable[[], DataFrame]]):
         self.lanes = dict(lanes)
@@ -80,21 +93,22 @@ class LogDataset:
         """One row per player and tick: velocity is computed over all rows, then filters apply, then the wanted columns stay."""
         df = self.lane("ticks")
         wanted = [c for c in q.columns if c not in ALWAYS]
+        log = _log(df)
         if any(c.startswith("velocity") for c in wanted):
             axes = {f"velocity_{c}": c for c in ("X", "Y", "Z") if c in df.columns}
-            df = win.velocity(df, ["steamid"], ["tick"], axes)
-            df = win.speed(df, "velocity_X", "velocity_Y")
+            df = win.velocity(df, [*log, "steamid"], ["tick"], axes)
+            df = win.speed(df, "velocity_X", "velocity_Y") if {"X", "Y"} <= set(df.columns) else df
         if q.states:
             ok = F.lit(True)
             for name, value in q.states.items():
                 ok = ok & (F.col(name) == F.lit(value))
             order = ["entity_id"] if "entity_id" in df.columns else ["steamid"]
-            df = win.aborted(df, ["tick"], order, ok, per_row=q.state_mode == "row")
+            df = win.aborted(df, [*log, "tick"], order, ok, per_row=q.state_mode == "row")
         if q.ticks:
             df = df.where(F.col("tick").isin(*q.ticks))
         if q.players:
             df = df.where(F.col("steamid").isin(*q.players))
-        return df.select(*[c for c in ALWAYS if c in df.columns], *[c for c in wanted if c in df.columns]) if q.columns else df
+        return df.select(*log, *[c for c in ALWAYS if c in df.columns], *[c for c in wanted if c in df.columns]) if q.columns else df
 
     def event(self, name: str, player: Sequence[str] = (), other: Sequence[str] = (), roles: Mapping[str, str] | None = None) -> DataFrame:
         """Rows of one event with the state of each role's player as of the event, under the role's prefix.
@@ -105,11 +119,17 @@ class LogDataset:
         for column, prefix in (roles if roles is not None else ROLES).items():
             if column not in events.columns or not player:
                 continue
-            state = self.lane("ticks").select(F.col("steamid").alias(column), "tick", *player)
-            events = asof.asof_join(events, state, [column], "tick", list(player), prefix=f"{prefix}_")
+            ticks = self.lane("ticks")
+            log = _log(events, ticks)
+            state = ticks.select(*log, F.col("steamid").alias(column), "tick", *player)
+            events = asof.asof_join(events, state, [*log, column], "tick", list(player), prefix=f"{prefix}_")
         if other:
-            rules = self.lane("rules").select(F.lit(0).alias("__g"), "tick", *other)
-            events = asof.asof_join(events.withColumn("__g", F.lit(0)), rules, ["__g"], "tick", list(other)).drop("__g")
+            rules = self.lane("rules")
+            log = _log(events, rules)
+            # a log's events are spread over salts, and its rules, which are few, go to each of them
+            spread = events.withColumn("__salt", F.pmod(F.xxhash64("tick", *events.columns[:1]), F.lit(SALTS)).cast("int"))
+            each = rules.select(*log, "tick", *other).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            events = asof.asof_join(spread, each, [*log, "__salt"], "tick", list(other)).drop("__salt")
         return events
 
     def events(self, names: Sequence[str], player: Sequence[str] = (), other: Sequence[str] = ()) -> dict[str, DataFrame]:

@@ -28,11 +28,16 @@ class Engine:
     def __init__(self, spark: SparkSession):
         self.spark = spark
 
-    def open(self, path: str | list[str], pattern: str = "*.dem*") -> LogDataset:
-        """A dataset whose lanes are decoded from the logs under path when they are first used."""
+    def open(self, path: str | list[str], pattern: str = "*.dem*", **ready: DataFrame) -> LogDataset:
+        """A dataset whose lanes are decoded from the logs under path when they are first used.
+
+        Only replaylog.LANES come from the logs. Entity state is not decoded: ticks, grenades, item_drops and skins are
+        given ready, as tables with the log's name in `file`; without them, asking for them raises a KeyError that names the lanes there are.
+        """
         from .sources.replaylog import LANES, read_lane
 
-        return LogDataset({lane: (lambda lane=lane: read_lane(self.spark, path, lane, pattern)) for lane in LANES})
+        decoded = {lane: (lambda lane=lane: read_lane(self.spark, path, lane, pattern)) for lane in LANES}
+        return LogDataset(decoded | {name: (lambda df=df: df) for name, df in ready.items()})
 
     def from_tables(self, **lanes: DataFrame) -> LogDataset:
         """A dataset over ready lanes: ticks, events, players, grenades, and so on."""
