@@ -405,8 +405,33 @@ def test_topk(spark, monkeypatch):
 def test_trees_cover_and_prune():
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.integers(-5, 6, (300, 4)) + c for c in ([0] * 4, [300] * 4, [-300, 0, 300, 0])]).astype(np.int64)
-    tree = topk_search.Tree(np.arange(900), x)
-    assert sorted(tree.ids.tolist()) == list(range(900)) and len(tree.first) > 3
+    tree = topk_search.Tree.load(topk_search.Tree.build(np.arange(900), x).stored())
+    assert sorted(tree.ids.tolist()) == list(range(900)) and len(tree.first) > 3 and (x[tree.ids] == tree.points).all()
     for node in range(len(tree.first)):
         own = tree.points[tree.first[node] : tree.last[node]]
         assert np.sqrt(((own - tree.centres[node]) ** 2).sum(1)).max() <= tree.radius[node] + 1e-6
+        below = tree.children(node)
+        assert sum(tree.last[below] - tree.first[below]) + tree.single[node] - tree.first[node] == len(own)
+        assert (tree.radius[below] <= tree.radius[node] / topk_search.SHRINK * 1.01).all()
+        apart = tree.centres[below][:, None] - tree.centres[below][None]
+        gaps = np.sqrt((apart**2).sum(2))[~np.eye(len(below), dtype=bool)]
+        assert (gaps > tree.radius[node] / topk_search.SHRINK * 0.99).all()
+
+
+@pytest.mark.parametrize("spread, share", [(0.02, 0.1), (0.2, 0.5)])
+def test_trees_leave_out_most_products(spread, share):
+    """Clusters in all directions: of the products of queries and points only a part is computed, and the result is that of all."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 8))
+    centres /= np.sqrt((centres**2).sum(1, keepdims=True))
+    x = np.floor(1000 * (centres[rng.integers(0, 40, 4000)] + spread * rng.normal(size=(4000, 8)))).astype(np.int64)
+    queries, data = topk_search.Tree.build(np.arange(0, 4000, 20), x[::20]), topk_search.Tree.build(np.arange(4000), x)
+    best = topk_search.Best(len(queries.ids), 20)
+    made = topk_search.dual_search(queries, data, best)
+    assert made < share * 200 * 4000
+    scores = queries.points @ x.T
+    for row, i in enumerate(queries.ids):
+        own = np.delete(np.arange(4000), i)
+        want = own[np.lexsort((own, -scores[row][own]))][:20]
+        mine = best.query == row
+        assert best.ids[mine][np.lexsort((best.ids[mine], -best.score[mine]))].tolist() == want.tolist()

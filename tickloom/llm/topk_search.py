@@ -1,13 +1,13 @@
 """Exact top-k inner-product search with cover trees over queries and data.
 
 Vectors become whole numbers. A net of centres (farthest first, on a bounded sample) is the trees' top level: every
-vector goes to its nearest centre, and large cells are split by row, so that a block holds a bounded number of vectors.
-Each block gets a cover tree: a node has a centre and a covering radius; its children cover its points within a
-smaller radius and are that far apart; where the points are so spread that nearly each would be a child, the node is a leaf.
-Two nodes' largest inner product is at most q·p + Rq|p| + Rp|q| + Rq·Rp. Query blocks first search the data block of their
-own centre; that gives every query a k-th score. Then each pair of a query block and a data block whose bound reaches
-the query block's worst k-th score is searched, dual-tree, by the same rule, and the hits of all pairs are merged.
-A bound that only ties is kept, so ties go to the smaller id exactly.
+vector goes to its nearest centre, and cells are split by row, so that a block holds a bounded number of vectors.
+Each block gets a cover tree, built once and stored: a node has a centre and a covering radius; its children cover its points within a
+smaller radius and their centres are that far apart. Children of one point have no radius; they are kept side by side and tested at once.
+Two nodes' largest inner product is at most q·p + Rq|p| + Rp|q| + Rq·Rp. Query blocks first search a data block of their
+own centre; that gives every query a k-th score. Then the cells, their blocks and the blocks' trees are searched, dual-tree, by the same
+rule: node pairs whose bound is under the query group's worst k-th score are left out. A data block meets a few query blocks at a time;
+only queries travel once per pair. A bound that only ties is kept, so ties go to the smaller id exactly.
 
 Defined results: null vectors and vectors with null or non-finite components take no part; shorter vectors count as filled
 up with zeros; a query id that several rows share is one query, with the smallest of their vectors, and none of those rows is its
@@ -16,11 +16,11 @@ candidate; other repeated rows are candidates each; a query with fewer candidate
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,10 +28,10 @@ from pyspark.sql.window import Window
 from .common import bounded, written
 
 K, SCALE = 20, 64
-#: Rows of the sample that the centres come from, most centres, rows of a data block and of a query block.
-SAMPLE, CENTRES, DATA_ROWS, QUERY_ROWS = 2048, 256, 8192, 1024
-#: Rows of a leaf; each level's radius is so much smaller; a net of more than this share of the points makes a leaf.
-LEAF, SHRINK, SPREAD = 64, 1.3, 0.25
+#: Rows of the sample that the centres come from, most centres, rows of a data block and of a query block, query blocks per search.
+SAMPLE, CENTRES, DATA_ROWS, QUERY_ROWS, TOGETHER = 2048, 256, 2048, 1024, 16
+#: Points up to which a node has no child nodes; each level's radius is so much smaller.
+LEAF, SHRINK = 16, 1.3
 LOW = np.iinfo(np.int64).min
 
 
@@ -43,69 +43,90 @@ def whole(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") ->
 
 
 class Tree:
-    """A block's points in tree order and its nodes: first and last point, centre, radius, children (0: leaf)."""
+    """A block's points in tree order and its nodes.
 
-    def __init__(self, ids: np.ndarray, points: np.ndarray):
-        order: list[np.ndarray] = []
-        self.first, self.last, self.radius, self.children, centres = [], [], [], [], []
+    Node n has the points first[n]:last[n], of which first[n]:single[n] are its children of one point, the child nodes
+    below[start[n]:start[n + 1]], the point centre[n] as its centre and the covering radius[n]. Node 0 is the root.
+    """
+
+    NAMES = ("ids", "points", "first", "single", "last", "radius", "centre", "start", "below")
+
+    def __init__(self, **arrays: np.ndarray):
+        for name in self.NAMES:
+            setattr(self, name, arrays[name])
+        self.points = self.points.astype(np.float64)
+        self.norms = np.sqrt((self.points**2).sum(1))
+        self.centres, self.reach = self.points[self.centre], self.norms[self.centre]
+
+    @classmethod
+    def build(cls, ids: np.ndarray, points: np.ndarray) -> Tree:
         data = points.astype(np.float64)
-        # (points, centre's number, parent); children are appended after their parent
+        nodes: list[tuple[np.ndarray, int, float, np.ndarray, list[int]]] = []  # points, centre, radius, single points, children
         stack: list[tuple[np.ndarray, int, int]] = [(np.arange(len(ids)), 0, -1)] if len(ids) else []
-        at = 0
-        leaves: dict[int, np.ndarray] = {}
         while stack:
             mine, centre, parent = stack.pop()
-            node = len(centres)
-            away = np.sqrt(np.maximum(0, ((data[mine] - data[centre]) ** 2).sum(1)))
-            centres.append(data[centre])
-            self.radius.append(float(away.max()) * (1 + 1e-9))
-            self.first.append(0)
-            self.last.append(0)
-            self.children.append([])
             if parent >= 0:
-                self.children[parent].append(node)
-            parts = self._net(data, mine, centre, away)
-            if parts is None:
-                leaves[node] = mine
-            else:
-                stack += [(part, c, node) for part, c in parts]
-        # points in the order of a walk from the root: each node's are together
-        walk: list[tuple[int, bool]] = [(0, False)] if centres else []
+                nodes[parent][4].append(len(nodes))
+            away = np.sqrt(np.maximum(0, ((data[mine] - data[centre]) ** 2).sum(1)))
+            parts, single = cls._net(data, mine, centre, away)
+            stack += [(part, c, len(nodes)) for part, c in parts]
+            nodes.append((mine, centre, float(away.max()) * (1 + 1e-9), single, []))
+        # points in the order of a walk from the root: each node's are together, single ones first
+        order, first, single, last = [], [0] * len(nodes), [0] * len(nodes), [0] * len(nodes)
+        at, walk = 0, [0] if nodes else []
         while walk:
-            node, done = walk.pop()
-            if done:
-                self.last[node] = at
-            elif node in leaves:
-                self.first[node] = at
-                order.append(leaves[node])
-                at += len(leaves[node])
-                self.last[node] = at
-            else:
-                self.first[node] = at
-                walk.append((node, True))
-                walk += [(c, False) for c in self.children[node]]
+            n = walk.pop()
+            first[n], last[n] = at, at + len(nodes[n][0])
+            order.append(nodes[n][3])
+            at += len(nodes[n][3])
+            single[n] = at
+            walk += nodes[n][4]
+        # a stack visits a node's whole subtree before its next sibling, so ranges are nested
         take = np.concatenate(order) if order else np.zeros(0, np.int64)
-        self.ids, self.points = ids[take], data[take]
-        self.centres = np.array(centres)
-        self.norms = np.sqrt((self.centres**2).sum(1)) if centres else np.zeros(0)
+        place = np.empty(len(take), np.int64)
+        place[take] = np.arange(len(take))
+        below = [c for *_, children in nodes for c in children]
+        start = np.cumsum([0, *(len(children) for *_, children in nodes)])
+        return cls(
+            ids=ids[take], points=points[take], first=np.array(first, np.int64), single=np.array(single, np.int64), last=np.array(last, np.int64), radius=np.array([n[2] for n in nodes]),
+            centre=place[np.array([n[1] for n in nodes], np.int64)] if nodes else np.zeros(0, np.int64), start=start, below=np.array(below, np.int64),
+        )
 
     @staticmethod
-    def _net(data: np.ndarray, mine: np.ndarray, centre: int, away: np.ndarray) -> list[tuple[np.ndarray, int]] | None:
-        """Children that cover the points within the next radius, their centres that far apart; None for a leaf."""
+    def _net(data: np.ndarray, mine: np.ndarray, centre: int, away: np.ndarray) -> tuple[list[tuple[np.ndarray, int]], np.ndarray]:
+        """Children that cover the points within the next radius, their centres that far apart: (points, centre) of each, and those of one point."""
         reach = away.max() / SHRINK
         if len(mine) <= LEAF or reach == 0:
-            return None
-        parts, left, near, c, most = [], mine, away, centre, max(2, int(SPREAD * len(mine) / 16))
+            return [], mine
+        parts, single, left, near, c = [], [], mine, away, centre
         while left.size:
             inside = near <= reach
-            parts.append((left[inside], c))
-            left = left[~inside]
-            if len(parts) > most:
-                return None
+            part, left = left[inside], left[~inside]
+            if part.size > 1:
+                parts.append((part, c))
+            else:
+                single.append(c)
             if left.size:
                 c = int(left[0])
                 near = np.sqrt(np.maximum(0, ((data[left] - data[c]) ** 2).sum(1)))
-        return parts if len(parts) > 1 else None
+        return parts, np.array(single, np.int64)
+
+    def stored(self) -> bytes:
+        """The tree as bytes, points in the smallest whole-number type that holds them."""
+        whole_points = self.points.astype(np.int64)
+        most = int(np.abs(whole_points).max(initial=0))
+        kind = np.int16 if most < 1 << 15 else np.int32 if most < 1 << 31 else np.int64
+        out = io.BytesIO()
+        np.savez(out, **{n: getattr(self, n) for n in self.NAMES} | {"points": whole_points.astype(kind)})
+        return out.getvalue()
+
+    @classmethod
+    def load(cls, data: bytes) -> Tree:
+        with np.load(io.BytesIO(data)) as arrays:
+            return cls(**{n: arrays[n] for n in cls.NAMES})
+
+    def children(self, n: int) -> np.ndarray:
+        return self.below[self.start[n] : self.start[n + 1]]
 
 
 class Best:
@@ -115,16 +136,20 @@ class Best:
         self.k, self.kth = k, np.full(n, LOW, np.int64) if kth is None else kth.copy()
         self.query, self.ids, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def add(self, queries: slice, query_ids: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+    def add(self, rows: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """rows: numbers of the queries; scores: of each of them with each of ids."""
         scores = np.where(query_ids[:, None] == ids[None, :], LOW, scores)
-        least = self.kth[queries]
-        if scores.shape[1] > self.k:
-            least = np.maximum(least, np.partition(scores, -self.k, axis=1)[:, -self.k])
-        q, d = np.nonzero((scores >= least[:, None]) & (scores > LOW))
+        least = np.maximum(self.kth[rows], LOW + 1)
+        hits = scores >= least[:, None]
+        if scores.shape[1] > self.k and hits.sum() > 4 * self.k * len(rows):
+            hits = scores >= np.maximum(least, np.partition(scores, -self.k, axis=1)[:, -self.k])[:, None]
+        q, d = np.nonzero(hits)
         if not q.size:
             return
-        mine = (self.query >= queries.start) & (self.query < queries.stop)
-        query = np.concatenate((self.query[mine], q + queries.start))
+        changed = np.zeros(len(self.kth), bool)
+        changed[rows[q]] = True
+        mine = changed[self.query]
+        query = np.concatenate((self.query[mine], rows[q]))
         found, score = np.concatenate((self.ids[mine], ids[d])), np.concatenate((self.score[mine], scores[q, d]))
         order = np.lexsort((found, -score, query))
         query, found, score = query[order], found[order], score[order]
@@ -136,31 +161,60 @@ class Best:
         self.query, self.ids, self.score = (np.concatenate((old[~mine], new[keep])) for old, new in ((self.query, query), (self.ids, found), (self.score, score)))
 
 
-def dual_search(queries: Tree, data: Tree, best: Best) -> None:
-    """Searches two trees; nodes' pairs whose bound is under the worst k-th score of the query node are left out."""
-    if not len(queries.ids) or not len(data.ids):
-        return
+def slack(x):
+    """A bound with what floating point may have lost."""
+    return x + np.abs(x) * 1e-9 + 1e-3
 
-    def bound(q: int, p: int) -> float:
-        product = float(queries.centres[q] @ data.centres[p])
-        a, b = queries.radius[q], data.radius[p]
-        return (product + a * data.norms[p] + b * queries.norms[q] + a * b) * (1 + 1e-12) + 1e-6
 
-    stack = [(bound(0, 0), 0, 0)]
+def dual_search(queries: Tree, data: Tree, best: Best) -> int:
+    """Searches two trees, leaving out node pairs whose bound is under the worst k-th score of the query node. Returns the number of inner products of points."""
+    if not len(queries.ids) or not len(data.ids):
+        return 0
+    made = 0
+
+    def compare(rows: np.ndarray, points: np.ndarray) -> None:
+        nonlocal made
+        if rows.size and points.size:
+            made += rows.size * points.size
+            best.add(rows, queries.ids[rows], data.ids[points], products(queries.points[rows], data.points[points]))
+
+    def bounds(q: int, nodes: np.ndarray) -> np.ndarray:
+        dots = data.centres[nodes] @ queries.centres[q]
+        return slack(dots + queries.radius[q] * data.reach[nodes] + data.radius[nodes] * queries.reach[q] + queries.radius[q] * data.radius[nodes])
+
+    def singles(rows: np.ndarray, p: int) -> None:
+        """Query points, which have no radius, against a data node."""
+        stack = [(rows, p)]
+        while stack:
+            rows, p = stack.pop()
+            most = slack(queries.points[rows] @ data.centres[p] + data.radius[p] * queries.norms[rows])
+            rows = rows[most >= best.kth[rows]]
+            if rows.size:
+                compare(rows, np.arange(data.first[p], data.single[p]))
+                below = data.children(p)
+                nearest_last = np.argsort((data.centres[below] @ queries.points[rows].T).max(1)) if below.size else below
+                stack += [(rows, int(c)) for c in below[nearest_last]]
+
+    stack = [(0, 0)]
     while stack:
-        most, q, p = stack.pop()
-        if most < best.kth[queries.first[q] : queries.last[q]].min():
+        q, p = stack.pop()
+        rows = np.arange(queries.first[q], queries.last[q])
+        worst = best.kth[rows].min()
+        if bounds(q, np.array([p]))[0] < worst:
             continue
-        below_q, below_p = queries.children[q], data.children[p]
-        if not below_q and not below_p:
-            mine, theirs = slice(queries.first[q], queries.last[q]), slice(data.first[p], data.last[p])
-            for first in range(theirs.start, theirs.stop, 4096):
-                some = slice(first, min(theirs.stop, first + 4096))
-                best.add(mine, queries.ids[mine], data.ids[some], products(queries.points[mine], data.points[some]))
-        elif below_p and (not below_q or data.radius[p] >= queries.radius[q]):
-            stack += sorted((bound(q, c), q, c) for c in below_p)
+        if data.radius[p] >= queries.radius[q]:
+            # the data node's single points, then its children, the most promising last so that it is searched first
+            alone = np.arange(data.first[p], data.single[p])
+            reach = slack(data.points[alone] @ queries.centres[q] + queries.radius[q] * data.norms[alone])
+            compare(rows, alone[reach >= worst])
+            below = data.children(p)
+            if below.size:
+                most = bounds(q, below)
+                stack += [(q, int(below[c])) for c in np.argsort(most) if most[c] >= worst]
         else:
-            stack += sorted((bound(c, p), c, p) for c in below_q)
+            singles(np.arange(queries.first[q], queries.single[q]), p)
+            stack += [(int(c), p) for c in queries.children(q)]
+    return made
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -181,7 +235,7 @@ def centres_of(rows: np.ndarray, most: int) -> np.ndarray:
 
 
 def _blocks(rows: DataFrame, centres: np.ndarray, size: int, name: str) -> DataFrame:
-    """block, centre, ids and points (bytes), middle, radius, norm: one row per block of about `size` vectors at most."""
+    """block, cell, part, tree (bytes), its root's middle and radius, and how far from the cell's centre it goes: one row per block of about `size` vectors."""
     dim = centres.shape[1]
     shared = rows.sparkSession.sparkContext.broadcast(centres)
 
@@ -200,13 +254,12 @@ def _blocks(rows: DataFrame, centres: np.ndarray, size: int, name: str) -> DataF
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         x = filled(pdf["v"], dim)
-        middle = x.mean(0)
-        radius = float(np.sqrt(((x - middle) ** 2).sum(1).max()))
-        return pd.DataFrame(
-            {"cell": [int(pdf["cell"].iloc[0])], "part": [int(pdf["part"].iloc[0])], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "points": [x.astype("<i8").tobytes()], "middle": [middle], "radius": [radius * (1 + 1e-9)]}
-        )
+        tree = Tree.build(pdf["vec_id"].to_numpy(np.int64), x.astype(np.int64))
+        cell = int(pdf["cell"].iloc[0])
+        far = float(np.sqrt(((x - shared.value[cell]) ** 2).sum(1).max())) * (1 + 1e-9)
+        return pd.DataFrame({"cell": [cell], "part": [int(pdf["part"].iloc[0])], "tree": [tree.stored()], "middle": [tree.centres[0]], "radius": [tree.radius[0]], "far": [far]})
 
-    built = cells.groupBy("cell", "part").applyInPandas(build, "cell int, part long, ids binary, points binary, middle array<double>, radius double")
+    built = cells.groupBy("cell", "part").applyInPandas(build, "cell int, part long, tree binary, middle array<double>, radius double, far double")
     return written(built.withColumn("block", F.concat_ws(".", "cell", "part")), name)
 
 
@@ -218,37 +271,36 @@ def filled(vectors: pd.Series, dim: int) -> np.ndarray:
     return out
 
 
-def _tree(ids: bytes, points: bytes) -> Tree:
-    own = np.frombuffer(ids, np.int64)
-    return Tree(own, np.frombuffer(points, "<i8").reshape(len(own), -1))
+HITS = "q_block string, d_block string, worst long, kth binary, products long, query_id array<long>, vec_id array<long>, score array<long>"
 
 
-def _search(pairs: DataFrame, k: int) -> DataFrame:
-    """Searches each row's query block (with kth scores so far, or null) and data block; one row per pair."""
-    schema = pa.schema([("q_block", pa.string()), ("d_block", pa.string()), ("worst", pa.int64()), ("kth", pa.binary()), ("query_id", pa.list_(pa.int64())), ("vec_id", pa.list_(pa.int64())), ("score", pa.list_(pa.int64()))])
+def _search(pairs: DataFrame, asked: DataFrame, data: DataFrame, k: int) -> DataFrame:
+    """Searches pairs (q_block, d_block, kth: scores so far or null); one row per pair. A task holds one data block and about TOGETHER query blocks."""
+    many = pairs.groupBy("d_block").agg(F.count("*").alias("n")).select("d_block", F.ceil(F.col("n") / TOGETHER).alias("slices"))
+    sliced = pairs.join(many, "d_block").withColumn("slice", F.pmod(F.xxhash64("q_block"), F.col("slices")))
+    queries = sliced.select("d_block", "slice", "q_block", "kth").join(asked.select(F.col("block").alias("q_block"), F.col("tree").alias("q_tree")), "q_block")
+    blocks = sliced.select(F.col("d_block").alias("block"), F.col("slice").alias("part_of")).distinct().join(data.select("block", F.col("tree").alias("d_tree")), "block")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                queries, data = _tree(row["q_ids"], row["q_points"]), _tree(row["d_ids"], row["d_points"])
-                best = Best(len(queries.ids), k, None if row["kth"] is None else np.frombuffer(row["kth"], np.int64))
-                dual_search(queries, data, best)
-                yield pa.RecordBatch.from_pylist(
-                    [{"q_block": row["q_block"], "d_block": row["d_block"], "worst": int(best.kth.min()), "kth": best.kth.tobytes(), "query_id": queries.ids[best.query], "vec_id": best.ids, "score": best.score}], schema=schema
-                )
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        tree = Tree.load(right["d_tree"].iloc[0]) if len(left) else None
+        for block, kth, stored in zip(left["q_block"], left["kth"], left["q_tree"]):
+            own = Tree.load(stored)
+            best = Best(len(own.ids), k, None if kth is None else np.frombuffer(kth, np.int64))
+            made = dual_search(own, tree, best)
+            rows.append((block, right["block"].iloc[0], int(best.kth.min()), best.kth.tobytes(), made, own.ids[best.query], best.ids, best.score))
+        return pd.DataFrame(rows, columns=["q_block", "d_block", "worst", "kth", "products", "query_id", "vec_id", "score"])
 
-    return pairs.mapInArrow(run, "q_block string, d_block string, worst long, kth binary, query_id array<long>, vec_id array<long>, score array<long>")
+    return queries.groupBy("d_block", "slice").cogroup(blocks.groupBy("block", "part_of")).applyInPandas(run, HITS)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """query_id, rank, vec_id, score: for each query (vec_id, v) the k rows of vectors (vec_id, v) with the largest inner products."""
+def searched(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame | None:
+    """The hits of every pair of a query block and a data block that was searched (columns HITS); None without vectors."""
     bounded(vectors.sparkSession)
     queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     sizes = vectors.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
-    schema = "query_id long, rank int, vec_id long, score long"
     if not sizes["n"]:
-        return vectors.sparkSession.createDataFrame([], schema)
+        return None
     sample = pd.DataFrame([r.asDict() for r in vectors.orderBy(F.xxhash64("vec_id", "v")).limit(SAMPLE).collect()])
     dim = max(sizes["dim"], (queries.agg(F.max(F.size("v"))).first()[0] or 0))
     centres = centres_of(filled(sample["v"], dim), max(1, min(CENTRES, sizes["n"] // DATA_ROWS)))
@@ -256,19 +308,31 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     asked = _blocks(queries, centres, QUERY_ROWS, "queries")
     d = data.select(F.col("block").alias("d_block"), F.col("cell").alias("d_cell"), F.col("part").alias("d_part"), F.col("middle").alias("d_middle"), F.col("radius").alias("d_radius"))
     q = asked.select(F.col("block").alias("q_block"), F.col("cell").alias("q_cell"), F.col("middle").alias("q_middle"), F.col("radius").alias("q_radius"))
-    d_points = data.select(F.col("block").alias("d_block"), F.col("ids").alias("d_ids"), F.col("points").alias("d_points"))
-    q_points = asked.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("points").alias("q_points"))
-    # the blocks' own order of points is the tree's: kth scores are kept in it, and a tree is the same whenever it is built
+    # a tree is stored, so its order of points, in which kth scores are kept, is fixed
     home = q.join(d.groupBy("d_cell").agg(F.min_by("d_block", "d_part").alias("d_block")), F.col("q_cell") == F.col("d_cell")).select("q_block", "d_block")
-    first = written(_search(home.join(q_points, "q_block").join(d_points, "d_block").withColumn("kth", F.lit(None).cast("binary")), k), "home-hits")
+    first = written(_search(home.withColumn("kth", F.lit(None).cast("binary")), asked, data, k), "home-hits")
     norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
-    dot = F.aggregate(F.zip_with("q_middle", "d_middle", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    bound = (dot + F.col("q_radius") * norm("d_middle") + F.col("d_radius") * norm("q_middle") + F.col("q_radius") * F.col("d_radius")) * (1 + 1e-9) + 1e-3
+
+    def bound(x: str, r: str):
+        dot = F.aggregate(F.zip_with("q_middle", x, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+        most = dot + F.col("q_radius") * norm(F.col(x)) + F.col(r) * norm(F.col("q_middle")) + F.col("q_radius") * F.col(r)
+        return most + F.abs(most) * 1e-9 + 1e-3
+
     known = first.select("q_block", F.col("d_block").alias("home"), "worst", "kth")
-    # block summaries only: a query set against all rows, in blocks
-    pairs = q.join(known.select("q_block", "home", "worst"), "q_block").join(d, bound >= F.col("worst")).where("d_block <> home").select("q_block", "d_block")
-    pairs = written(pairs, "block-pairs").join(q_points.join(known.select("q_block", "kth"), "q_block"), "q_block").join(d_points, "d_block")
-    hits = first.unionByName(_search(pairs.repartition(max(1, data.sparkSession.sparkContext.defaultParallelism * 2)), k))
-    hits = hits.select(F.explode(F.arrays_zip("query_id", "vec_id", "score")).alias("hit")).select("hit.*")
+    # cells first (at most CENTRES rows), then the blocks of the cells that a query block needs
+    middles = vectors.sparkSession.createDataFrame([(k, c.tolist()) for k, c in enumerate(centres)], "c_cell int, c_middle array<double>")
+    cells = middles.join(data.groupBy(F.col("cell").alias("c_cell")).agg(F.max("far").alias("c_radius")), "c_cell")
+    wanted = q.join(known, "q_block").join(F.broadcast(cells), bound("c_middle", "c_radius") >= F.col("worst"))
+    pairs = wanted.join(d, (F.col("c_cell") == F.col("d_cell")) & (F.col("d_block") != F.col("home")) & (bound("d_middle", "d_radius") >= F.col("worst")))
+    pairs = written(pairs.select("q_block", "d_block", "kth"), "block-pairs")
+    return first.unionByName(_search(pairs, asked, data, k))
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
+    """query_id, rank, vec_id, score: for each query (vec_id, v) the k rows of vectors (vec_id, v) with the largest inner products."""
+    found = searched(vectors, queries, k)
+    if found is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    hits = found.select(F.explode(F.arrays_zip("query_id", "vec_id", "score")).alias("hit")).select("hit.*")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
