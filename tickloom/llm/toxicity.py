@@ -1,7 +1,8 @@
 """Toxicity by compression distance: two zstandard dictionaries and the lengths of compressed windows.
 
 One dictionary is trained on ordinary text, the other on the same base and on what recurs in toxic documents but hardly
-in ordinary ones (words, or runs of bytes in them). Every document is cut at spaces into short windows; each window is compressed
+in ordinary ones (words, or runs of bytes in them). That choice of the toxic dictionary's training text is a departure: trained on whole
+windows of toxic documents, most of which are ordinary prose, the two dictionaries hardly differ where it matters (see the README's figures). Every document is cut at spaces into short windows; each window is compressed
 with both, and the difference of the lengths says how much closer the window lies to toxic text. A logistic curve, calibrated
 on labelled documents that neither dictionary saw, turns the figures of the differences into a probability. A few such pairs are
 trained on different halves of the sample and averaged, as one pair depends on what it happened to see; a last curve, fitted on documents
@@ -14,6 +15,7 @@ without labels of both kinds (or too few to train a dictionary) every score is 0
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -24,9 +26,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, held_out, labelled_sample, record_batch, with_text
+from .common import arrow_map, held_out, kept, labelled_sample, record_batch, with_text
 
 WINDOW, LEVEL, PER_CLASS, LONGEST = 64, 3, 4000, 50_000
+#: Most ordinary windows that a pair's dictionaries are trained on, chosen at random from the sample's.
+WINDOWS = 80_000
 #: Bytes of the shared base; sizes of the toxic part that calibration chooses from.
 BASE, PARTS = 32 << 10, (512, 768, 1024, 1536, 2048, 3072)
 #: Runs of bytes that mark a word as toxic recur so many times more than their share.
@@ -75,8 +79,8 @@ class Pair:
     scale: np.ndarray
     weights: np.ndarray  # the last is the constant
 
-    def figures(self, texts: list[str]) -> np.ndarray:
-        a, b = compressor(self.ordinary), compressor(self.toxic)
+    def figures(self, texts: list[str], compressors: tuple | None = None) -> np.ndarray:
+        a, b = compressors or (compressor(self.ordinary), compressor(self.toxic))
         return np.array([figures(t, a, b) for t in texts])
 
     def scores(self, x: np.ndarray) -> np.ndarray:
@@ -90,7 +94,10 @@ class Model:
     shift: float
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        mean = np.mean([p.scores(p.figures(texts)) for p in self.pairs], axis=0)
+        """A worker makes its compressors once per model."""
+        owner = ("toxicity", hashlib.sha256(b"".join(p.ordinary + p.toxic for p in self.pairs)).hexdigest())
+        made = kept(owner, lambda: [(compressor(p.ordinary), compressor(p.toxic)) for p in self.pairs])
+        mean = np.mean([p.scores(p.figures(texts, c)) for p, c in zip(self.pairs, made)], axis=0)
         return sigmoid(self.slope * logit(mean) + self.shift)
 
 
@@ -147,7 +154,7 @@ def fit_pair(data: list[bytes], texts: list[str], labels: np.ndarray, learn: np.
     if not toxic or not ordinary or not y.size or y.min() == y.max():
         return None
     plain = [w for d in ordinary for w in windows(d)]
-    plain = [plain[i] for i in rng.permutation(len(plain))[:80_000]]
+    plain = [plain[i] for i in rng.permutation(len(plain))[:WINDOWS]]
     half = len(plain) // 2
     signs = recurring(toxic, ordinary, parts)
     rest = [t for t, own in zip(texts, learn) if not own]
@@ -200,7 +207,7 @@ def fit(texts: list[str], labels: list[int], odds: float | None = None, seed: in
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model | None:
-    """Fits on the driver on at most per_class documents of each label, of at most LONGEST characters."""
+    """Fits on the driver on at most per_class documents of each label, of at most LONGEST characters, and WINDOWS ordinary windows a pair."""
     rows = labelled_sample(docs, labels, "toxic", per_class, LONGEST).collect()
     known = {r["toxic"]: r["n"] for r in labels.where(~held_out()).where("toxic in (0, 1)").groupBy(F.col("toxic").cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     return fit([r["text"] for r in rows], [r["label"] for r in rows], known.get(1, 0) / max(1, known.get(0, 0)))
