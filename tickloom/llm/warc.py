@@ -32,6 +32,8 @@ from .common import bounded, new_path, sized, written
 LEAST, FILE_BYTES, FILE_RECORDS = 100, 64 << 20, 20_000
 #: Ranges at most so far apart become one read of at most so many bytes.
 GAP, READ_BYTES = 64 << 10, 8 << 20
+#: Bytes of records that a task reads in turn.
+TASK_BYTES = 8 << 20
 INDEX = pa.schema(
     [("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string())]
 )
@@ -47,9 +49,10 @@ def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
 def with_types(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """page_id, url, payload, digest, record_type, refers_to of every page."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
-    rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload"))
+    rows = rows.withColumn("digest", F.sha2("payload", 256))
+    brief = rows.select("page_id", "digest", F.octet_length("payload").alias("size"))
     # only payloads that occur more than once, written so that the join below sees a plain table and its size
-    firsts = rows.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    firsts = brief.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
     firsts = written(firsts, "warc-firsts")
     later = F.col("first_id").isNotNull() & F.coalesce(F.col("page_id") != F.col("first_id"), F.lit(True))
     return rows.join(firsts, "digest", "left").select(
@@ -149,7 +152,10 @@ def coalesced(ranges: list[tuple[int, int]], gap: int = GAP, most: int = READ_BY
 
 
 def read(index: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
-    """The records that the index rows select, a file per task: at most FILE_RECORDS rows and READ_BYTES at a time."""
+    """The records that the index rows select, a file per group: at most FILE_RECORDS rows and READ_BYTES at a time.
+
+    Files are spread over as many tasks as the selected records' bytes ask for (TASK_BYTES each), however few bytes their index rows have.
+    """
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["payload"] * payloads
 
     def read_file(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -166,7 +172,8 @@ def read(index: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
         return out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
-    return index.select("file", "offset", "length").groupBy("file").applyInPandas(read_file, schema)
+    tasks = index.agg(F.ceil(F.coalesce(F.sum("length"), F.lit(0)) / TASK_BYTES)).first()[0]
+    return index.select("file", "offset", "length").repartition(max(1, tasks), "file").groupBy("file").applyInPandas(read_file, schema)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
