@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
@@ -435,3 +436,61 @@ def test_trees_leave_out_most_products(spread, share):
         want = own[np.lexsort((own, -scores[row][own]))][:20]
         mine = best.query == row
         assert best.ids[mine][np.lexsort((best.ids[mine], -best.score[mine]))].tolist() == want.tolist()
+
+
+# 3 and 9 against plain versions
+def test_guess_cost_is_the_minimum_over_all_segmentations():
+    """Every way to cut short random values into words, dates, repeats, walks and single characters, by brute force."""
+    rank_of = {"pass": 3, "ab": 1, "abc": 2, "cab": 5, "word": 4}
+
+    def step(part):
+        costs = [secret_scan.char_cost(part)] if len(part) == 1 else []
+        low, plain = part.lower(), part.lower().translate(secret_scan.LEET)
+        if len(part) >= 3 and (low in rank_of or plain in rank_of):
+            leet = 0.0 if low in rank_of else math.log10(4)
+            case = 0.0 if part.islower() or not part.isalpha() else math.log10(2) if part.istitle() or part.isupper() else math.log10(len(part)) + 1
+            costs.append(math.log10(rank_of.get(low, rank_of.get(plain))) + leet + case + secret_scan.STEP)
+        if 4 <= len(part) <= 10 and part[0].isdigit() and secret_scan.DATE.fullmatch(part):
+            costs.append(secret_scan.DATE_COST + secret_scan.STEP)
+        if len(part) >= 3 and all(low[k : k + 2] in secret_scan.NEXT for k in range(len(low) - 1)):
+            costs.append(secret_scan.WALK_START + secret_scan.WALK_STEP * math.log10(len(part)) + secret_scan.STEP)
+        for size in range(1, len(part) // 2 + 1):
+            times = len(part) // size
+            if len(part) == size * times and part == part[:size] * times and times >= (3 if size == 1 else 2):
+                one = secret_scan.char_cost(part) if size == 1 else cheapest(part[:size], False)
+                costs.append(one + math.log10(times) + secret_scan.STEP)
+        return min(costs, default=math.inf)
+
+    def cheapest(value, blocks=True):
+        best = [0.0] + [math.inf] * len(value)
+        for end in range(1, len(value) + 1):
+            for start in range(end):
+                part = value[start:end]
+                if not blocks and len(part) > 1 and len(set(part)) > 1 and any(part == part[:s] * (len(part) // s) for s in range(2, len(part) // 2 + 1)):
+                    alone = [secret_scan.guess_cost(part, rank_of, False)]
+                    best[end] = min(best[end], best[start] + min(alone))
+                    continue
+                best[end] = min(best[end], best[start] + step(part))
+        return best[-1]
+
+    r = random.Random(8)
+    values = ["1919991231", "abXabXabXabX", "qwerqwer", "pa55word", "AbCabc1234", "20200131x", "aaaa1111", "cabcabcab"]
+    values += ["".join(r.choice("ab1c2pwo") for _ in range(r.randint(1, 9))) for _ in range(150)]
+    for value in values:
+        assert secret_scan.guess_cost(value, rank_of) == pytest.approx(cheapest(value), abs=1e-9), value
+
+
+def test_toxicity_figures_are_those_of_compressed_lengths():
+    """The figures of a text from both dictionaries, recomputed window by window with compressors of their own."""
+    import zstandard
+
+    ordinary, toxic = b" the cat sat on the mat and the dog ran " * 4, b" you utter fool idiot and worthless lout " * 4
+    text = " ".join(["The CAT sat on\nthe mat"] * 9 + ["you utter fool idiot"] * 2)
+    pair = toxicity.Pair(ordinary, toxic, np.zeros(0), np.ones(0), np.zeros(0))
+    length = lambda content, w: len(zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False).compress(w))
+    parts = toxicity.windows(toxicity.normal(text))
+    assert b"".join(parts) == toxicity.normal(text) and max(map(len, parts)) <= toxicity.WINDOW
+    d = [length(ordinary, w) - length(toxic, w) for w in parts]
+    got = pair.figures([text])[0]
+    assert got[0] == max(d) and got[1] == pytest.approx(10 * sum(d) / len(d)) and got[2] == pytest.approx(10 * sum(x >= 3 for x in d) / len(d))
+    assert toxicity.windows(b"") == [] and pair.figures([""]).shape == (1, len(got))

@@ -31,7 +31,7 @@ K, SCALE = 20, 64
 #: Rows of the sample that the centres come from, most centres, rows of a data block and of a query block, query blocks per search.
 SAMPLE, CENTRES, DATA_ROWS, QUERY_ROWS, TOGETHER = 2048, 256, 2048, 1024, 16
 #: Points up to which a node has no child nodes; each level's radius is so much smaller.
-LEAF, SHRINK = 16, 1.3
+LEAF, SHRINK = 64, 1.3
 LOW = np.iinfo(np.int64).min
 
 
