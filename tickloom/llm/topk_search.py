@@ -32,6 +32,8 @@ K, SCALE = 20, 64
 SAMPLE, CENTRES, DATA_ROWS, QUERY_ROWS, TOGETHER = 2048, 256, 2048, 1024, 16
 #: Points up to which a node has no child nodes; each level's radius is so much smaller.
 LEAF, SHRINK = 64, 1.3
+#: Leaves of a data tree that a query without scores meets first.
+SEEDS = 16
 LOW = np.iinfo(np.int64).min
 
 
@@ -166,54 +168,87 @@ def slack(x):
     return x + np.abs(x) * 1e-9 + 1e-3
 
 
+def ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges first:last, one after the other."""
+    return np.concatenate([np.arange(a, b) for a, b in zip(first, last)]) if len(first) else np.zeros(0, np.int64)
+
+
+def seeded(queries: Tree, data: Tree, best: Best) -> tuple[np.ndarray, int]:
+    """Compares every query with the SEEDS leaves of the largest bounds, as long as these reach its k-th score. Returns which leaves (by node) each query has met, and the products made."""
+    met, made, ends = np.zeros((len(queries.ids), len(data.first)), bool), 0, np.flatnonzero(data.start[1:] == data.start[:-1])
+    most = slack(queries.points @ data.centres[ends].T + data.radius[ends] * queries.norms[:, None])
+    order = np.argsort(-most, axis=1, kind="stable")[:, :SEEDS]
+    for place in order.T:
+        going = most[np.arange(len(place)), place] >= best.kth
+        for n in np.unique(ends[place[going]]):
+            rows, points = np.flatnonzero(going & (ends[place] == n)), np.arange(data.first[n], data.last[n])
+            best.add(rows, queries.ids[rows], data.ids[points], products(queries.points[rows], data.points[points]))
+            met[rows, n] = True
+            made += rows.size * points.size
+    return met, made
+
+
 def dual_search(queries: Tree, data: Tree, best: Best) -> int:
-    """Searches two trees, leaving out node pairs whose bound is under the worst k-th score of the query node. Returns the number of inner products of points."""
-    if not len(queries.ids) or not len(data.ids):
-        return 0
+    """Searches two trees, leaving out node pairs whose bound is under the worst k-th score of the query node. Returns the number of inner products of points.
+
+    A query node takes the data nodes and points that its parent could not leave out, and opens data nodes while they are wider than itself.
+    Query points that are children themselves open what is left by bounds of their own, all at once.
+    """
     made = 0
 
-    def compare(rows: np.ndarray, points: np.ndarray) -> None:
-        nonlocal made
-        if rows.size and points.size:
-            made += rows.size * points.size
-            best.add(rows, queries.ids[rows], data.ids[points], products(queries.points[rows], data.points[points]))
+    def opened(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Child nodes and single points of data nodes."""
+        return ranges_below(nodes), ranges(data.first[nodes], data.single[nodes])
 
-    def bounds(q: int, nodes: np.ndarray) -> np.ndarray:
-        dots = data.centres[nodes] @ queries.centres[q]
-        return slack(dots + queries.radius[q] * data.reach[nodes] + data.radius[nodes] * queries.reach[q] + queries.radius[q] * data.radius[nodes])
+    def ranges_below(nodes: np.ndarray) -> np.ndarray:
+        return data.below[ranges(data.start[nodes], data.start[nodes + 1])]
 
-    def singles(rows: np.ndarray, p: int) -> None:
-        """Query points, which have no radius, against a data node."""
-        stack = [(rows, p)]
-        while stack:
-            rows, p = stack.pop()
-            most = slack(queries.points[rows] @ data.centres[p] + data.radius[p] * queries.norms[rows])
-            rows = rows[most >= best.kth[rows]]
-            if rows.size:
-                compare(rows, np.arange(data.first[p], data.single[p]))
-                below = data.children(p)
-                nearest_last = np.argsort((data.centres[below] @ queries.points[rows].T).max(1)) if below.size else below
-                stack += [(rows, int(c)) for c in below[nearest_last]]
+    def alone(rows: np.ndarray, nodes: np.ndarray, points: np.ndarray) -> None:
+        """Each query point meets the points of the data nodes that its own bound does not leave out; all hits are merged at once."""
+        nonlocal made
+        met: list[tuple[np.ndarray, np.ndarray]] = [(np.arange(rows.size), points)] if points.size else []
+        may = np.ones((rows.size, nodes.size), bool)
+        while nodes.size:
+            may &= slack(queries.points[rows] @ data.centres[nodes].T + data.radius[nodes] * queries.norms[rows][:, None]) >= best.kth[rows][:, None]
+            going = may.any(0)
+            nodes, may = nodes[going], may[:, going]
+            for n, column in zip(nodes, may.T):
+                if data.single[n] > data.first[n]:
+                    met.append((np.flatnonzero(column & ~before[rows, n]), np.arange(data.first[n], data.single[n])))
+            may = np.repeat(may, data.start[nodes + 1] - data.start[nodes], axis=1)
+            nodes = ranges_below(nodes)
+        if met:
+            found = np.concatenate([some for _, some in met])
+            scores = np.full((rows.size, found.size), LOW, np.int64)
+            at = 0
+            for own, some in met:
+                scores[own, at : at + some.size] = products(queries.points[rows[own]], data.points[some])
+                made += own.size * some.size
+                at += some.size
+            best.add(rows, queries.ids[rows], data.ids[found], scores)
 
-    stack = [(0, 0)]
+    if not len(queries.ids) or not len(data.ids):
+        return 0
+    leaf = data.start[1:] == data.start[:-1]
+    before = np.zeros((len(queries.ids), len(data.first)), bool)
+    if (best.kth == LOW).any():
+        before, made = seeded(queries, data, best)
+    stack = [(0, np.zeros(1, np.int64), np.zeros(0, np.int64))]
     while stack:
-        q, p = stack.pop()
-        rows = np.arange(queries.first[q], queries.last[q])
-        worst = best.kth[rows].min()
-        if bounds(q, np.array([p]))[0] < worst:
-            continue
-        if data.radius[p] >= queries.radius[q]:
-            # the data node's single points, then its children, the most promising last so that it is searched first
-            alone = np.arange(data.first[p], data.single[p])
-            reach = slack(data.points[alone] @ queries.centres[q] + queries.radius[q] * data.norms[alone])
-            compare(rows, alone[reach >= worst])
-            below = data.children(p)
-            if below.size:
-                most = bounds(q, below)
-                stack += [(q, int(below[c])) for c in np.argsort(most) if most[c] >= worst]
-        else:
-            singles(np.arange(queries.first[q], queries.single[q]), p)
-            stack += [(int(c), p) for c in queries.children(q)]
+        q, nodes, points = stack.pop()
+        worst = best.kth[queries.first[q] : queries.last[q]].min()
+        centre, radius, length = queries.centres[q], queries.radius[q], queries.reach[q]
+        near_nodes = lambda n: n[slack(data.centres[n] @ centre + radius * data.reach[n] + data.radius[n] * length + radius * data.radius[n]) >= worst]
+        near_points = lambda n: n[slack(data.points[n] @ centre + radius * data.norms[n]) >= worst]
+        nodes, points = near_nodes(nodes), near_points(points)
+        while (wide := (data.radius[nodes] >= radius) & ~leaf[nodes]).any():
+            below, more = opened(nodes[wide])
+            nodes, points = np.concatenate((nodes[~wide], near_nodes(below))), np.concatenate((points, near_points(more)))
+        if nodes.size or points.size:
+            rows = np.arange(queries.first[q], queries.single[q])
+            if rows.size:
+                alone(rows, nodes, points)
+            stack += [(int(c), nodes, points) for c in queries.children(q)]
     return made
 
 
