@@ -8,8 +8,8 @@ differ) and share as many prefix tokens as the prefixes' lengths ask for. What p
 by the exact Jaccard of the lines' tokens. Of each pair the later line goes; later copies of a set go as well; lines without tokens stay.
 
 A family of thousands of similar lines must not be paired with itself: sets that share neighbouring prefix tokens are first compared with
-the few earliest of them, and only sets that found no match there look at earlier sets otherwise: postings carry their
-set's place and whether it is known to go, so a pair whose later set goes anyway never leaves the join. As any earlier line
+the few earliest of them and with what those match, and only sets that found no match there look at earlier sets otherwise: postings carry
+their set's id, which follows its place, and whether it is known to go, so a pair whose later set goes anyway never leaves the join. As any earlier line
 is reason enough to remove a line, whether that one stays or not, the result is that of comparing all pairs.
 
 Words are told apart by 56 bits of their hash while candidates are sought, and sets by 64 bits of theirs, their size and their sketches;
@@ -124,18 +124,22 @@ def words_of_sets(ids: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame
 
 
 def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """id: the later sets of pairs (later, earlier) whose words have a Jaccard of 0.8 or more."""
+    """id, earlier: the later sets of pairs (later, earlier) whose words have a Jaccard of 0.8 or more, and the first that each matches."""
     side = lambda k: words.select(F.col("id").alias(k), F.col("words").alias(f"words_{k}"))
     both = pairs.join(side("later"), "later").join(side("earlier"), "earlier")
     common = F.size(F.array_intersect("words_later", "words_earlier"))
     linked = both.where(9 * common >= 4 * (F.size("words_later") + F.size("words_earlier")))
-    return written(linked.select(F.col("later").alias("id")).distinct(), "line-matches")
+    return written(linked.groupBy(F.col("later").alias("id")).agg(F.min("earlier").alias("earlier")), "line-matches")
 
 
 def distinct_sets(lines: DataFrame) -> DataFrame:
-    """One row per set of words: id, key, n, sketch, sketch2, prefix, its first place (doc_id, line_no, text_key), and how many lines have it."""
+    """One row per set of words: id, key, n, sketch, sketch2, prefix, its first place (doc_id, line_no, text_key), and how many lines have it.
+
+    Ids follow the places, so that postings need not carry them.
+    """
     each = lines.groupBy("key", "n", "sketch", "sketch2").agg(F.min(F.struct("doc_id", "line_no", "text_key")).alias("place"), F.first("prefix").alias("prefix"), F.count("*").alias("lines"))
-    return written(each.select(F.monotonically_increasing_id().alias("id"), "key", "n", "sketch", "sketch2", "place.*", "prefix", "lines"), "line-sets", hashes=True)
+    placed = each.select("key", "n", "sketch", "sketch2", "place.*", "prefix", "lines").orderBy("doc_id", "line_no", "text_key", "key")
+    return written(placed.select(F.monotonically_increasing_id().alias("id"), "*"), "line-sets", hashes=True)
 
 
 def copies_of(lines: DataFrame, sets: DataFrame) -> DataFrame:
@@ -148,10 +152,10 @@ def copies_of(lines: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def families(sets: DataFrame) -> DataFrame:
-    """key, id, doc_id, line_no, n, sketch, sketch2: sets that share a pair of neighbours among their commonest prefix tokens with another set."""
+    """key, id, n, sketch, sketch2: sets that share a pair of neighbours among their commonest prefix tokens with another set."""
     last = F.expr(f"slice(sequence(0, greatest(0, size(prefix) - 2)), greatest(1, size(prefix) - {FAMILY_PAIRS}), {FAMILY_PAIRS})")
     neighbours = F.transform(last, lambda i: F.xxhash64(F.get("prefix", i), F.get("prefix", i + 1)))
-    each = sets.select("id", "doc_id", "line_no", "n", "sketch", "sketch2", F.explode(neighbours).alias("key"))
+    each = sets.select("id", "n", "sketch", "sketch2", F.explode(neighbours).alias("key"))
     shared = written(each.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1").select("key"), "family-keys", hashes=True)
     found = written(each.join(small(shared, ID_BYTES), "key"), "families", hashes=True)
     dropped(shared)
@@ -159,26 +163,39 @@ def families(sets: DataFrame) -> DataFrame:
 
 
 def family_matches(sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """id: sets that match one of the HEADS earliest of a family of theirs.
+    """id, earlier: sets that match one of the HEADS earliest of a family of theirs, or of a family that those lead to.
 
-    Every member is compared with its family's earliest one, and those that do not match it with the next few. A family never meets
-    itself: that is a bounded number of comparisons per member. What is left is left to the search over postings.
+    Every member is compared with its family's earliest one, those that do not match it with the next few, and what is left then with
+    the heads of other families: those of the sets that the own family's heads match. Copies that differ more fall into other families
+    than the set they come from, but those families' heads mostly match it. A family never meets itself: that is a bounded number of
+    comparisons per member (FAMILY_PAIRS² · HEADS² at most). What is left is left to the search over postings.
     """
     family = families(sets)
     words = words_of_sets(family.select("id"), sets, docs)
-    place = Window.partitionBy("key").orderBy("doc_id", "line_no", "id")
-    heads = written(family.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= HEADS), "family-heads")
+    heads = written(family.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("rank") <= HEADS), "family-heads")
     matched = None
-    for lowest, highest in ((1, 1), (2, HEADS)):
-        h, l = small(heads.where(F.col("rank").between(lowest, highest)), HEAD_BYTES).alias("h"), family.alias("l")
-        later = F.expr("l.doc_id > h.doc_id or (l.doc_id = h.doc_id and (l.line_no > h.line_no or (l.line_no = h.line_no and l.id > h.id)))")
-        pairs = l.join(h, (F.col("l.key") == F.col("h.key")) & later & similar_sketches("h", "l"))
-        pairs = pairs if matched is None else pairs.join(small(matched, ID_BYTES).alias("m"), F.col("l.id") == F.col("m.id"), "left_anti")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """matched and what matches in pairs (l: the member, h: the other) among the sets that are not in matched."""
+        pairs = pairs.where(similar_sketches("h", "l"))
+        pairs = pairs if matched is None else pairs.join(small(matched.select("id"), ID_BYTES).alias("m"), F.col("l.id") == F.col("m.id"), "left_anti")
         pairs = written(pairs.select(F.col("l.id").alias("later"), F.col("h.id").alias("earlier")).distinct(), "family-pairs")
         found = verified(pairs, words)
-        matched = found if matched is None else written(matched.unionByName(found), "line-matches")
         dropped(pairs)
-    for old in (family, heads, words):
+        return found if matched is None else written(matched.unionByName(found), "line-matches")
+
+    member = family.alias("l")
+    for lowest, highest in ((1, 1), (2, HEADS)):
+        head = small(heads.where(F.col("rank").between(lowest, highest)), HEAD_BYTES).alias("h")
+        matched = compared(member.join(head, (F.col("l.key") == F.col("h.key")) & (F.col("l.id") > F.col("h.id"))))
+    # the sets that a family's heads match, and the heads of those sets' own families
+    links = small(matched.withColumnRenamed("id", "via"), PLACE_BYTES)
+    links = heads.select("key", F.col("id").alias("via")).join(links, "via").select("key", F.col("earlier").alias("to")).distinct()
+    onward = heads.select(F.col("id").alias("to"), F.col("key").alias("other")).join(small(links, PLACE_BYTES), "to").select("key", "other").distinct()
+    steps = onward.join(heads.withColumnRenamed("key", "other"), "other").select("key", "id", "n", "sketch", "sketch2").distinct()
+    steps = written(steps, "family-steps")
+    matched = compared(member.join(small(steps, HEAD_BYTES).alias("h"), (F.col("l.key") == F.col("h.key")) & (F.col("l.id") > F.col("h.id"))))
+    for old in (family, heads, steps, words):
         dropped(old)
     return matched
 
@@ -186,19 +203,18 @@ def family_matches(sets: DataFrame, docs: DataFrame) -> DataFrame:
 def candidates(sets: DataFrame, matched: DataFrame) -> DataFrame:
     """later, earlier, n (shared prefix tokens) of all pairs that pass the filters and whose later set is not in matched (id)."""
     known = small(matched.select("id", F.lit(True).alias("goes")), ID_BYTES)
-    postings = sets.select("id", "doc_id", "line_no", "n", "sketch", "sketch2", "prefix").join(known, "id", "left")
-    postings = postings.select("id", "doc_id", "line_no", "n", "sketch", "sketch2", F.coalesce("goes", F.lit(False)).alias("goes"), F.posexplode("prefix").alias("i", "token"))
+    postings = sets.select("id", "n", "sketch", "sketch2", "prefix").join(known, "id", "left")
+    postings = postings.select("id", "n", "sketch", "sketch2", F.coalesce("goes", F.lit(False)).alias("goes"), F.posexplode("prefix").alias("i", "token"))
     # the smaller set of a pair needs fewer tokens of its prefix
     x, y = postings.where("i < n - (8 * n + 8) div 9 + 1 + greatest(n div 40, cast(n >= 9 as int))").alias("x"), postings.alias("y")
     smaller = F.expr("x.n < y.n or (x.n = y.n and x.id < y.id)")
-    first = F.expr("x.doc_id < y.doc_id or (x.doc_id = y.doc_id and (x.line_no < y.line_no or (x.line_no = y.line_no and x.id < y.id)))")
-    open_ = (first & ~F.col("y.goes")) | (~first & ~F.col("x.goes"))
+    open_ = F.expr("not if(x.id < y.id, y.goes, x.goes)")
     shared = x.join(y, (F.col("x.token") == F.col("y.token")) & smaller & open_ & comparable("x", "y"))
     # enough tokens of the prefixes must be shared; a longer prefix of the smaller set makes chance pairs fall short
     least = F.expr("(4 * (x.n + y.n) + 8) div 9")
     used_x, used_y = F.expr("x.n - (8 * x.n + 8) div 9 + 1 + greatest(x.n div 40, cast(x.n >= 9 as int))"), F.expr("y.n - (4 * y.n + 4) div 5 + 1")
     need = F.least(F.least(used_x, F.col("x.n")) - (F.col("x.n") - least), F.least(used_y, F.col("y.n")) - (F.col("y.n") - least))
-    pairs = shared.select(F.when(first, F.col("y.id")).otherwise(F.col("x.id")).alias("later"), F.when(first, F.col("x.id")).otherwise(F.col("y.id")).alias("earlier"), need.alias("need"))
+    pairs = shared.select(F.greatest("x.id", "y.id").alias("later"), F.least("x.id", "y.id").alias("earlier"), need.alias("need"))
     counted = pairs.groupBy("later", "earlier").agg(F.count("*").alias("n"), F.max("need").alias("need"))
     return written(counted.where("n >= need").select("later", "earlier", "n"), "line-candidates", hashes=True)
 
@@ -219,9 +235,9 @@ def removals(docs: DataFrame) -> DataFrame:
     words = words_of_sets(pairs.select(F.explode(F.array("later", "earlier")).alias("id")), sets, docs)
     best = written(pairs.groupBy("later").agg(F.max_by("earlier", F.struct("n", "earlier")).alias("earlier")), "line-best", hashes=True)
     at_once = verified(best, words)
-    others = pairs.select("later", "earlier").join(small(at_once.withColumnRenamed("id", "later"), ID_BYTES), "later", "left_anti").join(best, ["later", "earlier"], "left_anti")
+    others = pairs.select("later", "earlier").join(small(at_once.select(F.col("id").alias("later")), ID_BYTES), "later", "left_anti").join(best, ["later", "earlier"], "left_anti")
     others = written(others, "line-others", hashes=True)
-    later = written(matched.unionByName(at_once).unionByName(verified(others, words)).distinct().withColumn("goes", F.lit(True)), "later-sets")
+    later = written(matched.unionByName(at_once).unionByName(verified(others, words)).select("id").distinct().withColumn("goes", F.lit(True)), "later-sets")
     # a line stays if its set matches no earlier one and this is the set's first place
     goes = small(later, ID_BYTES)
     gone = copies.join(goes, "id", "left").where("again or goes").select("doc_id", "text_key", "line_no").unionByName(sets.join(goes, "id").select("doc_id", "text_key", "line_no"))
