@@ -76,7 +76,63 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(rows, rows.where("vec_id % 20 = 0"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mpeg_audio, op2_packing, op3_secret_scan, op4_byte_bpe, op5_warc, op6_line_dedup, op7_quality_fm, op8_near_dedup, op9_toxicity, op10_topk_search)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import report
+
+    return report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical_search import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        *(op1_mpeg_audio, op2_packing, op3_secret_scan, op4_byte_bpe, op5_warc, op6_line_dedup, op7_quality_fm, op8_near_dedup),
+        *(op9_toxicity, op10_topk_search, op11_vector_codes, op12_lexical_search, op13_token_counts),
+    )
+}
+
+
+def codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """The product codes as SQL: one step for each assignment and each round's means."""
+    nearest = lambda k: f"""a{k} AS (
+            SELECT x.id, x.vec_id, x.label, x.p, x.w, arg_min(b.e, {{'d': list_sum(list_transform(list_zip(x.w, b.w), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'e': b.e}}) AS e,
+                   min(list_sum(list_transform(list_zip(x.w, b.w), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT) AS d
+            FROM x JOIN b{k} b USING (p) GROUP BY ALL
+        )"""
+    means = lambda k: f"""u{k} AS (
+            SELECT p, e, list(floor(s / n)::BIGINT ORDER BY i) AS w FROM (SELECT p, e, i, sum(w[i])::DOUBLE AS s, count(*) AS n FROM a{k}, range(1, len(w) + 1) r(i) GROUP BY ALL) GROUP BY ALL
+        ), b{k + 1} AS (SELECT p, e, coalesce(u.w, b.w) AS w FROM b{k} b LEFT JOIN u{k} u USING (p, e))"""
+    steps = ", ".join(f"{nearest(k)}, {means(k)}" for k in range(rounds)) + f", {nearest(rounds)}"
+    return f"""
+        WITH v AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), o AS (
+            SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS id FROM v
+        ), x AS MATERIALIZED (
+            SELECT id, vec_id, label, p, v[p * len(v) // {parts} + 1 : (p + 1) * len(v) // {parts}] AS w FROM o, range({parts}) r(p)
+        ), b0 AS (SELECT p, id AS e, w FROM x WHERE id < {entries}), {steps}, t AS (
+            SELECT id, any_value(vec_id) AS vec_id, any_value(label) AS label, string_agg(format('{{:02x}}', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY id
+        ), s AS (
+            SELECT sha256(string_agg(array_to_string(w, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds}
+        )
+        SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM t, s
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
     "op5_warc": """
         WITH p AS (
@@ -100,6 +156,26 @@ ORACLE_SQL: dict[str, str] = {
         SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
         FROM s QUALIFY rank <= 20
     """,
+    "op11_vector_codes": codes_sql(),
+    "op12_lexical_search": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+        ), i AS (
+            SELECT row_number() OVER () AS it, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM benchmark
+        ), q AS (
+            SELECT it, item_id, term, count(*) AS c FROM (SELECT it, item_id, unnest(terms) AS term FROM i) GROUP BY ALL
+        ), g AS (
+            SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d WHERE len(terms) > 0
+        ), p AS (
+            SELECT id, doc_id, n, term, count(*) AS tf FROM (SELECT id, doc_id, len(terms) AS n, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL
+        ), f AS (
+            SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, g GROUP BY term, n_docs
+        ), s AS (
+            SELECT it, item_id, id, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::BIGINT AS score
+            FROM q JOIN f USING (term) JOIN p USING (term), g GROUP BY it, item_id, id, doc_id
+        )
+        SELECT item_id, row_number() OVER (PARTITION BY it ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 20
+    """,
     "op6_line_dedup": """
         WITH d AS (
             SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents
