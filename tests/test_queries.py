@@ -11,6 +11,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tickloom.operators import entities
+from tickloom.plans import clip_queries  # noqa: F401  registers its queries
 from tickloom.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -67,7 +68,7 @@ def test_entry(spark):
     assert set(SQL) <= set(entry.oracle_sql()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_entry_without_the_llm_folders(tmp_path):
+def without_llm(tmp_path):
     for name in ("tickloom", "__spark_entry__.py"):
         (tmp_path / name).symlink_to(REPO / name)
     (tmp_path / "tickloom").unlink()
@@ -77,3 +78,25 @@ def test_entry_without_the_llm_folders(tmp_path):
             (tmp_path / "tickloom" / p.name).symlink_to(p)
     code = "import __spark_entry__ as e; assert len(e.queries()) > 40 and not any(n.startswith('op1') for n in e.queries())"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+
+
+def test_entry_without_the_llm_folders(tmp_path):
+    without_llm(tmp_path)
+
+
+def test_entry_with_an_empty_llm_folder(tmp_path):
+    """What deleting sources leaves behind: a folder that only looks like a package."""
+    (tmp_path / "rest" / "__pycache__").mkdir(parents=True)
+    there = tmp_path / "there"
+    there.mkdir()
+    (there / "corpus_pipeline.py").write_text("from tickloom.llm import queries")
+    without_llm(there)
+    (there / "tickloom" / "llm").symlink_to(tmp_path / "rest")
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 40 and 'pipeline' not in e.queries()"
+    subprocess.run([sys.executable, "-B", "-c", code], cwd=there, check=True, env=os.environ | {"PYTHONPATH": str(there)})
+
+
+@pytest.mark.skipif(not (REPO / "tickloom" / "llm" / "queries.py").exists(), reason="without the training-data operators")
+def test_entry_has_all_training_data_queries():
+    found = {n.split("_")[0] for n in entry.queries() if n.startswith("op")}
+    assert found == {f"op{k}" for k in range(1, 14)} and "pipeline" in entry.queries()

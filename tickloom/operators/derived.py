@@ -1,6 +1,7 @@
 """Events that a log does not send but its state implies: rounds, match end, first connects, purchases.
 
-Each is a filter over changes with the value before; the parts are united, so Spark reads the change lane once per part and each part is narrow.
+state_events() finds all kinds in one pass: a change belongs to one group (the log's rules, a player, a player's purchase slot), each
+group is one window, and what a row implies is made by one `inline`. The functions of single kinds are filters over changes with the value before.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import mapped, winner_of_reason, win_reason
+from .asof import asof_join
 from .windows import first_per_key
 
 
@@ -45,6 +47,66 @@ def round_events(changes: DataFrame, keys: Sequence[str] = ("file",), order: Seq
     return out.unionByName(_event(match, "cs_win_panel_match", keys, {}))
 
 
+#: Props that tell of the rules, of a player's connection, and of a purchase slot.
+RULES = ("round_end_count", "round_win_reason", "round_start_count", "rounds_played", "match_end_count")
+CONNECT = ("player_name", "steamid", "team_num", "player_pawn")
+SLOT = ("def", "cost", "handle", "count")
+
+
+def state_events(changes: DataFrame, keys: Sequence[str] = ("file",), player: str = "steamid", slot: str = "slot", order: Sequence[str] = ("tick", "seq")) -> DataFrame:
+    """keys, player, slot, tick, seq, name, fields: rounds, match end, first connects, purchases and sales out of one scan and one shuffle.
+
+    The rows are those of round_events(), purchases() and the first row of each player's connection props. Rules have no player and slot,
+    connects no slot. Changes of other props are left out before the shuffle.
+    """
+    prop = F.col("prop")
+    kind = F.when(prop.isin(*RULES), 0).when(prop.isin(*CONNECT), 1).when(prop.isin(*SLOT), 2)
+    rows = changes.withColumn("__kind", kind).where("__kind IS NOT NULL")
+    rows = rows.withColumns({player: F.when(F.col("__kind") > 0, F.col(player)), slot: F.when(F.col("__kind") == 2, F.col(slot))})
+    w = Window.partitionBy(*keys, "__kind", player, slot).orderBy(*order)
+    up_to, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    of = lambda name, type: F.when(prop == name, F.struct(F.col("value").try_cast(type).alias("v")))
+    known = lambda name: F.last(F.when(prop == name, F.col("value").try_cast("int")), ignorenulls=True).over(up_to)
+    # the row of the same prop before, with or without a number
+    old = {f"__{name}": F.last(of(name, "long"), ignorenulls=True).over(before)["v"] for name in ("round_end_count", "round_start_count", "match_end_count")}
+    rows = rows.withColumns(
+        old | {"__reason": known("round_win_reason"), "__played": F.coalesce(known("rounds_played"), F.lit(0)), "__n": F.row_number().over(w)}
+        | {f"__{c}{k}": F.lead(c, k).over(w) for c in ("prop", "value") for k in (1, 2)}
+    )
+    now, number = F.col("value").try_cast("long"), lambda c: F.col(c).try_cast("int").cast("string")
+    stepped_ = lambda name: (prop == name) & (now == F.col(f"__{name}") + 1)
+    round_ = F.col("__played") + 1
+    fields = lambda **pairs: F.map_from_arrays(F.array(*map(F.lit, pairs)).cast("array<string>"), F.array(*[v.cast("string") for v in pairs.values()]).cast("array<string>"))
+    made = lambda name, cond, **pairs: F.when(cond, F.struct(F.lit(name).alias("name"), fields(**pairs).alias("fields")))
+    bought = (prop == "def") & (F.col("__prop1") == "cost")
+    events = F.array_compact(
+        F.array(
+            made("player_first_connect", (F.col("__kind") == 1) & (F.col("__n") == 1)),
+            made("round_end", stepped_("round_end_count"), round=F.col("__round_end_count"), reason=win_reason(F.col("__reason")), winner=winner_of_reason(F.col("__reason"))),
+            made("round_officially_ended", stepped_("round_start_count") & (round_ > 1)),
+            made("round_start", stepped_("round_start_count"), round=round_),
+            made("cs_win_panel_match", stepped_("match_end_count")),
+            made("item_purchase", bought, def_index=number("value"), cost=number("__value1"), handle=F.when(F.col("__prop2") == "handle", F.col("__value2").try_cast("long"))),
+            made("item_sold", (prop == "count") & (F.col("value").try_cast("int") == 0), def_index=F.lit(None), cost=F.lit(None), handle=F.lit(None)),
+        )
+    )
+    return rows.select(*keys, player, slot, *order, F.inline(events))
+
+
+def with_deferred_state(events: DataFrame, state: DataFrame, by: Sequence[str], values: Sequence[str], deferred: Sequence[str], packet: str = "packet", place: str = "place", prefix: str = "") -> DataFrame:
+    """events with the state as of each event on a clock of packets and places within them.
+
+    An event sees what stands at or before its place; events whose name is in `deferred` are filled in at the end of their packet and see all of it.
+    """
+    last = F.lit(2**63 - 1)
+    # a deferred event takes the place after all others of its packet
+    moved = events.withColumn("__place", F.when(F.col("name").isin(*deferred), last).otherwise(F.col(place).cast("long")))
+    clock = lambda at: F.struct(F.col(packet).cast("long").alias("packet"), at.alias("place"))
+    left = moved.withColumn("__clock", clock(F.col("__place"))).drop("__place")
+    right = state.select(*by, clock(F.col(place).cast("long")).alias("__clock"), *values)
+    return asof_join(left, right, by, "__clock", values, prefix=prefix).drop("__clock")
+
+
 def first_connects(players: DataFrame, keys: Sequence[str] = ("file", "steamid"), order: Sequence[str] = ("tick", "seq")) -> DataFrame:
     return first_per_key(players, keys, order)
 
