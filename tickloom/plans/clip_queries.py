@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import audit, derived, folds, intervals
 from ..operators import clips as cl
-from ..operators import derived, intervals
+from ..query import LogQuery, Predicate
+from ..session import Engine
 from ..sources import parts
+from ..streaming import buffer
+from . import repair
 from .queries import lane, query, table
 
 #: Orders as clips of users' events: 2 to 8 hundred thousand ticks each.
@@ -163,3 +167,75 @@ def deferred_events(spark, sf):
     state = df.where("name = 'view'").withColumnRenamed("k", "state")
     got = derived.with_deferred_state(df.where("name <> 'view'"), state, ["steamid"], ["state"], ["purchase", "error"])
     return got.select(F.col("place").alias("seq"), "state")
+
+
+# repair, buffer, audit, folds, predicates
+ASSETS = """WITH own AS (SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_orderstatus <> 'P'),
+rows AS (SELECT o_orderkey AS k, (o_custkey % 10)::BIGINT AS size, CASE WHEN o_orderpriority LIKE '1%' THEN 'pending' ELSE 'complete' END AS status FROM orders WHERE o_orderpriority NOT LIKE '5%'),
+files AS (SELECT l_orderkey AS k, (l_quantity::INT % 10)::BIGINT AS size FROM lineitem WHERE l_returnflag = 'R'),
+f AS (SELECT k, max(size) AS found, count(*) AS n FROM files GROUP BY k),
+plan AS (SELECT coalesce(own.k, rows.k, f.k) AS k, CASE WHEN own.k IS NULL AND rows.k IS NULL THEN 'stray' WHEN own.k IS NULL THEN 'delete' WHEN n > 1 THEN 'ambiguous' WHEN rows.k IS NOT NULL AND n = 1 THEN CASE WHEN status = 'complete' AND size = found THEN 'current' ELSE 'fix' END
+    WHEN rows.k IS NOT NULL THEN 'delete' WHEN n = 1 THEN 'add' ELSE 'missing' END AS action, size AS recorded, found FROM own FULL JOIN rows USING (k) FULL JOIN f USING (k))
+"""
+
+
+def _assets(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Orders as collections and asset rows, returned items as the files that are there."""
+    o = table(spark, sf, "orders").withColumn("k", F.col("o_orderkey"))
+    rows = o.where("o_orderpriority NOT LIKE '5%'").select("k", (F.col("o_custkey") % 10).alias("size"), F.when(F.col("o_orderpriority").like("1%"), "pending").otherwise("complete").alias("status"))
+    files = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("k"), (F.col("l_quantity").cast("int") % 10).cast("long").alias("size"))
+    return o.where("o_orderstatus <> 'P'").select("k"), rows, files
+
+
+@query(ASSETS + "SELECT k, action, recorded, found FROM plan")
+def repair_plan(spark, sf):
+    return repair.reconciled(*_assets(spark, sf), ["k"])
+
+
+@query(ASSETS + "SELECT k, CASE WHEN action IN ('add', 'fix') THEN found ELSE recorded END AS size, CASE WHEN action IN ('add', 'fix') THEN 'complete' ELSE status END AS status FROM plan LEFT JOIN rows USING (k) WHERE action IN ('add', 'fix') OR (action <> 'delete' AND rows.k IS NOT NULL)")
+def repaired_assets(spark, sf):
+    own, rows, files = _assets(spark, sf)
+    return repair.repaired(rows, repair.reconciled(own, rows, files, ["k"]), files, ["k"])
+
+
+@query(
+    """, p AS (SELECT steamid AS demo, k AS num, max(CASE WHEN name = 'view' THEN 1 ELSE 0 END) AS a, max(CASE WHEN name = 'click' THEN 1 ELSE 0 END) AS b, max(CASE WHEN name = 'view' THEN seq % 90 END) AS total FROM lane WHERE name IN ('view', 'click') GROUP BY ALL)
+    SELECT demo, sum(a * b)::BIGINT AS done, coalesce(max(total), count(*))::INTEGER AS total FROM p GROUP BY demo -- lane"""
+)
+def buffer_completion(spark, sf):
+    df = lane(spark, sf).where("name IN ('view', 'click')")
+    first = F.col("name") == "view"
+    return buffer.completion(df.select(F.col("steamid").alias("demo"), F.col("k").alias("num"), F.when(first, 1).otherwise(2).alias("phase"), F.col("value"), F.when(first, F.col("seq") % 90).alias("total"), F.col("tick").alias("ts")))
+
+
+MARKED = ", m AS (SELECT steamid, tick, k, value, name AS class, CASE k % 4 WHEN 0 THEN 'create' WHEN 1 THEN 'update' WHEN 2 THEN 'leave' ELSE 'delete' END AS mark FROM lane)"
+
+
+@query(
+    MARKED
+    + """SELECT class, count(*) AS n, sum((mark = 'create')::INT)::BIGINT AS creates, sum((mark = 'update')::INT)::BIGINT AS updates, sum((mark = 'leave')::INT)::BIGINT AS leaves, sum((mark = 'delete')::INT)::BIGINT AS deletes,
+    min(tick) AS first_tick, max(tick) AS last_tick, min(value) AS min_value, max(value) AS max_value FROM m GROUP BY class -- lane"""
+)
+def merged_audit(spark, sf):
+    """Partial results per user, merged per class."""
+    mark = F.element_at(F.array(*map(F.lit, audit.MARKS)), (F.col("k") % 4 + 1).cast("int"))
+    rows = lane(spark, sf).select("steamid", "tick", F.col("k").alias("entity_id"), "value", F.col("name").alias("class"), mark.alias("mark"))
+    return audit.merged(audit.partial(rows, ["steamid", "class"], extents=["value"]), ["class"]).drop("entities")
+
+
+@query(
+    """, c AS (SELECT steamid AS life, tick, seq, CASE WHEN name <> 'view' THEN k // 20 END AS counter, octet_length(encode(name)) AS n FROM lane),
+    w AS (SELECT life, tick, counter, sum(n) OVER (PARTITION BY life ORDER BY tick, seq ROWS UNBOUNDED PRECEDING)::BIGINT AS size, last_value(counter IGNORE NULLS) OVER (PARTITION BY life ORDER BY tick, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM c)
+    SELECT life, tick, counter::BIGINT AS counter, size FROM w WHERE counter IS NOT NULL AND counter IS DISTINCT FROM seen -- lane"""
+)
+def payload_frames(spark, sf):
+    df = lane(spark, sf)
+    chunks = df.select(F.col("steamid").alias("life"), "tick", "seq", F.when(F.col("name") != "view", F.floor(F.col("k") / 20)).alias("counter"), F.col("name").cast("binary").alias("payload"))
+    return folds.frames(chunks).drop("payload")
+
+
+@query("SELECT tick, steamid, name, value FROM lane WHERE value > k AND k IS NOT NULL")
+def predicate_hook(spark, sf):
+    """The engine's tick query with columns and a test of the caller's."""
+    above = Predicate(["value", "k"], lambda frame: frame["value"] > frame["k"])
+    return Engine(spark).from_tables(ticks=lane(spark, sf)).ticks(LogQuery(columns=["value"], predicate=above))

@@ -8,7 +8,8 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .operators import asof
@@ -22,6 +23,42 @@ SALTS = 16
 ROLES = {"userid": "user", "attacker": "attacker", "assister": "assister", "victim": "victim"}
 
 
+@dataclass(frozen=True)
+class Predicate:
+    """A caller's test of rows that no expression states: test(frame of the named columns) → booleans, batch by batch.
+
+    It runs after all filters that Spark knows, on the named columns only. Rows with a null in one of them are not shown to it and do not pass
+    (nulls="keep": they pass). An error ends the query (errors="drop": the batch's rows do not pass).
+    """
+
+    columns: Sequence[str]
+    test: Callable[[pd.DataFrame], Sequence[bool]]
+    nulls: str = "drop"
+    errors: str = "raise"
+
+    def column(self) -> Column:
+        names, test, quiet = list(self.columns), self.test, self.errors == "drop"
+
+        @F.pandas_udf("boolean")
+        def passes(*columns: pd.Series) -> pd.Series:
+            frame = pd.concat(columns, axis=1, keys=names)
+            whole = frame.notna().all(axis=1)
+            out = pd.Series(False, index=frame.index)
+            if whole.any():
+                try:
+                    out[whole] = pd.Series(test(frame[whole].reset_index(drop=True))).fillna(False).astype(bool).to_numpy()
+                except Exception:
+                    if not quiet:
+                        raise
+            return out
+
+        missing = F.lit(False)
+        for c in names:
+            missing = missing | F.col(c).isNull()
+        found = passes(*[F.col(c) for c in names])
+        return F.when(missing, F.lit(self.nulls == "keep")).otherwise(found)
+
+
 @dataclass(frozen=True)
 class LogQuery:
     """What a caller wants of a log; empty means everything."""
@@ -34,6 +71,8 @@ class LogQuery:
     other: Sequence[str] = ()
     #: A state filter ends the tick at the first player that differs; "row" drops that player's row only.
     state_mode: str = "abort"
+    #: Applied last, to the rows that all other parts of the query leave.
+    predicate: Predicate | None = None
 
 
 def _log(*lanes: DataFrame) -> list[str]:
@@ -108,6 +147,8 @@ class LogDataset:
             df = df.where(F.col("tick").isin(*q.ticks))
         if q.players:
             df = df.where(F.col("steamid").isin(*q.players))
+        if q.predicate:
+            df = df.where(q.predicate.column())
         return df.select(*log, *[c for c in ALWAYS if c in df.columns], *[c for c in wanted if c in df.columns]) if q.columns else df
 
     def event(self, name: str, player: Sequence[str] = (), other: Sequence[str] = (), roles: Mapping[str, str] | None = None) -> DataFrame:
