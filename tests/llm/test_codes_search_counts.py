@@ -151,3 +151,27 @@ def test_whole_tokens_are_proven():
     assert all(len(e.ids) == 1 for e in library.encode_batch(plain, add_special_tokens=False))
     with pytest.raises(ValueError):
         token_counts.library(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_near_dedup_of_repeated_ids(spark):
+    """All texts of an id count: rows against all rows, ids joined."""
+    from tickloom.llm import near_dedup
+
+    r = random.Random(12)
+    text = lambda seed, n=60: " ".join("".join(random.Random(f"{seed} {k}").choices("abcdefgh", k=6)) for k in range(n))
+    rows = [(1, text("A")), (1, text("B")), (2, text("A") + " more"), (3, text("B") + " more"), (4, text("C")), (None, text("A"))]
+    rows += [(100 + r.randint(0, 40), text(f"family {r.randint(0, 30)}") + r.choice(["", " one", " two words"])) for _ in range(120)] + [(200, None), (201, ""), (200, text("D"))]
+    known = [(i, t or "") for i, t in rows if i is not None]
+    sets = [set(near_dedup.shingles(t)[0].tolist()) for _, t in known]
+    found = {i: i for i, _ in known}
+    for a in range(len(known)):
+        for b in range(a):
+            if known[a][0] == known[b][0] or known[a][1] == known[b][1] or sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                low, high = sorted((found[known[a][0]], found[known[b][0]]))
+                found = {i: low if c == high else c for i, c in found.items()}
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, class_id int")
+    got = near_dedup.classes(docs).collect()
+    assert len(got) == len(rows) and {x["doc_id"]: x["class_id"] for x in got} == found | {None: None}
+    assert found[3] == found[2] == 1 and found[4] == 4 and found[201] == 200
+    kept = near_dedup.keep_first(docs).collect()
+    assert sorted(x["doc_id"] for x in kept if x["doc_id"] is not None) == sorted(set(found.values())) and len(kept) == len(set(found.values())) + 1

@@ -204,8 +204,26 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id of every row: the smallest id of the documents it is connected with."""
+    """doc_id, class_id of every row: the smallest id of the documents it is connected with. All texts of one id are one document."""
     rows = written(signed(docs), "signatures")
+    if not _repeats(rows):
+        return _classes(docs, rows)
+    dropped(rows)
+    # rows take numbers of their own in place of ids; then the classes that hold rows of one id are joined
+    own = written(with_text(docs).where("doc_id is not null").select(F.col("doc_id").alias("id"), F.monotonically_increasing_id().alias("doc_id"), "text"), "own-numbers")
+    found = written(_classes(own, written(signed(own), "signatures")).join(own.select("doc_id", "id"), "doc_id").select("id", "class_id"), "classes")
+    dropped(own)
+    first = found.groupBy("id").agg(F.min("class_id").alias("a"))
+    joined = components(found.join(first, "id").select("a", F.col("class_id").alias("b")))
+    placed = found.join(joined.withColumnRenamed("class_id", "whole"), F.col("class_id") == F.col("node"), "left").select("id", F.coalesce("whole", "class_id").alias("whole"))
+    placed = written(placed.distinct(), "placed")
+    least = placed.groupBy("whole").agg(F.min("id").alias("class_id"))
+    # an id is in one class only, so each row meets one
+    return with_class(docs.select(F.col("doc_id").cast("long").alias("doc_id")), placed.join(least, "whole").select(F.col("id").alias("node"), "class_id"))
+
+
+def _classes(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """classes() of documents whose ids do not repeat; rows: their signatures."""
     nodes = written(rows.where("doc_id is not null").groupBy("text_key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "nodes")
     entries = written(nodes.select(F.explode("bands").alias("bucket"), "node").distinct(), "entries")
     # buckets of two nodes and more, and for each the node that stands in the fullest buckets
@@ -216,10 +234,9 @@ def classes(docs: DataFrame) -> DataFrame:
     pivots = written(shared.join(weight, "node").groupBy("bucket").agg(F.min_by("node", F.struct(-F.col("weight"), F.col("node"))).alias("pivot")), "pivots")
     stars = written(shared.join(pivots, "bucket").select("bucket", "node", "pivot"), "stars")
     dropped(shared)
-    # shingle sets of the nodes in question only; a node's text is that of any row with its id and text key
+    # shingle sets of the nodes in question only; a node's id has one row, so its text is the node's
     asked = with_text(docs).join(weight.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    sets = shingle_sets(asked).groupBy("doc_id").agg(F.first("shingles").alias("shingles")) if _repeats(rows) else shingle_sets(asked)
-    sets = written(sets, "shingles")
+    sets = written(shingle_sets(asked), "shingles")
     first = written(verified(stars.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), sets), "star-links")
     copies = rows.where("doc_id is not null").join(nodes.select("text_key", "node"), "text_key").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b")
     links = first.where(linked()).select("a", "b")
