@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalars import canonical_name, tag_added, tag_removed
+from ..functions.scalars import canonical_name, tag_added, tag_removed, team_text
 
 #: Rows of the sample that cuts an order into ranges.
 SAMPLE = 4096
@@ -65,7 +65,7 @@ def group_totals(df: DataFrame, by: str) -> DataFrame:
 
 def weapon_totals(df: DataFrame, weapons: str, sep: str = ";") -> DataFrame:
     """Occurrences of each weapon in a text list, and in how many rows it is the only one."""
-    listed = df.select(F.transform(F.split(weapons, sep), F.trim).alias("w")).withColumn("__one", (F.size(F.array_distinct("w")) == 1))
+    listed = df.select(F.transform(F.split(weapons, sep), lambda x: F.trim(x)).alias("w")).withColumn("__one", (F.size(F.array_distinct("w")) == 1))
     each = listed.select("__one", F.posexplode("w").alias("__i", "weapon")).where("weapon <> ''")
     return each.groupBy("weapon").agg(F.count("*").alias("n"), F.sum((F.col("__one") & (F.col("__i") == 0)).cast("int")).alias("exclusive"))
 
@@ -208,3 +208,56 @@ def migrated(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """df with the columns that an older version lacks, as null, in the declared order and types; unknown columns go last."""
     known = [(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in columns.items()]
     return df.select(*known, *[c for c in df.columns if c not in columns])
+
+
+def manifest(df: DataFrame, by: Sequence[str] = ("type", "folder"), demo: str = "demo_name", player: str = "steam_id") -> DataFrame:
+    """by and `manifest`: each catalog's totals as a JSON text, for a file beside it."""
+    each = df.groupBy(*by).agg(F.count("*").alias("collections"), F.count_distinct(demo).alias("demos"), F.count_distinct(player).alias("players"))
+    return each.select(*by, F.to_json(F.struct(*by, "collections", "demos", "players")).alias("manifest"))
+
+
+def completeness(df: DataFrame, demo: str = "demo_name", total: str = "col_total") -> DataFrame:
+    """Per demo its rows, the number that it should have (0 where that is not known), and whether they are all there."""
+    known = F.coalesce(F.max(total), F.lit(0)) if total in df.columns else F.lit(0)
+    out = df.groupBy(demo).agg(F.count("*").alias("n"), known.alias("expected"))
+    return out.withColumn("complete", (F.col("expected") > 0) & (F.col("n") >= F.col("expected")))
+
+
+def collection_key(killer: Column, demo: Column, round: Column, start: Column, end: Column) -> Column:
+    """The text that tells a collection from all others; nulls count as empty."""
+    return F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in (killer, demo, round, start, end)])
+
+
+def sanitised(df: DataFrame, texts: Sequence[str], lists: Sequence[str] = (), demo: str | None = None, teams: Sequence[str] = (), parallel: Sequence[str] = ()) -> DataFrame:
+    """df with texts trimmed, empty entries of lists gone, the demo's name canonical, teams in their usual spelling.
+
+    parallel: arrays that belong together, sorted by the first; shorter ones end in nulls.
+    """
+    done = {c: F.trim(c) for c in texts} | {c: F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x != "") for c in lists}
+    done |= {c: team_text(F.trim(c)) for c in teams} | ({demo: canonical_name(F.trim(demo))} if demo else {})
+    out = df.withColumns(done)
+    if parallel:
+        rows = F.array_sort(F.arrays_zip(*parallel))
+        out = out.withColumn("__rows", rows).withColumns({c: F.col("__rows")[c] for c in parallel}).drop("__rows")
+    return out
+
+
+def relative_folder(path: Column, base: str) -> Column:
+    """The path below base; of other paths the parent folder's name and a slash."""
+    whole = F.replace(path, F.lit("\\"), F.lit("/"))
+    parent = F.regexp_extract(whole, r"([^/]+)/[^/]*$", 1)
+    outside = F.when(parent == "", "").otherwise(F.concat(parent, F.lit("/")))
+    return F.when(whole.startswith(base), F.substring(whole, F.lit(len(base) + 1), F.length(whole))).otherwise(outside) if base else outside
+
+
+def prefer_saved(sources: DataFrame, saved: DataFrame, keys: Sequence[str], path: str = "path") -> DataFrame:
+    """sources with the saved clip's path where one is registered, and whether it is one."""
+    own = saved.groupBy(*keys).agg(F.min(path).alias("__saved"))
+    return sources.join(own, list(keys), "left").withColumn("saved", F.col("__saved").isNotNull()).withColumn(path, F.coalesce("__saved", path)).drop("__saved")
+
+
+def same_tick(ticks: Column, n: int) -> Column:
+    """n = 2: whether these are two kills of one tick; n > 2: whether some tick has so many."""
+    if n == 2:
+        return (F.size(ticks) == 2) & (ticks[0] == ticks[1])
+    return F.exists(ticks, lambda t: F.size(F.filter(ticks, lambda x: x == t)) >= n)

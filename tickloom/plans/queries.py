@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
-from ..operators import asof, entities, joins, kills
+from ..operators import asof, entities, joins, kills, reports
 from ..operators import windows as win
+from ..query import LogQuery
 from ..session import Engine
 from ..sources import replaylog
 from . import catalog
@@ -63,18 +64,20 @@ POINTS = "WITH p AS (SELECT vec_id, label, embedding[1]::DOUBLE * 100 AS x, embe
 # projections and filters
 @query("SELECT steamid, tick, value FROM lane")
 def ticks_projection(spark, sf):
-    return lane(spark, sf).select("steamid", "tick", "value")
+    return Engine(spark).from_tables(ticks=lane(spark, sf)).ticks(LogQuery(columns=["value"])).select("steamid", "tick", "value")
 
 
 @query("SELECT seq, tick FROM lane WHERE tick % 100 IN (1, 7, 50)")
 def tick_in_filter(spark, sf):
-    return lane(spark, sf).where((F.col("tick") % 100).isin(1, 7, 50)).select("seq", "tick")
+    df = lane(spark, sf)
+    wanted = df.where((F.col("tick") % 100).isin(1, 7, 50)).select("tick")
+    return Engine(spark).from_tables(ticks=df).ticks(LogQuery(columns=["seq"], ticks=wanted)).select("seq", "tick")
 
 
 @query("SELECT seq, steamid FROM lane WHERE steamid IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def player_in_filter(spark, sf):
     wanted = table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("steamid"))
-    return joins.present(lane(spark, sf), wanted, ["steamid"]).select("seq", "steamid")
+    return Engine(spark).from_tables(ticks=lane(spark, sf)).ticks(LogQuery(columns=["seq"], players=wanted)).select("seq", "steamid")
 
 
 @query("SELECT seq, name FROM lane WHERE name IN ('click', 'error')")
@@ -144,16 +147,15 @@ def kill_position(spark, sf):
 
 
 @query(
-    """, s AS (SELECT steamid, tick, arg_max(k, seq) AS k FROM lane WHERE name = 'view' GROUP BY ALL), h AS (SELECT steamid, arg_min(k, tick) AS k FROM lane WHERE name = 'error' GROUP BY ALL)
-    SELECT e.seq, coalesce(s.k, h.k) AS k FROM (SELECT * FROM lane WHERE name = 'purchase') e ASOF LEFT JOIN s ON e.steamid = s.steamid AND e.tick >= s.tick LEFT JOIN h ON h.steamid = e.steamid -- lane"""
+    """, s AS (SELECT * FROM lane WHERE name = 'view'), h AS (SELECT steamid, arg_min(k, tick) AS k FROM lane WHERE name = 'error' GROUP BY ALL)
+    SELECT e.seq, coalesce((SELECT arg_max(s.k, (s.tick, s.seq)) FROM s WHERE s.steamid = e.steamid AND (s.tick < e.tick OR (s.tick = e.tick AND s.seq <= e.seq))), h.k) AS k
+    FROM (SELECT * FROM lane WHERE name = 'purchase') e LEFT JOIN h ON h.steamid = e.steamid -- lane"""
 )
 def side_timeline(spark, sf):
     df = lane(spark, sf)
-    views = df.where("name = 'view'").groupBy("steamid", "tick").agg(F.max_by("k", "seq").alias("k"), F.max("seq").alias("seq"))
-    left = df.where("name = 'purchase'").select("seq", "steamid", "tick")
-    got = asof.asof_join(left, views, ["steamid"], "tick", ["k"])
-    hints = df.where("name = 'error'").groupBy("steamid").agg(F.min_by("k", "tick").alias("hint"))
-    return got.join(hints, "steamid", "left").select("seq", F.coalesce("k", "hint").alias("k"))
+    left, samples = df.where("name = 'purchase'").select("seq", "steamid", "tick"), df.where("name = 'view'").select("steamid", "tick", "seq", "k")
+    hints = df.where("name = 'error'").select("steamid", "tick", F.col("k").alias("hint"))
+    return asof.latest_or_first_hint(left, samples, hints, ["steamid"], "tick", "k", "hint", "seq").select("seq", "k")
 
 
 # windows
@@ -344,7 +346,7 @@ def scoreboard_last(spark, sf):
 
 @query("SELECT tick // 5529600 AS round, count(*) AS kills FROM lane WHERE name = 'purchase' GROUP BY ALL")
 def kills_per_round(spark, sf):
-    return lane(spark, sf).where("name = 'purchase'").groupBy(F.floor(F.col("tick") / 5529600).cast("long").alias("round")).agg(F.count("*").alias("kills"))
+    return reports.per_round(lane(spark, sf).where("name = 'purchase'"), F.floor(F.col("tick") / 5529600).cast("long"))
 
 
 @query("SELECT steamid, k AS victim, max((name = 'error')::INT) AS killed, round(sum(value), 4) AS damage, CAST(row_number() OVER (PARTITION BY steamid ORDER BY max((name = 'error')::INT) DESC, round(sum(value), 4) DESC, k) AS INTEGER) AS rank FROM lane GROUP BY steamid, k")
@@ -383,7 +385,7 @@ def folder_stats(spark, sf):
 
 @query("SELECT label, round(median(x), 6) AS altitude, round(min(x), 6) AS low, round(max(x), 6) AS high FROM (" + POINTS.replace("WITH p AS (", "").rstrip()[:-1] + ") GROUP BY label")
 def median_altitude(spark, sf):
-    return points(spark, sf).groupBy("label").agg(F.round(F.median("x"), 6).alias("altitude"), F.round(F.min("x"), 6).alias("low"), F.round(F.max("x"), 6).alias("high"))
+    return reports.altitude(points(spark, sf), ["label"], "x").select("label", *[F.round(c, 6).alias(c) for c in ("altitude", "low", "high")])
 
 
 @query("SELECT name, count(*) AS n, sum(k)::BIGINT AS bytes, min(tick) AS first_tick, max(tick) AS last_tick FROM lane GROUP BY name")
@@ -520,10 +522,7 @@ def quantise(spark, sf):
 )
 def clutch_1vx(spark, sf):
     df = lane(spark, sf).where(F.col("name").isin("purchase", "error")).withColumn("day", F.floor(F.col("tick") / 5529600).cast("long"))
-    alive = win.ordered(["day"], ["tick", "seq"]).rowsBetween(-(2**63), 0)
-    side = F.col("steamid") % 2
-    df = df.withColumns({"dead0": F.sum((side == 0).cast("int")).over(alive), "dead1": F.sum((side == 1).cast("int")).over(alive)})
-    return df.groupBy("day").agg(F.max("dead0").alias("dead0"), F.max("dead1").alias("dead1"), F.min(F.when((F.col("dead0") == 4) & (F.col("dead1") < 4), F.col("seq"))).alias("first_clutch"))
+    return reports.clutches(df, ["day"], ["tick", "seq"], F.col("steamid") % 2)
 
 
 # entities and derived rows
@@ -624,10 +623,8 @@ def collection_gaps(spark, sf):
     SELECT seq, coalesce(m.n, x.c_name) AS user_name FROM lane LEFT JOIN m ON (steamid & 255) = m.m LEFT JOIN x ON steamid = c_custkey -- lane"""
 )
 def masked_user_join(spark, sf):
-    users = table(spark, sf, "customer").withColumn("m", F.col("c_custkey").bitwiseAND(255))
-    first = users.groupBy("m").agg(F.min("c_name").alias("user_name"), F.min("c_custkey").alias("c_custkey"))
-    exact = users.select("c_custkey", F.col("c_name").alias("user_name"))
-    return joins.by_masked_id(lane(spark, sf), first.select(F.col("m").alias("id"), "user_name"), "steamid", "id", ["user_name"]).join(exact.withColumnRenamed("user_name", "x"), F.col("steamid") == F.col("c_custkey"), "left").select("seq", F.coalesce("user_name", "x").alias("user_name"))
+    users = table(spark, sf, "customer").select("c_custkey", F.col("c_name").alias("user_name"))
+    return joins.by_masked_id(lane(spark, sf), users, "steamid", "c_custkey", ["user_name"]).select("seq", "user_name")
 
 
 @query(
@@ -656,13 +653,13 @@ def window_seed(spark, sf):
     return joins.window_seed(lane(spark, sf).select("steamid", "tick", "seq"), ["steamid"], "tick", 50_000_000, 90_000_000)
 
 
-@query("SELECT p_partkey, '[' || p_brand || ', new]' AS added, '[]' AS removed FROM part")
+@query("SELECT p_partkey, '[' || p_brand || ', new]' AS added, CASE WHEN p_size > 20 THEN '[' || p_brand || ']' ELSE '[' || p_brand || ', new]' END AS removed FROM part")
 def tag_edits(spark, sf):
     tags = F.concat(F.lit("["), F.col("p_brand"), F.lit("]"))
-    df = table(spark, sf, "part").select("p_partkey", "p_brand", tags.alias("tag"))
-    added = catalog.add_tag(df, F.lit(True), "new").select("p_partkey", F.col("tag").alias("added"))
-    removed = df.select("p_partkey", F.concat(F.lit("["), F.array_join(F.array_except(sc.text_tags(F.col("tag")), F.array("p_brand")), ", "), F.lit("]")).alias("removed"))
-    return added.join(removed, "p_partkey")
+    df = table(spark, sf, "part").select("p_partkey", "p_size", tags.alias("tag"))
+    added = catalog.add_tag(df, F.lit(True), "new")
+    removed = catalog.remove_tag(added.withColumn("removed", F.col("tag")), F.col("p_size") > 20, "new", "removed")
+    return removed.select("p_partkey", F.col("tag").alias("added"), "removed")
 
 
 @query("SELECT s_suppkey FROM supplier WHERE trim(s_name) = '' OR NOT (s_acctbal BETWEEN 0 AND 5000)")

@@ -5,6 +5,7 @@ A query names columns, players, ticks, states and events; each part compiles to
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -18,6 +19,9 @@ from .operators import windows as win
 #: Columns that a tick query always returns; raw fields of events that enrichment replaces.
 ALWAYS = ("tick", "steamid", "name")
 REMOVED_EVENTS = ("server_cvar", "player_connect")
+#: Raw ids that enrichment has used up, and the event that only serves to find sales (fixed values).
+INTERNAL_FIELDS = ("userid", "attacker", "assister", "userid_pawn", "attacker_pawn", "assister_pawn", "victim", "victim_pawn")
+INTERNAL_EVENTS = ("item_sold",)
 #: Parts that a log's events are spread over to get the state of its rules.
 SALTS = 16
 ROLES = {"userid": "user", "attacker": "attacker", "assister": "assister", "victim": "victim"}
@@ -59,13 +63,45 @@ class Predicate:
         return F.when(missing, F.lit(self.nulls == "keep")).otherwise(found)
 
 
+@dataclass(frozen=True)
+class Registry:
+    """Names that a caller may use for columns of the ticks lane, and columns that are made out of others.
+
+    names: friendly name → column of the lane. derived: name → (columns it needs, expression over them); an expression may use what other
+    derived names make. A prefix `Weapon.` or `Grenade.` does not count (of states: `Weapon.`). Unknown names stand for themselves.
+    """
+
+    names: Mapping[str, str] = field(default_factory=dict)
+    derived: Mapping[str, tuple[Sequence[str], Callable[[], Column]]] = field(default_factory=dict)
+
+    def real(self, name: str, state: bool = False) -> str:
+        for prefix in ("Weapon.", "Grenade.")[: 1 if state else 2]:
+            name = name.removeprefix(prefix)
+        return self.names.get(name, name)
+
+    def with_derived(self, df: DataFrame, wanted: Sequence[str]) -> DataFrame:
+        """df with the derived columns among the wanted ones and those that they need, in order of need."""
+        for name in wanted:
+            if name in self.derived and name not in df.columns:
+                needs, make = self.derived[name]
+                df = self.with_derived(df, [self.real(c) for c in needs])
+                df = df.withColumn(name, make())
+        return df
+
+
+def friendly_name(path: str) -> str:
+    """The name that a column's path suggests: without its classes, `m_` and the letters of its type, in lower case with lines between words."""
+    last = re.sub(r"^m_(?:[a-z]{1,3}(?=[A-Z]))?", "", path.rpartition(".")[2])
+    return re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_", last).lower()
+
+
 @dataclass(frozen=True)
 class LogQuery:
-    """What a caller wants of a log; empty means everything."""
+    """What a caller wants of a log; empty means everything. Players and ticks may be tables of them (steamid, tick), of any size."""
 
     columns: Sequence[str] = ()
-    players: Sequence[int] = ()
-    ticks: Sequence[int] = ()
+    players: Sequence[int] | DataFrame = ()
+    ticks: Sequence[int] | DataFrame = ()
     states: Mapping[str, object] = field(default_factory=dict)
     events: Sequence[str] = ()
     other: Sequence[str] = ()
@@ -89,8 +125,8 @@ class LogDataset:
     Lanes of several logs have a column `file`; state, velocity and ticks of one log never meet those of another.
     """
 
-    def __init__(self, lanes: Mapping[str, Callable[[], DataFrame]]):
-        self.lanes = dict(lanes)
+    def __init__(self, lanes: Mapping[str, Callable[[], DataFrame]], registry: Registry | None = None):
+        self.lanes, self.registry = dict(lanes), registry or Registry()
 
     def lane(self, name: str) -> DataFrame:
         if name not in self.lanes:
@@ -132,24 +168,30 @@ class LogDataset:
         """One row per player and tick: velocity is computed over all rows, then filters apply, then the wanted columns stay."""
         df = self.lane("ticks")
         wanted = [c for c in q.columns if c not in ALWAYS]
+        states = {self.registry.real(c, state=True): v for c, v in q.states.items()}
         log = _log(df)
         if any(c.startswith("velocity") for c in wanted):
             axes = {f"velocity_{c}": c for c in ("X", "Y", "Z") if c in df.columns}
             df = win.velocity(df, [*log, "steamid"], ["tick"], axes)
             df = win.speed(df, "velocity_X", "velocity_Y") if {"X", "Y"} <= set(df.columns) else df
-        if q.states:
+        df = self.registry.with_derived(df, [*map(self.registry.real, wanted), *states])
+        if states:
             ok = F.lit(True)
-            for name, value in q.states.items():
+            for name, value in states.items():
                 ok = ok & (F.col(name) == F.lit(value))
             order = ["entity_id"] if "entity_id" in df.columns else ["steamid"]
             df = win.aborted(df, [*log, "tick"], order, ok, per_row=q.state_mode == "row")
-        if q.ticks:
-            df = df.where(F.col("tick").isin(*q.ticks))
-        if q.players:
-            df = df.where(F.col("steamid").isin(*q.players))
+        for column, some in (("tick", q.ticks), ("steamid", q.players)):
+            if isinstance(some, DataFrame):
+                df = df.join(some.select(*[c for c in log if c in some.columns], column).distinct(), [*[c for c in log if c in some.columns], column], "left_semi")
+            elif some:
+                df = df.where(F.col(column).isin(*some))
         if q.predicate:
             df = df.where(q.predicate.column())
-        return df.select(*log, *[c for c in ALWAYS if c in df.columns], *[c for c in wanted if c in df.columns]) if q.columns else df
+        if not q.columns:
+            return df
+        named = [(c, self.registry.real(c)) for c in wanted]
+        return df.select(*log, *[c for c in ALWAYS if c in df.columns], *[F.col(real).alias(c) for c, real in named if real in df.columns])
 
     def event(self, name: str, player: Sequence[str] = (), other: Sequence[str] = (), roles: Mapping[str, str] | None = None) -> DataFrame:
         """Rows of one event with the state of each role's player as of the event, under the role's prefix.
@@ -173,6 +215,10 @@ class LogDataset:
             events = asof.asof_join(spread, each, [*log, "__salt"], "tick", list(other)).drop("__salt")
         return events
 
+    def public(self, events: DataFrame) -> DataFrame:
+        """Events as a caller gets them in the end: without the raw ids and the events that only serve to find others."""
+        return events.where(~F.col("name").isin(*INTERNAL_EVENTS)).drop(*INTERNAL_FIELDS)
+
     def events(self, names: Sequence[str], player: Sequence[str] = (), other: Sequence[str] = ()) -> dict[str, DataFrame]:
         """One frame per event name; `all` stands for every name of the log (which are read first: they are few)."""
         if names and names[0] == "all":

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .query import LogDataset
+from .query import LogDataset, Registry
 
 #: What the operators assume of a session; sizes are left to the cluster.
 SETTINGS = {
@@ -23,10 +23,10 @@ def session(name: str = "tickloom", **settings: str) -> SparkSession:
 
 
 class Engine:
-    """Opens logs, or tables that stand for their lanes."""
+    """Opens logs, or tables that stand for their lanes. registry: names and derived columns that tick queries may use."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, registry: Registry | None = None):
+        self.spark, self.registry = spark, registry
 
     def open(self, path: str | list[str], pattern: str = "*.dem*", **ready: DataFrame) -> LogDataset:
         """A dataset whose lanes are decoded from the logs under path when they are first used.
@@ -37,8 +37,8 @@ class Engine:
         from .sources.replaylog import LANES, read_lane
 
         decoded = {lane: (lambda lane=lane: read_lane(self.spark, path, lane, pattern)) for lane in LANES}
-        return LogDataset(decoded | {name: (lambda df=df: df) for name, df in ready.items()})
+        return LogDataset(decoded | {name: (lambda df=df: df) for name, df in ready.items()}, self.registry)
 
     def from_tables(self, **lanes: DataFrame) -> LogDataset:
         """A dataset over ready lanes: ticks, events, players, grenades, and so on."""
-        return LogDataset({name: (lambda df=df: df) for name, df in lanes.items()})
+        return LogDataset({name: (lambda df=df: df) for name, df in lanes.items()}, self.registry)

@@ -84,3 +84,16 @@ def csr(df: DataFrame, clip: Sequence[str], order: str, values: Sequence[str]) -
     listed = F.sort_array(F.collect_list(F.struct(order, *values)))
     grouped = df.groupBy(*clip).agg(listed.alias("__l"))
     return grouped.select(*clip, F.size("__l").alias("n"), *[F.col("__l")[c].alias(c) for c in (order, *values)])
+
+
+def nested_csr(df: DataFrame, clip: Sequence[str], order: str, values: Sequence[str], nested: str, inner: Sequence[str]) -> DataFrame:
+    """Per clip the rows of a lane as parallel arrays, and what each row holds in its array `nested` of structs flat beside them.
+
+    offsets has one more place than rows: what row i holds stands at offsets[i] to offsets[i + 1] of each inner array. A null array holds nothing.
+    """
+    held = F.coalesce(F.col(nested), F.array().cast(df.schema[nested].dataType))
+    listed = F.sort_array(F.collect_list(F.struct(order, *values, held.alias("__in"))))
+    grouped = df.groupBy(*clip).agg(listed.alias("__l"))
+    ends = F.aggregate("__l", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.size(x["__in"]))))
+    flat = F.flatten(F.col("__l")["__in"])
+    return grouped.select(*clip, *[F.col("__l")[c].alias(c) for c in (order, *values)], ends.alias("offsets"), *[flat[c].alias(c) for c in inner])
