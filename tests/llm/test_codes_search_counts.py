@@ -175,3 +175,51 @@ def test_near_dedup_of_repeated_ids(spark):
     assert found[3] == found[2] == 1 and found[4] == 4 and found[201] == 200
     kept = near_dedup.keep_first(docs).collect()
     assert sorted(x["doc_id"] for x in kept if x["doc_id"] is not None) == sorted(set(found.values())) and len(kept) == len(set(found.values())) + 1
+
+
+def test_guess_cost_of_long_values():
+    """Values with runs, walks and blocks of any length, against all steps between all places; and the threshold as a limit."""
+    from tickloom.llm import secret_scan as s
+
+    rank_of = s.ranked("pass word abc hunter dragon correct horse battery staple".split())
+    known: dict[tuple[str, bool], float] = {}
+
+    def steps(v, blocks):
+        low, plain = v.lower(), v.lower().translate(s.LEET)
+        for i in range(len(v)):
+            yield i, i + 1, s.char_cost(v[i])
+            for j in range(i + 3, len(v) + 1):
+                p = v[i:j]
+                if 4 <= j - i <= 10 and p[0].isdigit() and s.DATE.fullmatch(p):
+                    yield i, j, s.DATE_COST + s.STEP
+                if all(low[k : k + 2] in s.NEXT for k in range(i, j - 1)):
+                    yield i, j, s.WALK_START + s.WALK_STEP * math.log10(j - i) + s.STEP
+                if low[i:j] in rank_of or plain[i:j] in rank_of:
+                    leet = 0.0 if low[i:j] in rank_of else math.log10(4)
+                    case = 0.0 if p.islower() or not p.isalpha() else math.log10(2) if p.istitle() or p.isupper() else math.log10(j - i) + 1
+                    yield i, j, math.log10(rank_of.get(low[i:j], rank_of.get(plain[i:j]))) + leet + case + s.STEP
+                for size in range(1, (j - i) // 2 + 1):
+                    block, times = p[:size], (j - i) // size
+                    if p == block * times and times >= (3 if size == 1 else 2) and (size == 1 or blocks) and not (size > s.BLOCK and (block + block).find(block, 1) < size):
+                        yield i, j, (s.char_cost(block) if size == 1 else cheapest(block, False)) + math.log10(times) + s.STEP
+
+    def cheapest(v, blocks=True):
+        if (v, blocks) not in known:
+            best = [0.0] + [math.inf] * len(v)
+            for i, j, cost in sorted(steps(v, blocks)):
+                best[j] = min(best[j], best[i] + cost)
+            known[v, blocks] = best[-1]
+        return known[v, blocks]
+
+    r = random.Random(77)
+    pieces = ["a", "b", "aa", "qwerty", "asdf", "abc", "1", "2024", "pass", "word", "Hunter", "xY", "z9", "correcthorsebattery", "abcdefghij", "-", "ab", "ba", "12"]
+    values = ["correcthorsebattery" * 2, "z9" + "qwerty" * 15, "kxvqzjwmhtrbpdngcs" * 2, "aaaab" * 20]
+    for _ in range(120):
+        v = "".join(r.choice(pieces) * r.choice([1, 1, 2, 3, 8, 20]) for _ in range(r.randint(1, 5)))[:110]
+        values.append((v[:36] * 3) if r.random() < 0.4 else v)
+    for v in values:
+        want, limited = cheapest(v), s.guess_cost(v, rank_of, limit=10)
+        assert s.guess_cost(v, rank_of) == pytest.approx(want, abs=1e-9), v
+        assert limited >= 10 if want >= 10 else limited == pytest.approx(want, abs=1e-9), v
+    for long in ("a" * 20_000, "ab" * 10_000, "correcthorsebatterystaple12" * 800):
+        assert s.guess_cost(long, rank_of, limit=10) < 11
