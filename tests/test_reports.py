@@ -81,3 +81,25 @@ def test_catalog_rows(spark):
     assert sorted(map(tuple, catalog.weapon_totals(spark.createDataFrame([("ak47; awp",), (" awp ; awp",)], "w string"), "w").collect())) == [("ak47", 1, 0), ("awp", 3, 1)]
     saved = catalog.prefer_saved(spark.createDataFrame([(1, "full"), (2, "full")], "k int, path string"), spark.createDataFrame([(1, "b"), (1, "a")], "k int, path string"), ["k"])
     assert sorted(map(tuple, saved.collect())) == [(1, "a", True), (2, "full", False)]
+
+
+def test_checksums_of_any_length(spark):
+    def plain(data):
+        h = 0xCBF29CE484222325
+        for b in data:
+            h = (h ^ b) * 0x100000001B3 % (1 << 64)
+        return h - (1 << 64) if h >> 63 else h
+
+    data = [b"", b"a", None, bytes(range(256)) * 3, b"foobar", b"\0", None, b"zz"]
+    rows = spark.createDataFrame(list(enumerate(data)), "i int, b binary").coalesce(1)
+    assert {r["i"]: r["checksum"] for r in sinks.fnv1a(rows, "b").collect()} == {i: None if d is None else plain(d) for i, d in enumerate(data)}
+    assert sinks.fnv1a(rows.where("b IS NULL"), "b").select("checksum").distinct().collect() == [(None,)]
+
+
+def test_roster_without_a_list(spark):
+    from tickloom.operators import entities
+
+    players = spark.createDataFrame([(1, "a", 2, 5), (1, "b", 2, 9), (2, "c", 1, 9)], "steamid long, name string, team_num int, tick int")
+    infos = spark.createDataFrame([(7, "z", 3)], "steamid long, name string, team_num int")
+    assert entities.roster(infos, players).collect() == [(7, "z", 3)]
+    assert entities.roster(infos.limit(0), players).collect() == [(1, "b", 2)]

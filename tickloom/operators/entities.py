@@ -113,4 +113,6 @@ def roster(infos: DataFrame, players: DataFrame) -> DataFrame:
     """The end-of-match list where it has rows, else players of teams 2 and 3 with their latest row."""
     last = players.where(F.col("team_num").isin(2, 3)).groupBy("steamid").agg(F.max_by("name", "tick").alias("name"), F.max_by("team_num", "tick").alias("team_num"))
     listed = infos.select("steamid", "name", "team_num")
-    return last.where("false").unionByName(listed) if listed.head(1) else last
+    # one row if the list has any, none else: the players stay only where it is missing
+    there = listed.limit(1).select(F.lit(True).alias("__there"))
+    return listed.unionByName(last.withColumn("__there", F.lit(True)).join(F.broadcast(there), "__there", "left_anti").select(*listed.columns))

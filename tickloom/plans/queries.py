@@ -493,10 +493,11 @@ def canonical_name(spark, sf):
     return table(spark, sf, "pages").select("page_id", sc.canonical_name(F.col("url")).alias("name"))
 
 
-@query("SELECT steamid, string_agg(CAST(k AS VARCHAR), ';' ORDER BY tick, seq) AS ks, printf('%.1fs', max(tick) / 64) AS seconds FROM lane GROUP BY steamid")
+@query("SELECT steamid, tick // 5529600 AS day, string_agg(CAST(k AS VARCHAR), ';' ORDER BY tick, seq) AS ks, printf('%.1fs', max(tick) / 64) AS seconds FROM lane GROUP BY steamid, day")
 def text_lists(spark, sf):
+    """Lists of a user's day: no list grows with the log."""
     listed = F.sort_array(F.collect_list(F.struct("tick", "seq", "k")))
-    return lane(spark, sf).groupBy("steamid").agg(sc.list_text(F.transform(listed, lambda x: x["k"])).alias("ks"), sc.seconds_text(F.max("tick")).alias("seconds"))
+    return lane(spark, sf).groupBy("steamid", F.floor(F.col("tick") / 5529600).cast("long").alias("day")).agg(sc.list_text(F.transform(listed, lambda x: x["k"])).alias("ks"), sc.seconds_text(F.max("tick")).alias("seconds"))
 
 
 @query("SELECT seq, (CASE WHEN k > 10 THEN 1 ELSE 0 END) + (CASE WHEN k <= 90 THEN 2 ELSE 0 END) AS known, (CASE WHEN k > 50 THEN 1 ELSE 0 END) + (CASE WHEN k <= 90 AND value > 50 THEN 2 ELSE 0 END) AS flags FROM lane")
@@ -592,10 +593,12 @@ def stickers(spark, sf):
     return entities.stickers(attributes, ["steamid"])
 
 
-@query("SELECT steamid, string_agg(printf('%d:%d', tick, k), ' ' ORDER BY tick, seq) AS points FROM lane WHERE name = 'view' GROUP BY steamid")
+@query("SELECT steamid, tick // 5529600 AS day, string_agg(printf('%d:%d', tick, k), ' ' ORDER BY tick, seq) AS points FROM lane WHERE name = 'view' GROUP BY steamid, day")
 def trajectories(spark, sf):
-    got = kills.trajectories(lane(spark, sf).where("name = 'view'").withColumn("at", F.struct("tick", "seq")), ["steamid"], "at", ["k"])
-    return got.select("steamid", F.array_join(F.transform("points", lambda p: F.concat_ws(":", p["at"]["tick"].cast("string"), p["k"].cast("string"))), " ").alias("points"))
+    """A user's day stands for an entity's life."""
+    df = lane(spark, sf).where("name = 'view'").withColumns({"at": F.struct("tick", "seq"), "day": F.floor(F.col("tick") / 5529600).cast("long")})
+    got = kills.trajectories(df, ["steamid", "day"], "at", ["k"])
+    return got.select("steamid", "day", F.array_join(F.transform("points", lambda p: F.concat_ws(":", p["at"]["tick"].cast("string"), p["k"].cast("string"))), " ").alias("points"))
 
 
 @query(
@@ -610,12 +613,13 @@ def weapon_hits(spark, sf):
 
 
 @query(
-    """, d AS (SELECT label, vec_id, vec_id - lag(vec_id) OVER w AS t, sqrt((x-lag(x) OVER w)**2+(y-lag(y) OVER w)**2+(z-lag(z) OVER w)**2) AS m FROM p WINDOW w AS (PARTITION BY label ORDER BY vec_id))
-    SELECT label, coalesce(string_agg(CAST(t AS VARCHAR), ';' ORDER BY vec_id), '') AS ticks_between, count(m) AS n FROM d GROUP BY label""".join([POINTS.rstrip(), ""])
+    """, d AS (SELECT label, vec_id // 64 AS part, vec_id, vec_id - lag(vec_id) OVER w AS t, sqrt((x-lag(x) OVER w)**2+(y-lag(y) OVER w)**2+(z-lag(z) OVER w)**2) AS m FROM p WINDOW w AS (PARTITION BY label, vec_id // 64 ORDER BY vec_id))
+    SELECT label, part, coalesce(string_agg(CAST(t AS VARCHAR), ';' ORDER BY vec_id), '') AS ticks_between, count(m) AS n FROM d GROUP BY label, part""".join([POINTS.rstrip(), ""])
 )
 def collection_gaps(spark, sf):
-    got = kills.gaps_text(points(spark, sf), ["label"], "vec_id", ["x", "y", "z"])
-    return got.select("label", "ticks_between", F.size(F.filter(F.split("move_between", ";"), lambda x: x != "")).cast("long").alias("n"))
+    """Up to 64 vectors of a label stand for a collection."""
+    got = kills.gaps_text(points(spark, sf).withColumn("part", F.floor(F.col("vec_id") / 64).cast("long")), ["label", "part"], "vec_id", ["x", "y", "z"])
+    return got.select("label", "part", "ticks_between", F.size(F.filter(F.split("move_between", ";"), lambda x: x != "")).cast("long").alias("n"))
 
 
 @query(

@@ -50,15 +50,21 @@ def fnv1a(df: DataFrame, column: str, name: str = "checksum") -> DataFrame:
 
     @F.pandas_udf("long")
     def digest(values: pd.Series) -> pd.Series:
-        def one(data: bytes | None) -> int | None:
-            if data is None:
-                return None
-            h = 0xCBF29CE484222325
-            for b in data:
-                h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-            return h - (1 << 64) if h >> 63 else h
-
-        return values.map(one).astype("Int64")
+        there = values.notna().to_numpy()
+        data = [v for v in values if v is not None]
+        sizes = np.array([len(v) for v in data], np.int64)
+        order = np.argsort(-sizes, kind="stable")  # the longest first: those that still have a byte at a place come first
+        starts, joined = (np.cumsum(sizes) - sizes)[order], np.frombuffer(b"".join(data), np.uint8)
+        h = np.full(len(data), 0xCBF29CE484222325, np.uint64)
+        longer = len(data) - np.searchsorted(np.sort(sizes), np.arange(sizes.max(initial=0)), side="right")
+        with np.errstate(over="ignore"):
+            for place, n in enumerate(longer.tolist()):
+                h[:n] = (h[:n] ^ joined[starts[:n] + place]) * np.uint64(0x100000001B3)
+        found = np.empty(len(data), np.int64)
+        found[order] = h.view(np.int64)
+        out = pd.Series(pd.NA, index=values.index, dtype="Int64")
+        out[there] = found
+        return out
 
     return df.withColumn(name, digest(F.col(column)))
 
@@ -69,11 +75,11 @@ def read_dense(df: DataFrame, clip: Sequence[str], values: Sequence[str], npz: s
 
     def rows(frames):
         for pdf in frames:
-            for _, one in pdf.iterrows():
-                with np.load(io.BytesIO(one[npz])) as arrays:
+            for data, *own in zip(pdf[npz], *[pdf[c] for c in clip]):
+                with np.load(io.BytesIO(data)) as arrays:
                     grids = [arrays[v] for v in values]
                     t, p = np.nonzero(~np.all([np.isnan(g) for g in grids], axis=0))
-                    yield pd.DataFrame({c: [one[c]] * len(t) for c in clip} | {"tick": arrays["ticks"][t], "player": arrays["players"][p]} | {v: g[t, p] for v, g in zip(values, grids)})
+                    yield pd.DataFrame({c: [x] * len(t) for c, x in zip(clip, own)} | {"tick": arrays["ticks"][t], "player": arrays["players"][p]} | {v: g[t, p] for v, g in zip(values, grids)})
 
     schema = ", ".join([f"{c} {kinds[c]}" for c in clip] + ["tick long", "player long"] + [f"{v} double" for v in values])
     return df.select(*clip, npz).mapInPandas(rows, schema)

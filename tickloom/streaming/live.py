@@ -31,14 +31,17 @@ def bursts(events: DataFrame, keys: list[str], gap: str = "5 minutes", time: str
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n")
 
 
-def carried(events: DataFrame, key: str, order: str, value: str, is_state: str) -> DataFrame:
+def carried(events: DataFrame, key: str, order: str, value: str, is_state: str, keep_ms: int = 86_400_000) -> DataFrame:
     """Every row with the last value of a state row of its key before or at it, across batches. State: one number per key.
 
     events: key long, order long, value double, is_state boolean. Rows of a batch are sorted; a row that comes after a later one of an earlier batch
-    sees the later state, as in any stream without buffering.
+    sees the later state, as in any stream without buffering. A key without rows for keep_ms of the clock is forgotten.
     """
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         rows = pd.concat(list(frames)).sort_values([order, is_state], ascending=[True, False], kind="stable")
         out = []
@@ -47,6 +50,7 @@ def carried(events: DataFrame, key: str, order: str, value: str, is_state: str)
             out.append((k[0], o, last))
         if last is not None:
             state.update((last,))
+            state.setTimeoutDuration(keep_ms)
         yield pd.DataFrame(out, columns=[key, order, "state"])
 
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} long, {order} long, state double", "last double", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy(key).applyInPandasWithState(step, f"{key} long, {order} long, state double", "last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
