@@ -494,3 +494,24 @@ def test_toxicity_figures_are_those_of_compressed_lengths():
     got = pair.figures([text])[0]
     assert got[0] == max(d) and got[1] == pytest.approx(10 * sum(d) / len(d)) and got[2] == pytest.approx(10 * sum(x >= 3 for x in d) / len(d))
     assert toxicity.windows(b"") == [] and pair.figures([""]).shape == (1, len(got))
+
+
+def test_warc_hot_payloads_and_rare_ones(spark):
+    """Payloads above and below the share that is joined by broadcast, null ids among them."""
+    import hashlib
+
+    from tickloom.llm import warc
+
+    texts = {0: "h" * 150, **{i: f"{i:04d}" * 40 for i in range(1, 40)}}
+    rows = [(i, f"u{i}", texts[0]) for i in range(100, 160)] + [(1000 + 2 * i + j, None, texts[i]) for i in range(1, 40) for j in (0, 1)] + [(None, "u", texts[0]), (None, None, texts[3]), (7, "u", "short"), (8, "u", "short")]
+    before, warc.HOT = warc.HOT, 2  # only the text of half the pages is hot then
+    try:
+        got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    finally:
+        warc.HOT = before
+    least = {}
+    for page, _, html in rows:
+        if page is not None and len(html) >= warc.LEAST:
+            least[html] = min(page, least.get(html, page))
+    want = [(p, len(h), hashlib.sha256(h.encode()).hexdigest(), "revisit" if h in least and p != least[h] else "response", least[h] if h in least and p != least[h] else None) for p, _, h in rows]
+    assert sorted(map(repr, ((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got))) == sorted(map(repr, want))

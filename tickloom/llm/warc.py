@@ -32,8 +32,10 @@ from .common import bounded, new_path, sized, written
 LEAST, FILE_BYTES, FILE_RECORDS = 100, 64 << 20, 20_000
 #: Ranges at most so far apart become one read of at most so many bytes.
 GAP, READ_BYTES = 64 << 10, 8 << 20
-#: Bytes of records that a task reads in turn.
-TASK_BYTES = 8 << 20
+#: Tasks that read, at most; beyond it a task reads several files.
+TASKS = 20_000
+#: Payloads that make up so large a part of the repeated ones, or more, are joined by broadcast; they are at most HOT.
+HOT = 1000
 INDEX = pa.schema(
     [("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string())]
 )
@@ -51,13 +53,18 @@ def with_types(pages: DataFrame, least: int = LEAST) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     brief = rows.select("page_id", "digest", F.octet_length("payload").alias("size"))
-    # only payloads that occur more than once, written so that the join below sees a plain table and its size
-    firsts = brief.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # only payloads that occur more than once, written so that the joins below see a plain table and its size
+    firsts = brief.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
     firsts = written(firsts, "warc-firsts")
+    # a payload that many pages have does not meet its first page by a shuffle, which would bring all of them to one task
+    most = firsts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.broadcast(firsts.where(F.col("n") * HOT >= most).select("digest", F.lit(True).alias("hot"), F.col("first_id").alias("hot_id")))
+    rest = firsts.where(F.col("n") * HOT < most).select(F.col("digest").alias("key"), "first_id")
+    # rows of hot payloads keep apart: their keys match nothing
+    key = F.when(F.col("hot"), F.concat_ws("-", F.lit(""), F.xxhash64("page_id", "url"))).otherwise(F.col("digest"))
+    joined = rows.join(hot, "digest", "left").withColumn("key", key).join(rest, "key", "left").withColumn("first_id", F.when(F.col("hot"), F.col("hot_id")).otherwise(F.col("first_id")))
     later = F.col("first_id").isNotNull() & F.coalesce(F.col("page_id") != F.col("first_id"), F.lit(True))
-    return rows.join(firsts, "digest", "left").select(
-        "page_id", "url", "payload", "digest", F.when(later, "revisit").otherwise("response").alias("record_type"), F.when(later, F.col("first_id")).alias("refers_to")
-    )
+    return joined.select("page_id", "url", "payload", "digest", F.when(later, "revisit").otherwise("response").alias("record_type"), F.when(later, F.col("first_id")).alias("refers_to"))
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, record_type: str, refers_to: int | None) -> bytes:
@@ -154,7 +161,7 @@ def coalesced(ranges: list[tuple[int, int]], gap: int = GAP, most: int = READ_BY
 def read(index: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
     """The records that the index rows select, a file per group: at most FILE_RECORDS rows and READ_BYTES at a time.
 
-    Files are spread over as many tasks as the selected records' bytes ask for (TASK_BYTES each), however few bytes their index rows have.
+    Files, of FILE_BYTES or one record more each, are spread over as many tasks as there are files, TASKS at most, however few bytes their index rows have.
     """
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["payload"] * payloads
 
@@ -172,8 +179,8 @@ def read(index: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
         return out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
-    tasks = index.agg(F.ceil(F.coalesce(F.sum("length"), F.lit(0)) / TASK_BYTES)).first()[0]
-    return index.select("file", "offset", "length").repartition(max(1, tasks), "file").groupBy("file").applyInPandas(read_file, schema)
+    files = index.agg(F.count_distinct("file")).first()[0]
+    return index.select("file", "offset", "length").repartition(max(1, min(TASKS, files)), "file").groupBy("file").applyInPandas(read_file, schema)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
