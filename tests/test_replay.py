@@ -126,3 +126,17 @@ def test_sources_states_meta_and_faults(spark):
         [],
         ["number of offsets", "first offset", "end of w"],
     ]
+
+
+def test_timeline_clocks_and_sounds(spark):
+    h = lambda entity, serial: (serial << 14) | entity
+    writes = spark.createDataFrame([("a", 5, 1, 7, h(3, 2)), ("a", 6, 2, 7, h(3, 2)), ("a", 7, 3, 7, h(3, 4)), ("a", 9, 4, 7, None), ("a", 12, 5, 7, h(3, 2))], "log string, tick long, seq long, steamid long, handle long")
+    lives = spark.createDataFrame([("a", 3, 2, "knife", 1, 1), ("a", 3, 2, None, 10, 1), ("b", 3, 4, "other", 1, 1)], "log string, entity int, serial long, class string, tick long, seq long")
+    assert [(r["tick"], r["class"]) for r in replay.weapon_timeline(writes, lives, ["log"]).orderBy("tick").collect()] == [(5, "knife"), (7, None), (9, None), (12, None)]
+    clips = spark.createDataFrame([(1, "a", 0, 9)], "clip_id long, log string, start long, end long")
+    ticks = spark.createDataFrame([("a", 1, 2.0), ("a", 1, 2.0), ("a", 2, 2.0), ("a", 2, 3.0), ("a", 3, float("inf")), ("a", 4, None), ("a", 12, 1.0)], "log string, tick long, game_time double")
+    assert sorted((r["tick"], r["game_time"], r["conflict"]) for r in replay.clocks(ticks, clips, ["log"], 4).collect()) == [(1, 2.0, False), (2, None, True)]
+    shakes = spark.createDataFrame([(1, 1, 1, 1, True, 2.0), (1, 1, 1, 2, True, 3.0), (1, 1, 2, 3, True, 3.0), (1, 1, 3, 4, False, 3.0), (1, 1, 4, 5, True, float("nan")), (1, 2, 1, 6, False, 1.0)], "clip_id long, life_id long, tick long, seq long, present boolean, last_shake double")
+    assert sorted((r["life_id"], r["tick"], r["last_shake"]) for r in replay.shake_states(shakes).collect()) == [(1, 1, 3.0), (1, 3, None), (2, 1, None)]
+    sounds = spark.createDataFrame([("a", 1, 30, 0), ("a", 2, 10, 1), ("a", 3, 10, 1), ("a", 11, 0, 0)], "log string, tick long, frame_offset long, message_index long")
+    assert sorted((r["tick"], r["place"] > 1, r["repeated"]) for r in replay.audio_records(sounds, clips, ["log"], 4).collect()) == [(1, True, False), (2, False, True), (3, False, True)]

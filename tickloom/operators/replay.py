@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .asof import asof_join
 from .clips import in_clips
 from .windows import changes_only, ordered
 
@@ -247,3 +248,36 @@ def array_faults(df: DataFrame, dense: Sequence[str] = (), size: Column | None =
             *[(F.coalesce(F.get(offsets, F.size(offsets) - 1) != F.size(c), F.lit(True)), f"end of {c}") for c in inner],
         ]
     return df.withColumn("faults", F.filter(F.array(*[F.when(bad, F.lit(text)) for bad, text in checks]), lambda x: x.isNotNull()))
+
+
+def weapon_timeline(writes: DataFrame, lifecycle: DataFrame, by: Sequence[str], player: str = "steamid", handle: str = "handle", on: str = "tick", seq: str = "seq") -> DataFrame:
+    """Changes of the weapon that each player holds, with its class as of then.
+
+    lifecycle: by, entity, serial, class (null: deleted), on, seq. A handle is the entity in its lower 14 bits and the serial above; it names
+    a weapon only if the entity's last life before or at the change has that serial and was not deleted.
+    """
+    changed = changes_only(writes, [*by, player], [on, seq], [handle]).withColumn("__entity", F.col(handle).bitwiseAND(NO_HANDLE))
+    right = lifecycle.select(*by, F.col("entity").cast("long").alias("__entity"), on, seq, F.col("serial").alias("serial"), F.col("class").alias("class"))
+    found = asof_join(changed.withColumn("__entity", F.col("__entity").cast("long")), right, [*by, "__entity"], on, ["serial", "class"], tie=seq, prefix="__")
+    same = F.shiftright(F.col(handle).cast("long"), 14) == F.col("__serial")
+    return found.withColumn("class", F.when(same, F.col("__class"))).drop("__entity", "__serial", "__class")
+
+
+def clocks(ticks: DataFrame, clips: DataFrame, by: Sequence[str], width: int, time: str = "game_time", on: str = "tick") -> DataFrame:
+    """clip_id, tick, time, conflict: the game's clock at each tick of each clip whose rows have a finite one; null and a conflict where rows differ."""
+    seen = in_clips(ticks.where(F.abs(F.col(time)) < float("inf")), clips, by, on, width).groupBy("clip_id", on).agg(F.min(time).alias("__a"), F.max(time).alias("__b"))
+    return seen.select("clip_id", on, F.when(F.col("__a") == F.col("__b"), F.col("__a")).alias(time), (F.col("__a") != F.col("__b")).alias("conflict"))
+
+
+def shake_states(lives: DataFrame, value: str = "last_shake", order: Sequence[str] = ("tick", "seq"), on: str = "tick") -> DataFrame:
+    """clip_id, life_id, tick, value of weapon_lives at which it changes: the last row of a tick counts; gone weapons and values that are not finite have none (null)."""
+    last = F.max_by(F.when(F.col("present") & (F.abs(F.col(value)) < float("inf")), F.col(value)), F.struct(*order)).alias(value)
+    return changes_only(lives.groupBy("clip_id", "life_id", on).agg(last), ["clip_id", "life_id"], [on], [value])
+
+
+def audio_records(events: DataFrame, clips: DataFrame, by: Sequence[str], width: int, order: Sequence[str] = ("frame_offset", "message_index"), on: str = "tick") -> DataFrame:
+    """Sounds of each clip with their place in it (from 0) by the order in which the log holds them; repeated: another sound has the same key."""
+    rows = in_clips(events, clips, by, on, width)
+    w = ordered(["clip_id"], order)
+    twice = F.count("*").over(Window.partitionBy("clip_id", *order)) > 1
+    return rows.withColumns({"place": F.row_number().over(w) - 1, "repeated": twice})

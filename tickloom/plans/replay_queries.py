@@ -211,3 +211,50 @@ def array_faults(spark, sf):
     torn = arrays.withColumns({"value": F.when(s == 0, F.slice("value", 2, 1_000_000)).otherwise(F.col("value")), "offsets": F.when(s == 1, F.transform("offsets", lambda x, i: F.when(i > 0, x + 1).otherwise(x))).otherwise(F.col("offsets"))})
     got = replay.array_faults(torn, ["value"], F.size("seq"), "offsets", ["a", "b"])
     return got.select("steamid", F.array_join("faults", ",").alias("faults"))
+
+
+@query(
+    """, h AS (SELECT seq, tick, steamid, k % 6 + (k % 3) * 16384 AS handle FROM lane WHERE name <> 'signup'),
+    w AS (SELECT * FROM h QUALIFY handle IS DISTINCT FROM lag(handle) OVER (PARTITION BY steamid ORDER BY tick, seq)),
+    y AS (SELECT k % 6 AS entity, tick, seq, seq % 3 AS serial, CASE WHEN k % 5 > 0 THEN 'class' || (k % 4) END AS class FROM lane WHERE name = 'signup')
+    SELECT w.seq, w.handle, CASE WHEN w.handle // 16384 = y.serial THEN y.class END AS class FROM w ASOF LEFT JOIN y ON w.handle % 16384 = y.entity AND (w.tick, w.seq) >= (y.tick, y.seq) -- lane"""
+)
+def weapon_timeline(spark, sf):
+    df = lane(spark, sf).withColumn("log", F.lit(0))
+    k = F.col("k")
+    writes = df.where("name <> 'signup'").select("log", "seq", "tick", "steamid", (k % 6 + (k % 3) * 16384).alias("handle"))
+    lifecycle = df.where("name = 'signup'").select("log", (k % 6).alias("entity"), "tick", "seq", (F.col("seq") % 3).alias("serial"), F.when(k % 5 > 0, F.concat(F.lit("class"), k % 4)).alias("class"))
+    return replay.weapon_timeline(writes, lifecycle, LOG).select("seq", "handle", "class")
+
+
+@query(
+    LOGS
+    + """, m AS (SELECT clip_id, tick // 10 AS tick, min(k % 2) AS a, max(k % 2) AS b FROM c JOIN l ON c.log = l.log AND tick // 10 BETWEEN start // 10 AND "end" // 10 WHERE k % 9 > 0 GROUP BY ALL)
+    SELECT clip_id, tick, (CASE WHEN a = b THEN a END)::DOUBLE AS game_time, a <> b AS conflict FROM m -- lane"""
+)
+def clip_clocks(spark, sf):
+    df, clips, _ = logs(spark, sf)
+    ten = lambda c: F.floor(F.col(c) / 10)
+    ticks = df.withColumns({"tick": ten("tick"), "game_time": F.when(F.col("k") % 9 > 0, (F.col("k") % 2).cast("double")).otherwise(float("nan"))})
+    return replay.clocks(ticks, clips.withColumns({"start": ten("start"), "end": ten("end")}), LOG, WIDTH // 10).select("clip_id", "tick", "game_time", "conflict")
+
+
+@query(
+    LONGER
+    + SNAPSHOTS
+    + """, t AS (SELECT clip_id, life_id, tick, arg_max(coalesce(CASE WHEN present THEN x END, -1), seq) AS v FROM lives GROUP BY ALL)
+    SELECT clip_id, life_id, tick, CASE WHEN v >= 0 THEN v END AS x FROM t QUALIFY v IS DISTINCT FROM lag(v) OVER (PARTITION BY clip_id, life_id ORDER BY tick) -- lane"""
+)
+def shake_states(spark, sf):
+    return replay.shake_states(lives_of(spark, sf)[0], "x").select("clip_id", "life_id", "tick", "x")
+
+
+@query(
+    LOGS
+    + """SELECT clip_id, seq, row_number() OVER (PARTITION BY clip_id ORDER BY k % 10, seq // 2, seq) - 1 AS place, count(*) OVER (PARTITION BY clip_id, k % 10, seq // 2, seq) > 1 AS repeated
+    FROM c JOIN l ON c.log = l.log AND tick BETWEEN start AND "end" -- lane"""
+)
+def audio_records(spark, sf):
+    df, clips, _ = logs(spark, sf)
+    sounds = df.withColumns({"frame_offset": F.col("k") % 10, "message_index": F.floor(F.col("seq") / 2)})
+    return replay.audio_records(sounds, clips, LOG, WIDTH, ["frame_offset", "message_index", "seq"]).select("clip_id", "seq", "place", "repeated")
