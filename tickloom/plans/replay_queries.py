@@ -191,7 +191,7 @@ def player_states(spark, sf):
 @query(
     LOGS
     + """, g AS (SELECT log, count(*) AS players, min_by(CASE WHEN steamid % 4 = 0 THEN 'T' WHEN steamid % 4 = 1 THEN 'CT' WHEN steamid % 3 = 0 THEN 'CT' ELSE '?' END, steamid) AS first_team FROM p GROUP BY log)
-    SELECT clip_id, coalesce(p.index, 255) AS killer_index, CASE WHEN clip_id % 3 = 0 THEN -1 ELSE clip_id % 3 END AS padding, players, first_team FROM clips LEFT JOIN p ON p.log = clips.steamid // 3 AND p.steamid = clips.steamid JOIN g ON g.log = clips.steamid // 3 -- lane"""
+    SELECT clip_id, coalesce(p.index, 255) AS killer_index, CASE WHEN clip_id % 3 = 0 THEN -1 ELSE clip_id % 3 END AS padding, coalesce(players, 0) AS players, first_team FROM clips LEFT JOIN p ON p.log = clips.steamid // 3 AND p.steamid = clips.steamid LEFT JOIN g ON g.log = clips.steamid // 3 -- lane"""
 )
 def clip_meta(spark, sf):
     df, _, players = logs(spark, sf)
@@ -200,7 +200,7 @@ def clip_meta(spark, sf):
     clips = clips_of(spark, sf).withColumns({"log": F.floor(s / 3), "padding": F.col("clip_id") % 3})
     meta = F.from_json("meta", "killer_index long, padding long, players array<struct<team string>>").alias("m")
     got = replay.clip_meta(clips, told, LOG, "steamid", ["clip_id", "start", "end"], "padding").select("clip_id", meta)
-    return got.select("clip_id", "m.killer_index", "m.padding", F.size("m.players").cast("long").alias("players"), F.col("m.players")[0]["team"].alias("first_team"))
+    return got.select("clip_id", "m.killer_index", "m.padding", F.size("m.players").cast("long").alias("players"), F.get("m.players", F.lit(0))["team"].alias("first_team"))
 
 
 @query("SELECT steamid, CASE WHEN steamid % 3 = 0 THEN 'size of value' WHEN steamid % 3 = 1 THEN 'end of a,end of b' ELSE '' END AS faults FROM lane GROUP BY ALL")
