@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from tickloom.operators import replay
+from tickloom.operators import windows as win
 
 
 def test_numbers_and_indexes(spark):
@@ -140,3 +141,11 @@ def test_timeline_clocks_and_sounds(spark):
     assert sorted((r["life_id"], r["tick"], r["last_shake"]) for r in replay.shake_states(shakes).collect()) == [(1, 1, 3.0), (1, 3, None), (2, 1, None)]
     sounds = spark.createDataFrame([("a", 1, 30, 0), ("a", 2, 10, 1), ("a", 3, 10, 1), ("a", 11, 0, 0)], "log string, tick long, frame_offset long, message_index long")
     assert sorted((r["tick"], r["place"] > 1, r["repeated"]) for r in replay.audio_records(sounds, clips, ["log"], 4).collect()) == [(1, True, False), (2, False, True), (3, False, True)]
+
+
+def test_velocity_counts_ticks_that_are_not_asked_for(spark):
+    df = spark.createDataFrame([(t, 7, float(x), ok) for t, x, ok in ((1, 0, True), (2, 1, True), (3, 99, None), (4, 3, True), (5, 99, False), (6, 7, True))], "tick long, steamid long, x double, ok boolean")
+    ticks = spark.createDataFrame([(2,), (5,), (6,), (6,)], "tick long")
+    got = win.velocity_history(df, ["steamid"], ["tick"], {"vx": "x"}, ticks, F.col("ok")).orderBy("tick").collect()
+    # the rows before 6 are those of 4 and 2
+    assert [(r["tick"], r["vx"]) for r in got] == [(2, None), (6, 128.0)]

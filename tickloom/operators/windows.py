@@ -25,6 +25,12 @@ def velocity(df: DataFrame, keys: Sequence[str], order: Sequence[str], axes: dic
     return df.withColumns(step)
 
 
+def velocity_history(df: DataFrame, keys: Sequence[str], order: Sequence[str], axes: dict[str, str], ticks: DataFrame, ok: Column | None = None, on: str = "tick") -> DataFrame:
+    """velocity() of the rows at the ticks of a frame, as all rows tell it: rows of other ticks count as rows before, those that are not ok (null too) do not and go."""
+    every = df if ok is None else df.where(ok)
+    return velocity(every, keys, order, axes).join(ticks.select(on).distinct(), on, "left_semi").select(*df.columns, *axes)
+
+
 def speed(df: DataFrame, x: str, y: str, name: str = "velocity") -> DataFrame:
     return df.withColumn(name, F.sqrt(F.col(x) * F.col(x) + F.col(y) * F.col(y)))
 

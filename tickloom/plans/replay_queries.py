@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import replay
+from ..operators import windows as win
 from ..sources import sinks
 from .clip_queries import CLIPS, WIDTH, clips_of
 from .queries import lane, query
@@ -258,3 +259,13 @@ def audio_records(spark, sf):
     df, clips, _ = logs(spark, sf)
     sounds = df.withColumns({"frame_offset": F.col("k") % 10, "message_index": F.floor(F.col("seq") / 2)})
     return replay.audio_records(sounds, clips, LOG, WIDTH, ["frame_offset", "message_index", "seq"]).select("clip_id", "seq", "place", "repeated")
+
+
+@query(
+    """, v AS (SELECT tick, seq, round(CAST(64 * (lag(v, 1) OVER w - lag(v, 2) OVER w) AS DOUBLE), 2) AS vx FROM (SELECT *, round(value * 4) / 4 AS v FROM lane WHERE k % 8 > 0) WINDOW w AS (PARTITION BY steamid ORDER BY tick, seq))
+    SELECT seq, vx FROM v WHERE tick IN (SELECT tick FROM lane WHERE k % 3 = 0) -- lane"""
+)
+def velocity_history(spark, sf):
+    df = lane(spark, sf).withColumn("v", F.round(F.col("value") * 4) / 4)
+    got = win.velocity_history(df, ["steamid"], ["tick", "seq"], {"vx": "v"}, df.where("k % 3 = 0").select("tick"), F.col("k") % 8 > 0)
+    return got.select("seq", F.round(F.col("vx").cast("double"), 2).alias("vx"))
