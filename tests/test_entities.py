@@ -50,5 +50,5 @@ def test_round_events(spark):
 
 
 def test_purchases(spark):
-    df = spark.createDataFrame([("f", 1, 0, 1, 1, "def", "7"), ("f", 1, 0, 1, 2, "cost", "2700"), ("f", 1, 0, 1, 3, "handle", "55"), ("f", 1, 0, 9, 4, "count", "0")], "file string, steamid long, slot int, tick int, seq long, prop string, value string")
+    df = spark.createDataFrame([("f", 1, 0, 1, 1, "def", "7"), ("f", 1, 0, 1, 2, "cost", "2700"), ("f", 1, 0, 1, 2, "health", "90"), ("f", 1, 0, 1, 3, "handle", "55"), ("f", 1, 0, 9, 4, "count", "0")], "file string, steamid long, slot int, tick int, seq long, prop string, value string")
     assert rows(derived.purchases(df).select("tick", "name", "def_index", "cost", "handle"), "tick") == [(1, "item_purchase", 7, 2700, 55), (9, "item_sold", None, None, None)]

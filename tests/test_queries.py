@@ -11,7 +11,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tickloom.operators import entities
-from tickloom.plans import clip_queries, replay_queries, report_queries, upkeep_queries  # noqa: F401  they register their queries
+from tickloom.plans import clip_queries, item_queries, replay_queries, report_queries, upkeep_queries  # noqa: F401  they register their queries
 from tickloom.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"

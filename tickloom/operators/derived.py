@@ -124,10 +124,13 @@ def rank_updates(events: DataFrame) -> DataFrame:
 
 
 def purchases(changes: DataFrame, keys: Sequence[str] = ("file", "steamid", "slot"), order: Sequence[str] = ("tick", "seq")) -> DataFrame:
-    """item_purchase and item_sold: a definition, its cost and (unless it is none) its handle follow one another; a count that falls to 0 is a sale."""
+    """item_purchase and item_sold: a definition, its cost and (unless it is none) its handle follow one another; a count that falls to 0 is a sale.
+
+    Changes of other props may stand between them; they are left out before the shuffle.
+    """
     w = Window.partitionBy(*keys).orderBy(*order)
     nxt = lambda c, k: F.lead(c, k).over(w)
-    rows = changes.withColumns({"__p1": nxt("prop", 1), "__p2": nxt("prop", 2), "__v1": nxt("value", 1), "__v2": nxt("value", 2)})
+    rows = changes.where(F.col("prop").isin(*SLOT)).withColumns({"__p1": nxt("prop", 1), "__p2": nxt("prop", 2), "__v1": nxt("value", 1), "__v2": nxt("value", 2)})
     buy = (F.col("prop") == "def") & (F.col("__p1") == "cost")
     sold = (F.col("prop") == "count") & (F.col("value").try_cast("int") == 0)
     return rows.where(buy | sold).select(
