@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import cosmetics, derived
+from ..operators import cosmetics, derived, folds
 from ..sources import sinks
 from .clip_queries import CHANGES, changes_of
 from .queries import lane, query, table
@@ -120,3 +120,25 @@ def sparse_arrays(spark, sf):
     """The rows of a sparse lane per user and day as parallel arrays."""
     rows = lane(spark, sf).where("name = 'click'").select("steamid", F.floor(F.col("tick") / 5529600).cast("long").alias("day"), "seq", F.coalesce("k", F.lit(-1)).alias("k"))
     return sinks.csr(rows, ["steamid", "day"], "seq", ["k"]).select("steamid", "day", "n", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("seq", "k")])
+
+
+# poses
+@query(
+    """, c AS (SELECT steamid AS life, tick // 60000000 AS t, seq, k, name FROM lane WHERE name IN ('view', 'click', 'error')),
+    w AS (SELECT life, t, seq, k % 8 AS place, seq % 256 AS byte FROM c WHERE name = 'view'),
+    s AS (SELECT life, t, arg_max(k, seq) FILTER (name = 'error') AS v, arg_max(seq, seq) FILTER (name = 'click') AS top FROM c GROUP BY ALL),
+    e AS (SELECT life, t, last_value(v IGNORE NULLS) OVER o AS recipe_version, last_value(top IGNORE NULLS) OVER o AS top FROM s WINDOW o AS (PARTITION BY life ORDER BY t)),
+    b AS (SELECT e.life, e.t, place, arg_max(byte, (w.t, w.seq)) AS byte FROM e JOIN w ON w.life = e.life AND w.t <= e.t GROUP BY ALL),
+    d AS (SELECT life, t, max(place) AS far FROM b GROUP BY ALL),
+    h AS (SELECT d.life, d.t, string_agg(printf('%02X', coalesce(b.byte, 0)), '' ORDER BY p) AS dynamic FROM d JOIN range(8) r(p) ON p <= far LEFT JOIN b ON b.life = d.life AND b.t = d.t AND b.place = p GROUP BY ALL)
+    SELECT e.life, e.t AS tick, recipe_version, top::VARCHAR AS topology, dynamic FROM e JOIN h ON h.life = e.life AND h.t = e.t WHERE top IS NOT NULL -- lane"""
+)
+def pose_recipes(spark, sf):
+    """Bytes written one at a time, topologies whole, and a number, as they stand at the end of each tick. Rows of a tick go by seq."""
+    c, name = F.col, F.col("name")
+    rows = lane(spark, sf).where("name in ('view', 'click', 'error')")
+    changes = rows.select(
+        c("steamid").alias("life"), F.floor(c("tick") / 60_000_000).alias("tick"), "seq", F.when(name == "view", "dynamic").when(name == "click", "topology").otherwise("recipe_version").alias("field"),
+        F.lit(0).alias("slot"), F.when(name == "view", c("k") % 8).alias("place"), F.when(name == "view", c("seq") % 256).when(name == "error", c("k")).alias("number"), F.when(name == "click", c("seq").cast("string").cast("binary")).alias("payload"),
+    )
+    return folds.recipes(changes).select("life", "tick", "recipe_version", F.decode(F.col("topologies")[0], "UTF-8").alias("topology"), F.hex("dynamic").alias("dynamic"))
