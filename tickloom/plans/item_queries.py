@@ -141,4 +141,4 @@ def pose_recipes(spark, sf):
         c("steamid").alias("life"), F.floor(c("tick") / 60_000_000).alias("tick"), "seq", F.when(name == "view", "dynamic").when(name == "click", "topology").otherwise("recipe_version").alias("field"),
         F.lit(0).alias("slot"), F.when(name == "view", c("k") % 8).alias("place"), F.when(name == "view", c("seq") % 256).when(name == "error", c("k")).alias("number"), F.when(name == "click", c("seq").cast("string").cast("binary")).alias("payload"),
     )
-    return folds.recipes(changes).select("life", "tick", "recipe_version", F.decode(F.col("topologies")[0], "UTF-8").alias("topology"), F.hex("dynamic").alias("dynamic"))
+    return folds.recipes(changes).select("life", "tick", F.col("recipe_version").cast("int").alias("recipe_version"), F.decode(F.col("topologies")[0], "UTF-8").alias("topology"), F.hex("dynamic").alias("dynamic"))
