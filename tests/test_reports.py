@@ -103,3 +103,10 @@ def test_roster_without_a_list(spark):
     infos = spark.createDataFrame([(7, "z", 3)], "steamid long, name string, team_num int")
     assert entities.roster(infos, players).collect() == [(7, "z", 3)]
     assert entities.roster(infos.limit(0), players).collect() == [(1, "b", 2)]
+
+
+def test_presses_of_one_tick_all_count(spark):
+    rows = [(1, 1, 3, True), (1, 1, 1, True), (1, 1, 2, False), (1, 2, 5, False), (1, 2, 4, True), (1, None, 0, True), (1, 3, 6, True)]
+    inputs = spark.createDataFrame(rows, "pawn int, tick int, seq int, fire boolean")
+    got = reports.press_edges(inputs, ["pawn"], F.col("fire"), ["tick", "seq"], every=True)
+    assert sorted(r["tick"] for r in got.collect()) == [1, 1, 3]

@@ -113,11 +113,15 @@ def ragdoll_impacts(kills: DataFrame, ticks: DataFrame, by: Sequence[str], victi
     return kills.join(found, F.col(kill) == F.col("clip_id")).select(*kills.columns, *[F.col(f"__v.{v}").alias(v) for v in values])
 
 
-def press_edges(inputs: DataFrame, by: Sequence[str], pressed: Column, order: Sequence[str] = ("tick",)) -> DataFrame:
-    """by and tick of the rows at which a button goes down: pressed now, not in the row before."""
-    w = Window.partitionBy(*by).orderBy(*order)
+def press_edges(inputs: DataFrame, by: Sequence[str], pressed: Column, order: Sequence[str] = ("tick",), every: bool = False) -> DataFrame:
+    """by and tick at which a button goes down: pressed now, not in the row before. Rows without a tick come last.
+
+    every: each such row, also where a tick has several; else each tick once. order must tell rows of one tick apart where there are several.
+    """
+    w = Window.partitionBy(*by).orderBy(*[F.col(c).asc_nulls_last() for c in order])
     rows = inputs.withColumn("__now", F.coalesce(pressed, F.lit(False))).withColumn("__before", F.coalesce(F.lag("__now").over(w), F.lit(False)))
-    return rows.where("__now AND NOT __before").select(*by, order[0]).distinct()
+    edges = rows.where("__now AND NOT __before").select(*by, order[0])
+    return edges if every else edges.distinct()
 
 
 def player_index(df: DataFrame, players: DataFrame, by: Sequence[str], key: str, name: str, index: str, default: int) -> DataFrame:
