@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tickloom.functions import scalars as sc
 from tickloom.operators import asof, joins, kills
 from tickloom.operators import windows as win
-from tickloom.plans import catalog
+from tickloom.plans import catalog, queries
 from tickloom.query import LogQuery
 from tickloom.session import Engine
 
@@ -214,3 +214,19 @@ def test_catalog_updates(spark):
     assert rows(catalog.filled_where_null(df, new, ["n"], ["size"]), "n") == [(1, "a", 7), (2, "b", 5)]
     assert rows(catalog.tick_data_enabled(df, new.where("n = 2"), ["n"]).select("n", "tick_data"), "n") == [(1, 0), (2, 1)]
     assert catalog.migrated(df, {"size": "long", "path": "string"}).columns == ["size", "path", "n", "tag"]
+
+
+def test_gaps_go_on_over_parts(spark):
+    """The gaps of a whole group, also those between its parts, and of a group whose first part has one row."""
+    rows = [("a", t, float(t)) for t in (3, 4, 9, 30, 31)] + [("b", 5, 0.0), ("b", 25, None), (None, 1, 1.0), (None, 11, 4.0)]
+    df = spark.createDataFrame(rows, "k string, t long, x double").withColumns({"y": F.lit(0.0), "z": F.lit(0.0)})
+    got = {r["k"]: (r["ticks_between"], r["n"]) for r in kills.gaps_text(df, ["k"], "t", ["x", "y", "z"], width=4).collect()}
+    assert got == {"a": ("1;5;21;1", 4), "b": ("20", 0), None: ("10", 1)}
+    assert kills.gaps_text(df.where("k = 'a'"), ["k"], "t", ["x", "y", "z"], width=4).first()["move_between"] == "1.000000;5.000000;21.000000;1.000000"
+
+
+def test_collection_gaps_are_a_labels(spark):
+    """One row per label, with one gap less than vectors."""
+    got = queries.QUERIES["collection_gaps"](spark, "/root/testdata/sf0.001")
+    labels = queries.points(spark, "/root/testdata/sf0.001").groupBy("label").count()
+    assert sorted((r["label"], r["n"] + 1) for r in got.collect()) == sorted(map(tuple, labels.collect()))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,17 +90,28 @@ def path_length(df: DataFrame, keys: Sequence[str], order: Sequence[str], xyz: S
     return df.withColumn("__step", step).groupBy(*keys).agg(F.coalesce(F.sum("__step"), F.lit(0.0)).alias("path_length"))
 
 
-def gaps_text(df: DataFrame, keys: Sequence[str], tick: str, xyz: Sequence[str]) -> DataFrame:
-    """ticks_between and move_between inside a group, joined by semicolons in order."""
-    w = Window.partitionBy(*keys).orderBy(tick)
-    rows = df.withColumn("__t", F.col(tick) - F.lag(tick).over(w)).withColumn("__m", distance3d(*[F.col(c) for c in xyz], *[F.lag(c).over(w) for c in xyz]))
-    each = F.sort_array(F.collect_list(F.struct(tick, "__t", "__m")))
-    listed = rows.groupBy(*keys).agg(each.alias("__l")).withColumn("__l", F.expr("slice(__l, 2, greatest(0, size(__l) - 1))"))
-    return listed.select(
-        *keys,
-        F.array_join(F.transform("__l", lambda x: x["__t"].cast("string")), ";").alias("ticks_between"),
-        F.array_join(F.transform("__l", lambda x: F.format_string("%.6f", x["__m"].cast("double"))), ";").alias("move_between"),
-    )
+def gaps_text(df: DataFrame, keys: Sequence[str], tick: str, xyz: Sequence[str], width: int = 4096) -> DataFrame:
+    """ticks_between and move_between inside a group, joined by semicolons in order, and n, the gaps whose distance is known.
+
+    Gaps are found in parts of `width` ticks, whose first row looks back to the last row of the part before; no task sorts or lists a whole
+    group, only its parts' texts meet in its one row.
+    """
+    key = [*keys, "__part"]
+    rows = df.select(*keys, tick, *xyz, F.floor(F.col(tick) / width).alias("__part"))
+    last = rows.groupBy(*key).agg(F.max_by(F.struct(tick, *xyz), tick).alias("__last"))
+    before = last.select(*key, F.lag("__last").over(Window.partitionBy(*keys).orderBy("__part")).alias("__before"))
+    same = reduce(lambda a, b: a & b, [F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}")) for c in key])
+    rows = rows.alias("r").join(before.alias("b"), same, "left").select("r.*", "b.__before")
+    w = Window.partitionBy(*key).orderBy(tick)
+    rows = rows.withColumn("__old", F.when(F.row_number().over(w) == 1, F.col("__before")).otherwise(F.lag(F.struct(tick, *xyz)).over(w)))
+    moved = distance3d(*[F.col(c) for c in xyz], *[F.col(f"__old.{c}") for c in xyz]).cast("double")
+    gap = F.when(F.col("__old").isNotNull(), F.struct(tick, (F.col(tick) - F.col(f"__old.{tick}")).cast("string").alias("__t"), F.format_string("%.6f", moved).alias("__m")))
+    parts = rows.select(*key, gap.alias("__gap"), moved.isNotNull().alias("__known")).groupBy(*key).agg(F.sort_array(F.collect_list("__gap")).alias("__l"), F.count_if("__known").alias("__n"))
+    joined = lambda of, x: F.array_join(F.transform(of, lambda r: r[x]), ";")
+    # a part whose only row is the group's first has no text
+    text = F.when(F.size("__l") > 0, F.struct("__part", joined("__l", "__t").alias("__t"), joined("__l", "__m").alias("__m")))
+    listed = parts.select(*keys, text.alias("__text"), "__n").groupBy(*keys).agg(F.sort_array(F.collect_list("__text")).alias("__l"), F.sum("__n").alias("n"))
+    return listed.select(*keys, joined("__l", "__t").alias("ticks_between"), joined("__l", "__m").alias("move_between"), "n")
 
 
 def weapon_rates(shots: DataFrame, weapon: str = "weapon") -> DataFrame:

@@ -613,13 +613,12 @@ def weapon_hits(spark, sf):
 
 
 @query(
-    """, d AS (SELECT label, vec_id // 64 AS part, vec_id, vec_id - lag(vec_id) OVER w AS t, sqrt((x-lag(x) OVER w)**2+(y-lag(y) OVER w)**2+(z-lag(z) OVER w)**2) AS m FROM p WINDOW w AS (PARTITION BY label, vec_id // 64 ORDER BY vec_id))
-    SELECT label, part, coalesce(string_agg(CAST(t AS VARCHAR), ';' ORDER BY vec_id), '') AS ticks_between, count(m) AS n FROM d GROUP BY label, part""".join([POINTS.rstrip(), ""])
+    """, d AS (SELECT label, vec_id, vec_id - lag(vec_id) OVER w AS t, sqrt((x-lag(x) OVER w)**2+(y-lag(y) OVER w)**2+(z-lag(z) OVER w)**2) AS m FROM p WINDOW w AS (PARTITION BY label ORDER BY vec_id))
+    SELECT label, coalesce(string_agg(CAST(t AS VARCHAR), ';' ORDER BY vec_id), '') AS ticks_between, count(m) AS n FROM d GROUP BY label""".join([POINTS.rstrip(), ""])
 )
 def collection_gaps(spark, sf):
-    """Up to 64 vectors of a label stand for a collection."""
-    got = kills.gaps_text(points(spark, sf).withColumn("part", F.floor(F.col("vec_id") / 64).cast("long")), ["label", "part"], "vec_id", ["x", "y", "z"])
-    return got.select("label", "part", "ticks_between", F.size(F.filter(F.split("move_between", ";"), lambda x: x != "")).cast("long").alias("n"))
+    """A label's vectors stand for a collection."""
+    return kills.gaps_text(points(spark, sf), ["label"], "vec_id", ["x", "y", "z"]).select("label", "ticks_between", "n")
 
 
 @query(
