@@ -3,10 +3,13 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tickloom.operators import replay
 from tickloom.operators import windows as win
+from tickloom.plans import replay_queries  # noqa: F401  it registers its queries
+from tickloom.plans.queries import QUERIES
 
 
 def test_numbers_and_indexes(spark):
@@ -82,6 +85,28 @@ def test_lives_and_inventories(spark):
     ]
 
 
+def test_clips_of_one_id_are_disjoint(spark):
+    clips = spark.createDataFrame([(1, "a", 0, 9), (1, "a", 0, 9), (1, "a", 5, 12), (1, "a", 6, 7), (1, "b", 5, 12), (1, "a", 20, 21), (2, "a", 5, 4)], "clip_id long, log string, start long, end long")
+    got = replay.disjoint(clips, ["log"]).select("clip_id", "log", "start", "end")
+    assert sorted(map(tuple, got.collect())) == [(1, "a", 0, 9), (1, "a", 10, 12), (1, "a", 20, 21), (1, "b", 5, 12)]
+    shots = spark.createDataFrame([("a", 6, 1, 9, 1), ("a", 6, 1, 9, 1), ("a", 11, 2, 4, 1), ("a", 6, 0, 4, 1)], "log string, tick long, seq long, entity int, serial int")
+    lives = replay.weapon_lives(shots, clips, ["log"], 8)
+    assert sorted((r["clip_id"], r["tick"], r["seq"], r["life_id"]) for r in lives.collect()) == [(1, 6, 0, 1), (1, 6, 1, 2), (1, 11, 2, 1)]
+
+
+@pytest.mark.parametrize("name", ["shake_states", "world_weapon_deltas"])
+def test_pairs_of_clip_and_snapshot_are_sent_once(spark, name):
+    """From the join with the clips on there is one exchange, by clip, even where no side of a join is broadcast."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        planned = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    above = planned[: planned.index("__start")]
+    assert above.count("Exchange ") == 1 and "Join" not in above.rsplit("\n", 1)[0]
+
+
 def test_entities_stand_once(spark):
     rows = [(1, "spawn", 1.0, False), (2, "spawn", 1.01, False), (3, "delete", 1.0, True), (4, "spawn", 1.0, False), (5, "update", 1.0, False), (6, "delete", 1.0, False), (7, "spawn", 1.0, None), (8, "spawn", None, None), (9, "delete", 1.0, None), (12, "spawn", 1.0, None)]
     df = spark.createDataFrame([("a", t, t, "door", x, o, d) for t, o, x, d in rows], "log string, tick long, seq long, kind string, x double, operation string, dormant boolean")

@@ -141,12 +141,22 @@ def inputs(events: DataFrame, clips: DataFrame, players: DataFrame, by: Sequence
     return indexed(in_clips(rows.withColumns(whole), clips, by, on, width), players, by, {user: "player_index"})
 
 
+def disjoint(clips: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by, clip_id, start, end: clips that hold the same ticks, of which no two of one id and log overlap; those that end before they start go."""
+    w = ordered(["clip_id", *by], ["start", "end"]).rowsBetween(Window.unboundedPreceding, -1)
+    cut = clips.where(F.col("start") <= F.col("end")).select(*by, "clip_id", F.greatest("start", F.max("end").over(w) + 1).alias("start"), "end")
+    return cut.where(F.col("start") <= F.col("end"))
+
+
 def weapon_lives(snapshots: DataFrame, clips: DataFrame, by: Sequence[str], width: int, life: Sequence[str] = ("entity", "serial"), order: Sequence[str] = ("tick", "seq"), on: str = "tick", salts: int = 1) -> DataFrame:
-    """Snapshots in each clip, equal ones once, with life_id: the lives of a clip from 1 in the order in which they begin (tick, place, entity, serial)."""
-    rows = in_clips(snapshots, clips, by, on, width, salts).distinct()
-    first = rows.groupBy("clip_id", *life).agg(F.min(F.struct(*order)).alias("__first"))
-    ids = first.select("clip_id", *life, F.row_number().over(ordered(["clip_id"], ["__first", *life])).alias("life_id"))
-    return rows.join(ids, ["clip_id", *life])
+    """Snapshots in each clip, equal ones once, with life_id: the lives of a clip from 1 in the order in which they begin (tick, place, entity, serial).
+
+    Equal snapshots go before they meet the clips, whose ranges of one id are made disjoint; the pairs of clip and snapshot are then sent once, by clip.
+    """
+    rows = in_clips(snapshots.distinct(), disjoint(clips, by), by, on, width, salts).repartition("clip_id")
+    lives = ordered(["clip_id", *life], order)
+    rows = rows.withColumn("__first", F.first(F.struct(*order)).over(lives))
+    return rows.withColumn("life_id", F.dense_rank().over(ordered(["clip_id"], ["__first", *life]))).drop("__first")
 
 
 def unowned(owner: str = "owner", handle: str = "owner_handle") -> Column:
