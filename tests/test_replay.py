@@ -94,7 +94,7 @@ def test_clips_of_one_id_are_disjoint(spark):
     assert sorted((r["clip_id"], r["tick"], r["seq"], r["life_id"]) for r in lives.collect()) == [(1, 6, 0, 1), (1, 6, 1, 2), (1, 11, 2, 1)]
 
 
-@pytest.mark.parametrize("name", ["shake_states", "world_weapon_deltas"])
+@pytest.mark.parametrize("name", ["inventory_deltas", "shake_states", "world_weapon_deltas"])
 def test_pairs_of_clip_and_snapshot_are_sent_once(spark, name):
     """From the join with the clips on there is one exchange, by clip, even where no side of a join is broadcast."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")

@@ -173,11 +173,12 @@ INVENTORY = {"slot": 8, "clip": 16, "reserve": 16, "position": 16}
 def inventory_deltas(lives: DataFrame, players: DataFrame, by: Sequence[str], order: Sequence[str] = ("tick", "seq")) -> DataFrame:
     """Rows of weapon_lives (owner, owner_handle, active, present, and INVENTORY) at which what is owned changes, and the first of each life.
 
-    owner_index, flags: 1 owned, 2 active, 4 whether active is known, 8 in the world, 16 gone.
+    owner_index, flags: 1 owned, 2 active, 4 whether active is known, 8 in the world, 16 gone. Lives that have an owner_index keep it: snapshots
+    are fewer than their pairs with clips, so it is best looked up (indexed) in them.
     """
     flags = bits({1: F.col("owner").isNotNull(), 2: F.col("active"), 4: F.col("active").isNotNull(), 8: unowned(), 16: ~F.col("present")})
     fit = {c: F.when(F.col(c).between(-(1 << (n - 1)), (1 << (n - 1)) - 1), F.col(c)) for c, n in INVENTORY.items()}
-    rows = indexed(lives, players, by, {"owner": "owner_index"}).withColumns(fit | {"flags": flags})
+    rows = (lives if "owner_index" in lives.columns else indexed(lives, players, by, {"owner": "owner_index"})).withColumns(fit | {"flags": flags})
     return changes_only(rows, ["clip_id", "life_id"], order, ["owner_index", "flags", *INVENTORY])
 
 

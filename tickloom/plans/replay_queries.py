@@ -79,7 +79,7 @@ SNAPSHOTS = """, n AS (SELECT log, tick, seq, k % 3 AS entity, steamid % 2 AS se
 """
 
 
-def lives_of(spark, sf):
+def lives_of(spark, sf, owners=False):
     df, clips, players = logs(spark, sf)
     k = F.col("k")
     shots = df.select(
@@ -87,6 +87,7 @@ def lives_of(spark, sf):
         F.when(k % 4 > 0, k % 4 == 1).alias("active"), (F.col("name") != "view").alias("present"), (k * 2).alias("slot"), (k % 2).alias("clip"), F.lit(None).cast("int").alias("reserve"), F.lit(None).cast("int").alias("position"),
         F.when(k % 13 > 0, k % 3 + 0.5).alias("x"), F.lit(1.0).alias("y"), F.lit(2.0).alias("z"), (k % 2).alias("pvs_state"),
     )
+    shots = replay.indexed(shots, players, LOG, {"owner": "owner_index"}) if owners else shots
     # longer clips, so that lives have several rows
     return replay.weapon_lives(shots, clips.withColumn("end", F.col("end") + 10_000_000), LOG, 10_000_000), players
 
@@ -104,7 +105,7 @@ LONGER = LOGS.replace('SELECT clip_id, start, "end", steamid // 3 AS log', 'SELE
     QUALIFY row_number() OVER w = 1 OR (owner_index, flags, clip, coalesce(slot, -1)) IS DISTINCT FROM lag((owner_index, flags, clip, coalesce(slot, -1))) OVER w -- lane"""
 )
 def inventory_deltas(spark, sf):
-    lives, players = lives_of(spark, sf)
+    lives, players = lives_of(spark, sf, owners=True)
     return replay.inventory_deltas(lives, players, LOG).select("clip_id", "life_id", "seq", "owner_index", "flags", "slot", "clip")
 
 
