@@ -92,6 +92,7 @@ def test_clips_of_one_id_are_disjoint(spark):
     shots = spark.createDataFrame([("a", 6, 1, 9, 1), ("a", 6, 1, 9, 1), ("a", 11, 2, 4, 1), ("a", 6, 0, 4, 1)], "log string, tick long, seq long, entity int, serial int")
     lives = replay.weapon_lives(shots, clips, ["log"], 8)
     assert sorted((r["clip_id"], r["tick"], r["seq"], r["life_id"]) for r in lives.collect()) == [(1, 6, 0, 1), (1, 6, 1, 2), (1, 11, 2, 1)]
+    assert replay.weapon_lives(shots, clips, ["log"], 8, per_task=2).rdd.getNumPartitions() == 4  # more clips, more tasks
 
 
 @pytest.mark.parametrize("name", ["inventory_deltas", "shake_states", "world_weapon_deltas"])

@@ -148,12 +148,13 @@ def disjoint(clips: DataFrame, by: Sequence[str]) -> DataFrame:
     return cut.where(F.col("start") <= F.col("end"))
 
 
-def weapon_lives(snapshots: DataFrame, clips: DataFrame, by: Sequence[str], width: int, life: Sequence[str] = ("entity", "serial"), order: Sequence[str] = ("tick", "seq"), on: str = "tick", salts: int = 1) -> DataFrame:
+def weapon_lives(snapshots: DataFrame, clips: DataFrame, by: Sequence[str], width: int, life: Sequence[str] = ("entity", "serial"), order: Sequence[str] = ("tick", "seq"), on: str = "tick", salts: int = 1, per_task: int = 20_000) -> DataFrame:
     """Snapshots in each clip, equal ones once, with life_id: the lives of a clip from 1 in the order in which they begin (tick, place, entity, serial).
 
     Equal snapshots go before they meet the clips, whose ranges of one id are made disjoint; the pairs of clip and snapshot are then sent once, by clip.
+    A task gets about per_task clips: pairs take much less room in a shuffle than in a sort, so tasks made by shuffled bytes would spill.
     """
-    rows = in_clips(snapshots.distinct(), disjoint(clips, by), by, on, width, salts).repartition("clip_id")
+    rows = in_clips(snapshots.distinct(), disjoint(clips, by), by, on, width, salts).repartition(clips.count() // per_task + 1, "clip_id")
     lives = ordered(["clip_id", *life], order)
     rows = rows.withColumn("__first", F.first(F.struct(*order)).over(lives))
     return rows.withColumn("life_id", F.dense_rank().over(ordered(["clip_id"], ["__first", *life]))).drop("__first")
