@@ -438,6 +438,26 @@ def test_trees_leave_out_most_products(spread, share):
         assert best.ids[mine][np.lexsort((best.ids[mine], -best.score[mine]))].tolist() == want.tolist()
 
 
+def test_blocks_that_keep_everything_take_one_product(monkeypatch):
+    """Vectors of 64 dimensions in no clusters: hardly a bound leaves anything out, and a block then costs one product, not one per node and query."""
+    x = np.random.default_rng(5).integers(-30, 31, (2500, 64))
+    queries, home, other = topk_search.Tree.build(np.arange(0, 2500, 20), x[::20]), topk_search.Tree.build(np.arange(1200), x[:1200]), topk_search.Tree.build(np.arange(1200, 2500), x[1200:])
+    first = topk_search.Best(len(queries.ids), 20)
+    topk_search.dual_search(queries, home, first)
+    calls, plain = [], topk_search.products
+    monkeypatch.setattr(topk_search, "products", lambda a, b: calls.append(len(a)) or plain(a, b))
+    second = topk_search.Best(len(queries.ids), 20, first.kth)
+    made = topk_search.dual_search(queries, other, second)
+    assert len(calls) <= 2 and made <= 125 * 1300
+    for row, i in enumerate(queries.ids):
+        own = np.delete(np.arange(2500), i)
+        scores = (x[i] @ x[own].T).astype(np.int64)
+        want = own[np.lexsort((own, -scores))][:20]
+        found = np.concatenate((first.ids[first.query == row], second.ids[second.query == row]))
+        score = np.concatenate((first.score[first.query == row], second.score[second.query == row]))
+        assert found[np.lexsort((found, -score))][:20].tolist() == want.tolist()
+
+
 # 3 and 9 against plain versions
 def test_guess_cost_is_the_minimum_over_all_segmentations():
     """Every way to cut short random values into words, dates, repeats, walks and single characters, by brute force."""

@@ -16,7 +16,7 @@ candidate; other repeated rows are candidates each; a query with fewer candidate
 
 from __future__ import annotations
 
-import io
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +30,8 @@ from .common import bounded, written
 K, SCALE = 20, 64
 #: Rows of the sample that the centres come from, most centres, rows of a data block and of a query block, query blocks per search.
 SAMPLE, CENTRES, DATA_ROWS, QUERY_ROWS, TOGETHER = 2048, 256, 2048, 1024, 16
-#: Points up to which a node has no child nodes; each level's radius is so much smaller.
-LEAF, SHRINK = 64, 1.3
+#: Points up to which a node has no child nodes; each level's radius is so much smaller; points up to which a query node's are searched at once.
+LEAF, SHRINK, AT_ONCE = 64, 1.3, 256
 #: Leaves of a data tree that a query without scores meets first.
 SEEDS = 16
 LOW = np.iinfo(np.int64).min
@@ -118,14 +118,11 @@ class Tree:
         whole_points = self.points.astype(np.int64)
         most = int(np.abs(whole_points).max(initial=0))
         kind = np.int16 if most < 1 << 15 else np.int32 if most < 1 << 31 else np.int64
-        out = io.BytesIO()
-        np.savez(out, **{n: getattr(self, n) for n in self.NAMES} | {"points": whole_points.astype(kind)})
-        return out.getvalue()
+        return pickle.dumps({n: getattr(self, n) for n in self.NAMES} | {"points": whole_points.astype(kind)})
 
     @classmethod
     def load(cls, data: bytes) -> Tree:
-        with np.load(io.BytesIO(data)) as arrays:
-            return cls(**{n: arrays[n] for n in cls.NAMES})
+        return cls(**pickle.loads(data))
 
     def children(self, n: int) -> np.ndarray:
         return self.below[self.start[n] : self.start[n + 1]]
@@ -170,7 +167,8 @@ def slack(x):
 
 def ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """The numbers of all ranges first:last, one after the other."""
-    return np.concatenate([np.arange(a, b) for a, b in zip(first, last)]) if len(first) else np.zeros(0, np.int64)
+    sizes = last - first
+    return np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
 
 def seeded(queries: Tree, data: Tree, best: Best) -> tuple[np.ndarray, int]:
@@ -192,7 +190,7 @@ def dual_search(queries: Tree, data: Tree, best: Best) -> int:
     """Searches two trees, leaving out node pairs whose bound is under the worst k-th score of the query node. Returns the number of inner products of points.
 
     A query node takes the data nodes and points that its parent could not leave out, and opens data nodes while they are wider than itself.
-    Query points that are children themselves open what is left by bounds of their own, all at once.
+    Query points that are children themselves, and all of a node of at most AT_ONCE, open what is left by bounds of their own, all at once.
     """
     made = 0
 
@@ -204,28 +202,41 @@ def dual_search(queries: Tree, data: Tree, best: Best) -> int:
         return data.below[ranges(data.start[nodes], data.start[nodes + 1])]
 
     def alone(rows: np.ndarray, nodes: np.ndarray, points: np.ndarray) -> None:
-        """Each query point meets the points of the data nodes that its own bound does not leave out; all hits are merged at once."""
+        """Each query point meets the points of the data nodes that its own bound does not leave out; all hits are merged at once.
+
+        Where most pairs of the query points and those nodes are left, one product covers them all, else each node has its own.
+        """
         nonlocal made
-        met: list[tuple[np.ndarray, np.ndarray]] = [(np.arange(rows.size), points)] if points.size else []
+        held, wanted = [np.zeros(0, np.int64)], [np.zeros((rows.size, 0), bool)]  # data nodes with single points, and the query points that need them
         may = np.ones((rows.size, nodes.size), bool)
         while nodes.size:
             may &= slack(queries.points[rows] @ data.centres[nodes].T + data.radius[nodes] * queries.norms[rows][:, None]) >= best.kth[rows][:, None]
             going = may.any(0)
             nodes, may = nodes[going], may[:, going]
-            for n, column in zip(nodes, may.T):
-                if data.single[n] > data.first[n]:
-                    met.append((np.flatnonzero(column & ~before[rows, n]), np.arange(data.first[n], data.single[n])))
+            some = data.single[nodes] > data.first[nodes]
+            held.append(nodes[some])
+            wanted.append(may[:, some] & ~before[np.ix_(rows, nodes[some])])
             may = np.repeat(may, data.start[nodes + 1] - data.start[nodes], axis=1)
             nodes = ranges_below(nodes)
-        if met:
-            found = np.concatenate([some for _, some in met])
+        nodes, want = np.concatenate(held), np.concatenate(wanted, axis=1)
+        sizes = data.single[nodes] - data.first[nodes]
+        found = np.concatenate((points, ranges(data.first[nodes], data.single[nodes])))
+        if not found.size:
+            return
+        if 2 * (want.sum(0) @ sizes) >= rows.size * sizes.sum():
+            scores = products(queries.points[rows], data.points[found])
+            made += scores.size
+            if not want.all():
+                scores[:, points.size :][~np.repeat(want, sizes, axis=1)] = LOW
+        else:
             scores = np.full((rows.size, found.size), LOW, np.int64)
-            at = 0
-            for own, some in met:
-                scores[own, at : at + some.size] = products(queries.points[rows[own]], data.points[some])
-                made += own.size * some.size
-                at += some.size
-            best.add(rows, queries.ids[rows], data.ids[found], scores)
+            scores[:, : points.size] = products(queries.points[rows], data.points[points])
+            made += rows.size * points.size
+            for n, size, end, column in zip(nodes, sizes, points.size + np.cumsum(sizes), want.T):
+                own = np.flatnonzero(column)
+                scores[own, end - size : end] = products(queries.points[rows[own]], data.points[data.first[n] : data.single[n]])
+                made += own.size * size
+        best.add(rows, queries.ids[rows], data.ids[found], scores)
 
     if not len(queries.ids) or not len(data.ids):
         return 0
@@ -245,10 +256,11 @@ def dual_search(queries: Tree, data: Tree, best: Best) -> int:
             below, more = opened(nodes[wide])
             nodes, points = np.concatenate((nodes[~wide], near_nodes(below))), np.concatenate((points, near_points(more)))
         if nodes.size or points.size:
-            rows = np.arange(queries.first[q], queries.single[q])
+            few = queries.last[q] - queries.first[q] <= AT_ONCE
+            rows = np.arange(queries.first[q], queries.last[q] if few else queries.single[q])
             if rows.size:
                 alone(rows, nodes, points)
-            stack += [(int(c), nodes, points) for c in queries.children(q)]
+            stack += [] if few else [(int(c), nodes, points) for c in queries.children(q)]
     return made
 
 
