@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -238,6 +239,36 @@ def test_line_dedup_families(spark):
     assert got == brute_lines(docs)
 
 
+def test_line_dedup_hashes_each_text_once(spark):
+    """Splitting carries the hash of a text along with its lines, not the text itself, which would be hashed again for each of them."""
+    lines = line_dedup.lines_of(spark.createDataFrame([(1, "a b\nc"), (2, None)], "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["line_no"], r["line"]) for r in lines.collect()) == [(1, 0, "a b"), (1, 1, "c"), (2, 0, "")]
+    carried = re.search(r"Generate posexplode\(.*?\), \[([^\]]*)\]", lines._jdf.queryExecution().executedPlan().toString(), re.S)
+    assert carried and "text_key#" in carried[1] and "text#" not in carried[1]
+
+
+@pytest.mark.parametrize("docs, packed", [
+    ([(5, "b a\nx y z"), (3, "a b\nq"), (9, "Q\n\nz y x")], True),
+    ([(5, "b a\nx y z"), (3, "a b\nq"), (3, "other\nq"), (9, "Q\n\nz y x")], False),  # an id with two texts
+    ([(-5, "b a\nx y z"), (3, "a b\nq"), (9, "Q\n\nz y x")], False),
+    ([(2**60, "b a\nx y z"), (3, "a b\nq"), (2**60 + 1, "Q\n\nz y x")], True),
+    ([(2**63 - 1, "b a\nx y z"), (3, "a b\nq"), (9, "Q\n\nz y x")], False),
+])
+def test_line_dedup_ids_follow_places(spark, docs, packed):
+    """Ids are places where document id and line number fit into one number; the sort of all sets is only for what doesn't."""
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    lines = line_dedup.lines_of(df)
+    keyed = line_dedup.keyed(lines, line_dedup.rarity(df)).where("n > 0")
+    assert (line_dedup.line_bits(keyed) is not None) == packed
+    sets = line_dedup.distinct_sets(keyed).orderBy("id").collect()
+    assert len({r["id"] for r in sets}) == len(sets)
+    places = [(r["doc_id"], r["line_no"]) for r in sets]
+    assert places == sorted(places)
+    got = {(r["doc_id"], k) for r in line_dedup.removals(df).collect() for k in r["gone"]}
+    if len({d for d, _ in docs}) == len(docs):
+        assert got == brute_lines(docs)
+
+
 # 7, 9
 def test_machine_equals_all_pairs():
     rng = np.random.default_rng(0)

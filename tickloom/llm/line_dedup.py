@@ -29,18 +29,20 @@ from pyspark.sql.window import Window
 
 from .common import BROADCAST_BYTES, dropped, small, tidy, written
 
-#: Sets of more tokens have a sketch of 128 bits.
-SHORT = 60
+#: Sets of more tokens have a second sketch.
+SHORT = 100
 #: Hash buckets of the counts; pairs of neighbouring tokens by which a set finds families; a family's heads.
 BUCKETS, FAMILY_PAIRS, HEADS = 1 << 18, 3, 8
+#: Bits of a set's id that hold its place.
+PLACE_BITS = 63
 #: Bytes of a broadcast row: of an id, of a place, of a head.
 ID_BYTES, PLACE_BYTES, HEAD_BYTES = 32, 64, 96
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, line_no, line."""
+    """doc_id, text_key, line_no, line. A text is hashed before it is split: beside posexplode() it would be carried along with each of its lines and hashed again for each."""
     text = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return text.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    return text.select("doc_id", F.xxhash64("text").alias("text_key"), F.split("text", "\n", -1).alias("lines")).select("doc_id", "text_key", F.posexplode("lines").alias("line_no", "line"))
 
 
 def words_of(line: str):
@@ -48,13 +50,14 @@ def words_of(line: str):
     return F.split(F.lower(F.col(line)), " ", -1)
 
 
-def rarity(lines: DataFrame) -> DataFrame:
-    """One row: classes, array<tinyint> with the class of each bucket's count; its size is fixed by BUCKETS."""
-    words = lines.select(F.explode(words_of("line")).alias("w"))
+def rarity(docs: DataFrame) -> DataFrame:
+    """One row: classes, array<bigint> with the class of each bucket's count in the upper 8 bits; its size is fixed by BUCKETS. Counts are of all lines' words, from one split of each text."""
+    text = docs.where("doc_id is not null").select(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")).alias("line"))
+    words = text.select(F.explode(words_of("line")).alias("w"))
     counted = words.select(F.expr(f"cast(xxhash64(w) & {BUCKETS - 1} as int)").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
-    every = counted.unionByName(lines.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("n")))
-    every = every.groupBy("bucket").agg(F.least(F.lit(127), F.floor(4 * F.log2(F.sum("n") + 1))).cast("byte").alias("class"))
-    return every.agg(F.expr("transform(sort_array(collect_list(struct(bucket, class))), x -> x.class)").alias("classes"))
+    every = counted.unionByName(docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("n")))
+    every = every.groupBy("bucket").agg(F.least(F.lit(127), F.floor(4 * F.log2(F.sum("n") + 1))).cast("long").alias("class"))
+    return every.agg(F.expr("transform(sort_array(collect_list(struct(bucket, class))), x -> shiftleft(x.class, 56))").alias("classes"))
 
 
 def keyed(lines: DataFrame, classes: DataFrame) -> DataFrame:
@@ -62,7 +65,7 @@ def keyed(lines: DataFrame, classes: DataFrame) -> DataFrame:
     spark, name = lines.sparkSession, f"line_classes_{uuid4().hex}"
     # a lambda can't hold a subquery, but it can name a session variable; the array's size is fixed by BUCKETS
     classes.createOrReplaceTempView(name)
-    spark.sql(f"DECLARE VARIABLE {name} ARRAY<TINYINT>")
+    spark.sql(f"DECLARE VARIABLE {name} ARRAY<BIGINT>")
     try:
         spark.sql(f"SET VARIABLE {name} = (SELECT classes FROM {name})")
         return written(_hashed(lines, name), "line-keys", hashes=True)
@@ -75,8 +78,7 @@ def _hashed(lines: DataFrame, classes: str) -> DataFrame:
     """The columns of keyed(). No filter on n here: it would be pushed down and the arrays computed twice."""
     # class in the upper 8 bits, hash below; one lambda for both, as every pass over an array costs
     # (never null, so that arrays stay primitive)
-    place = lambda w: f"coalesce(shiftleft(cast({classes}[cast(xxhash64({w}) & {BUCKETS - 1} as int)] as bigint), 56) | shiftrightunsigned(xxhash64({w}), 8), 0L)"
-    bit = "shiftleft(1L, cast(x & 63 as int))"
+    place = lambda w: f"coalesce({classes}[cast(xxhash64({w}) & {BUCKETS - 1} as int)] | shiftrightunsigned(xxhash64({w}), 8), 0L)"
     words = lines.select("doc_id", "text_key", "line_no", words_of("line").alias("words"))
     ordered = F.expr(f"sort_array(array_remove(array_distinct(transform(words, w -> {place('w')})), {place(chr(39) * 2)}))")
     return words.select("doc_id", "text_key", "line_no", ordered.alias("t")).select(
@@ -87,9 +89,9 @@ def _hashed(lines: DataFrame, classes: str) -> DataFrame:
         F.size("t").alias("n"),
         # 31 bits will do to find candidates
         F.expr("transform(slice(t, 1, size(t) - (4 * size(t) + 4) div 5 + 1), x -> cast(x & 2147483647 as int))").alias("prefix"),
-        # parity of the tokens in 64 bins, or for more than SHORT tokens in 128, of which the second half stands apart
-        F.expr(f"if(size(t) <= {SHORT}, aggregate(t, 0L, (a, x) -> a ^ {bit}), aggregate(t, 0L, (a, x) -> if(x & 64 = 0, a ^ {bit}, a)))").alias("sketch"),
-        F.expr(f"if(size(t) <= {SHORT}, 0L, aggregate(t, 0L, (a, x) -> if(x & 64 = 0, a, a ^ {bit})))").alias("sketch2"),
+        # parity of the tokens in 64 bins; for more than SHORT tokens also of half of them, so that both halves are known
+        F.expr("aggregate(t, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))").alias("sketch"),
+        F.expr(f"if(size(t) <= {SHORT}, 0L, aggregate(t, 0L, (a, x) -> a ^ shiftleft(shiftrightunsigned(x, 6) & 1L, cast(x & 63 as int))))").alias("sketch2"),
     )
 
 
@@ -98,7 +100,7 @@ def similar_sketches(x: str, y: str):
     c = lambda side, name: F.col(f"{side}.{name}")
     both = c(x, "n") + c(y, "n")
     first, second = (c(x, s).bitwiseXOR(c(y, s)) for s in ("sketch", "sketch2"))
-    bits = F.when((c(x, "n") > SHORT) & (c(y, "n") > SHORT), F.bit_count(first) + F.bit_count(second)).otherwise(F.bit_count(first.bitwiseXOR(second)))
+    bits = F.when((c(x, "n") > SHORT) & (c(y, "n") > SHORT), F.bit_count(first.bitwiseXOR(second)) + F.bit_count(second)).otherwise(F.bit_count(first))
     return (5 * F.least(c(x, "n"), c(y, "n")) >= 4 * F.greatest(c(x, "n"), c(y, "n"))) & (9 * bits <= both)
 
 
@@ -135,11 +137,28 @@ def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
 def distinct_sets(lines: DataFrame) -> DataFrame:
     """One row per set of words: id, key, n, sketch, sketch2, prefix, its first place (doc_id, line_no, text_key), and how many lines have it.
 
-    Ids follow the places, so that postings need not carry them.
+    Ids follow the places, so that postings need not carry them: document id and line number in one number where both fit (PLACE_BITS) and
+    no document id has two texts, else numbers in the order of the places, which sorts all sets.
     """
     each = lines.groupBy("key", "n", "sketch", "sketch2").agg(F.min(F.struct("doc_id", "line_no", "text_key")).alias("place"), F.first("prefix").alias("prefix"), F.count("*").alias("lines"))
-    placed = each.select("key", "n", "sketch", "sketch2", "place.*", "prefix", "lines").orderBy("doc_id", "line_no", "text_key", "key")
-    return written(placed.select(F.monotonically_increasing_id().alias("id"), "*"), "line-sets", hashes=True)
+    placed = each.select("key", "n", "sketch", "sketch2", "place.*", "prefix", "lines")
+    bits = line_bits(lines)
+    if bits is None:
+        placed = placed.orderBy("doc_id", "line_no", "text_key", "key").select(F.monotonically_increasing_id().alias("id"), "*")
+    else:
+        placed = placed.select(F.shiftleft("doc_id", bits).bitwiseOR(F.col("line_no").cast("long")).alias("id"), "*")
+    return written(placed, "line-sets", hashes=True)
+
+
+def line_bits(lines: DataFrame) -> int | None:
+    """Bits of a line number in a number that also holds its document id; None where they don't fit or a document id has several texts."""
+    docs = lines.groupBy("doc_id").agg(F.min("text_key").alias("least"), F.max("text_key").alias("most"), F.max("line_no").alias("line"))
+    with tidy(lines.sparkSession):
+        found = docs.agg(F.min("doc_id"), F.max("doc_id"), F.max("line"), F.max((F.col("least") != F.col("most")).cast("int"))).first()
+    if found[0] is None or found[0] < 0 or found[3]:
+        return None
+    bits = found[2].bit_length()
+    return bits if found[1].bit_length() + bits <= PLACE_BITS else None
 
 
 def copies_of(lines: DataFrame, sets: DataFrame) -> DataFrame:
@@ -153,9 +172,9 @@ def copies_of(lines: DataFrame, sets: DataFrame) -> DataFrame:
 
 def families(sets: DataFrame) -> DataFrame:
     """key, id, n, sketch, sketch2: sets that share a pair of neighbours among their commonest prefix tokens with another set."""
-    last = F.expr(f"slice(sequence(0, greatest(0, size(prefix) - 2)), greatest(1, size(prefix) - {FAMILY_PAIRS}), {FAMILY_PAIRS})")
-    neighbours = F.transform(last, lambda i: F.xxhash64(F.get("prefix", i), F.get("prefix", i + 1)))
-    each = sets.select("id", "n", "sketch", "sketch2", F.explode(neighbours).alias("key"))
+    # by place and not in a lambda, which Spark does not compile: the last pair, the one before, and so on; one token alone is a pair with null
+    pairs = [F.when((F.lit(k) == 0) | (F.size("prefix") > k + 1), F.xxhash64(F.get("prefix", F.greatest(F.lit(0), F.size("prefix") - k - 2)), F.get("prefix", F.greatest(F.lit(1), F.size("prefix") - k - 1)))) for k in range(FAMILY_PAIRS)]
+    each = sets.select("id", "n", "sketch", "sketch2", F.explode(F.array(*pairs)).alias("key")).where("key is not null")
     shared = written(each.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1").select("key"), "family-keys", hashes=True)
     found = written(each.join(small(shared, ID_BYTES), "key"), "families", hashes=True)
     dropped(shared)
@@ -222,7 +241,7 @@ def candidates(sets: DataFrame, matched: DataFrame) -> DataFrame:
 def removals(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, gone (line numbers) of the documents that lose lines."""
     lines = lines_of(docs)
-    classes = written(rarity(lines), "rarity")
+    classes = written(rarity(docs), "rarity")
     all_lines = keyed(lines, classes)
     some = all_lines.where("n > 0")
     sets = distinct_sets(some)
