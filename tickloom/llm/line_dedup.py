@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 from .common import BROADCAST_BYTES, dropped, small, tidy, written
 
 #: Sets of more tokens have a second sketch.
-SHORT = 100
+SHORT = 60
 #: Hash buckets of the counts; pairs of neighbouring tokens by which a set finds families; a family's heads.
 BUCKETS, FAMILY_PAIRS, HEADS = 1 << 18, 3, 8
 #: Bits of a set's id that hold its place.
