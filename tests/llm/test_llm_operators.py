@@ -247,6 +247,20 @@ def test_line_dedup_hashes_each_text_once(spark):
     assert carried and "text_key#" in carried[1] and "text#" not in carried[1]
 
 
+def test_line_dedup_hashes_each_word_once(spark):
+    """Hashed in one lambda, looked up in another, for distinct words only."""
+    docs = spark.createDataFrame([(1, "b a  B\n\nc"), (2, "A b")], "doc_id long, text string")
+    spark.sql("DECLARE OR REPLACE VARIABLE line_classes_test ARRAY<BIGINT>")
+    try:
+        plan = line_dedup._hashed(line_dedup.lines_of(docs), "line_classes_test")._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.sql("DROP TEMPORARY VARIABLE line_classes_test")
+    assert len(re.findall(r"xxhash64\(lambda", plan)) == 1
+    keyed = line_dedup.keyed(line_dedup.lines_of(docs), line_dedup.rarity(docs)).collect()
+    got = {(r["doc_id"], r["line_no"]): (r["n"], r["key"]) for r in keyed}
+    assert {k: n for k, (n, _) in got.items()} == {(1, 0): 2, (1, 1): 0, (1, 2): 1, (2, 0): 2} and got[1, 0][1] == got[2, 0][1] != got[1, 2][1]
+
+
 @pytest.mark.parametrize("docs, packed", [
     ([(5, "b a\nx y z"), (3, "a b\nq"), (9, "Q\n\nz y x")], True),
     ([(5, "b a\nx y z"), (3, "a b\nq"), (3, "other\nq"), (9, "Q\n\nz y x")], False),  # an id with two texts

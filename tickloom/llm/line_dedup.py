@@ -76,11 +76,11 @@ def keyed(lines: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _hashed(lines: DataFrame, classes: str) -> DataFrame:
     """The columns of keyed(). No filter on n here: it would be pushed down and the arrays computed twice."""
-    # class in the upper 8 bits, hash below; one lambda for both, as every pass over an array costs
-    # (never null, so that arrays stay primitive)
-    place = lambda w: f"coalesce({classes}[cast(xxhash64({w}) & {BUCKETS - 1} as int)] | shiftrightunsigned(xxhash64({w}), 8), 0L)"
+    # each word is hashed once and array_except() leaves distinct hashes without that of the empty word, so that classes are looked up for these only;
+    # class in the upper 8 bits, hash below (never null, so that arrays stay primitive)
     words = lines.select("doc_id", "text_key", "line_no", words_of("line").alias("words"))
-    ordered = F.expr(f"sort_array(array_remove(array_distinct(transform(words, w -> {place('w')})), {place(chr(39) * 2)}))")
+    distinct = "array_except(transform(words, w -> xxhash64(w)), array(xxhash64('')))"
+    ordered = F.expr(f"sort_array(transform({distinct}, h -> coalesce({classes}[h & {BUCKETS - 1}] | shiftrightunsigned(h, 8), 0L)))")
     return words.select("doc_id", "text_key", "line_no", ordered.alias("t")).select(
         "doc_id",
         "text_key",
